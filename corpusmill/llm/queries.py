@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusmill.llm import dedup
+from corpusmill.llm import capping, dedup, survivor
+from corpusmill.operators.latest import latest
 from corpusmill.runtime import table
 
 SKILL_TEXTS, SKILL_OBJECTS = ["name", "description", "body"], ["metadata"]
@@ -20,13 +22,58 @@ def p2_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.collapse(table(spark, sf_dir, "skills"), "id", "last_seen", SKILL_TEXTS, SKILL_OBJECTS)
 
 
+def members_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current skills with their cleaned content hash and the stars of their repo."""
+    skills = latest(table(spark, sf_dir, "skills"), "id", "last_seen",
+                    ["content_hash", "repo", "name", "score", "license", "category", "last_seen"])
+    repos = latest(table(spark, sf_dir, "repos"), "full_name", "last_meta_at", ["stars"])
+    hashed = skills.withColumn("content_hash", survivor.clean_hash("content_hash"))
+    return hashed.join(repos, hashed.repo == repos.full_name, "left")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    smallest = -F.col("id")
+    licensed = F.coalesce(~F.trim("license").isin("", "NOASSERTION"), F.lit(False))
+    known = F.coalesce(F.col("category") != "uncategorised", F.lit(False))
+    return survivor.survivors(members_by_hash(spark, sf_dir), "content_hash", "id", {
+        "keep_id": ([F.col("score"), F.col("stars"), F.col("last_seen"), smallest], None),
+        "license_id": ([F.col("last_seen"), smallest], licensed),
+        "category_id": ([F.col("score"), smallest], known),
+    })
+
+
+def p3_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The name that the members of each content hash agree on most, weighted by stars."""
+    return survivor.consensus(members_by_hash(spark, sf_dir).filter("content_hash <> ''"), "content_hash", "name",
+                              F.log1p(F.coalesce("stars", F.lit(0))) + 1, "name")
+
+
+def capped_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    skills = latest(table(spark, sf_dir, "skills"), "id", "last_seen", ["repo", "first_seen", "category", "score"])
+    return skills.withColumn("day", F.to_date("first_seen"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capping.beyond_cap(capped_skills(spark, sf_dir), "id", ["repo", "day"], F.col("score"), 8).select("id")
+
+
+def p6_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skills beyond 40 per repo, the slots split equally over categories."""
+    return capping.beyond_cap(capped_skills(spark, sf_dir), "id", ["repo"], F.col("score"), 40, ["category"], "equal")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": p2_found,
         "p2_collapsed": p2_collapsed,
+        "p3_found": p3_found,
+        "p3_consensus": p3_consensus,
+        "p6_found": p6_found,
+        "p6_by_category": p6_by_category,
     }
 
 
+CURRENT_REPOS = "cr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY full_name ORDER BY last_meta_at DESC) AS rn_ FROM repos) WHERE rn_ = 1)"
 CURRENT_SKILLS = "cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY last_seen DESC) AS rn_ FROM skills) WHERE rn_ = 1)"
 
 
@@ -42,4 +89,20 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": same + "SELECT first_id, id AS copy_id FROM grouped WHERE id <> first_id",
         "p2_collapsed": same + "SELECT first_id, count(*) AS copies FROM grouped GROUP BY first_id",
+        "p3_found": f"""
+        WITH {CURRENT_SKILLS}, {CURRENT_REPOS}, m AS (
+          SELECT regexp_replace(lower(trim(cur.content_hash)), '^sha256:', '') AS content_hash, cur.id, cur.score, cur.license,
+            cur.category, cur.last_seen, cr.stars FROM cur LEFT JOIN cr ON cur.repo = cr.full_name), g AS (
+          SELECT content_hash FROM m WHERE content_hash <> '' GROUP BY 1 HAVING count(DISTINCT id) > 1), k AS (
+          SELECT content_hash, id, row_number() OVER (PARTITION BY content_hash ORDER BY score DESC NULLS LAST, stars DESC NULLS LAST, last_seen DESC, id) AS r FROM m), l AS (
+          SELECT content_hash, id, row_number() OVER (PARTITION BY content_hash ORDER BY last_seen DESC, id) AS r FROM m
+          WHERE trim(license) NOT IN ('', 'NOASSERTION')), c AS (
+          SELECT content_hash, id, row_number() OVER (PARTITION BY content_hash ORDER BY score DESC NULLS LAST, id) AS r FROM m
+          WHERE category <> 'uncategorised')
+        SELECT g.content_hash, k.id AS keep_id, coalesce(l.id, 0) AS license_id, coalesce(c.id, 0) AS category_id
+        FROM g JOIN k ON k.content_hash = g.content_hash AND k.r = 1 LEFT JOIN l ON l.content_hash = g.content_hash AND l.r = 1
+        LEFT JOIN c ON c.content_hash = g.content_hash AND c.r = 1""",
+        "p6_found": f"""
+        WITH {CURRENT_SKILLS} SELECT id FROM (SELECT id, row_number() OVER (
+          PARTITION BY repo, CAST(first_seen AT TIME ZONE 'UTC' AS DATE) ORDER BY score DESC NULLS LAST, id) AS r FROM cur) WHERE r > 8""",
     }
