@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import capping, dedup, survivor
+from corpusmill.llm import capping, dedup, survivor, walk
 from corpusmill.operators.latest import latest
 from corpusmill.runtime import table
 
@@ -62,12 +62,30 @@ def p6_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capping.beyond_cap(capped_skills(spark, sf_dir), "id", ["repo"], F.col("score"), 40, ["category"], "equal")
 
 
+REPO_SCORES = ["stars", "forks", "open_issues", "size_kb"]
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repos = latest(table(spark, sf_dir, "repos"), "full_name", "last_meta_at", REPO_SCORES)
+    ranked = walk.rank_walk(repos, "full_name", REPO_SCORES, steps=1, damping=1.0, at_least=3)
+    n = repos.count()
+    return walk.first_share(ranked, "full_name", "mass", -(-n // 100)).select("full_name")
+
+
+def p5_rank_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All current repos by where the damped walk comes to rest."""
+    repos = latest(table(spark, sf_dir, "repos"), "full_name", "last_meta_at", REPO_SCORES)
+    return walk.rank_walk(repos, "full_name", REPO_SCORES, steps=8, damping=0.85, tolerance=1e-4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": p2_found,
         "p2_collapsed": p2_collapsed,
         "p3_found": p3_found,
         "p3_consensus": p3_consensus,
+        "p5_found": p5_found,
+        "p5_rank_walk": p5_rank_walk,
         "p6_found": p6_found,
         "p6_by_category": p6_by_category,
     }
@@ -102,6 +120,14 @@ def oracle_sql() -> dict[str, str]:
         SELECT g.content_hash, k.id AS keep_id, coalesce(l.id, 0) AS license_id, coalesce(c.id, 0) AS category_id
         FROM g JOIN k ON k.content_hash = g.content_hash AND k.r = 1 LEFT JOIN l ON l.content_hash = g.content_hash AND l.r = 1
         LEFT JOIN c ON c.content_hash = g.content_hash AND c.r = 1""",
+        "p5_found": f"""
+        WITH {CURRENT_REPOS}, long AS (
+          SELECT full_name, c, v FROM (SELECT full_name, stars, forks, open_issues, size_kb FROM cr)
+          UNPIVOT (v FOR c IN (stars, forks, open_issues, size_kb))), pos AS (
+          SELECT full_name, ((rank() OVER (PARTITION BY c ORDER BY v) - 1) + (count(*) OVER (PARTITION BY c ORDER BY v)))
+            / (count(*) OVER (PARTITION BY c))::DOUBLE / 2 AS p FROM long)
+        SELECT full_name FROM (SELECT full_name, row_number() OVER (ORDER BY round(avg(p), 12) DESC, full_name) AS r FROM pos
+          GROUP BY full_name HAVING count(*) >= 3) WHERE r <= (SELECT ceil(count(*) / 100.0) FROM cr)""",
         "p6_found": f"""
         WITH {CURRENT_SKILLS} SELECT id FROM (SELECT id, row_number() OVER (
           PARTITION BY repo, CAST(first_seen AT TIME ZONE 'UTC' AS DATE) ORDER BY score DESC NULLS LAST, id) AS r FROM cur) WHERE r > 8""",
