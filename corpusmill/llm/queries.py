@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import capping, dedup, survivor, walk
+from corpusmill.llm import capping, dedup, quantiles, survivor, walk
 from corpusmill.operators.latest import latest
 from corpusmill.runtime import table
 
@@ -78,8 +78,40 @@ def p5_rank_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk.rank_walk(repos, "full_name", REPO_SCORES, steps=8, damping=0.85, tolerance=1e-4)
 
 
+def stat_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(metric, scope, stat_day, value): what corpus_stats describes, for every scope."""
+    both = F.explode(F.array_distinct(F.array(F.lit("all"), F.col("own"))))
+    skills = latest(table(spark, sf_dir, "skills"), "id", "last_seen", ["body_len", "source_kind", "first_seen"])
+    repos = latest(table(spark, sf_dir, "repos"), "full_name", "last_meta_at", ["stars", "language", "first_seen"])
+    one = skills.select(F.lit("body_len").alias("metric"), F.col("source_kind").alias("own"), "first_seen", F.col("body_len").alias("value"))
+    two = repos.select(F.lit("stars").alias("metric"), F.col("language").alias("own"), "first_seen", F.col("stars").alias("value"))
+    rows = one.unionByName(two).filter("value IS NOT NULL")
+    return rows.select("metric", both.alias("scope"), F.to_date("first_seen").alias("stat_day"), "value").filter("scope IS NOT NULL")
+
+
+STAT_GROUP = ["metric", "scope", "stat_day"]
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantiles.misstated(table(spark, sf_dir, "corpus_stats"), stat_values(spark, sf_dir), STAT_GROUP,
+                               F.col("value"), "stat_id", "quantiles")
+
+
+def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 101 even quantiles of every metric, scope and day: pieces that merge."""
+    return quantiles.pieces(stat_values(spark, sf_dir), STAT_GROUP, F.col("value"))
+
+
+def p1_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of every metric and scope over all days, merged from the daily pieces."""
+    return quantiles.merge_pieces(p1_percentiles(spark, sf_dir), ["metric", "scope"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
+        "p1_percentiles": p1_percentiles,
+        "p1_merged": p1_merged,
         "p2_found": p2_found,
         "p2_collapsed": p2_collapsed,
         "p3_found": p3_found,
@@ -95,6 +127,13 @@ CURRENT_REPOS = "cr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY
 CURRENT_SKILLS = "cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY last_seen DESC) AS rn_ FROM skills) WHERE rn_ = 1)"
 
 
+STAT_VALUES = f"""{CURRENT_SKILLS}, {CURRENT_REPOS}, base AS (
+  SELECT 'body_len' AS metric, source_kind AS own, CAST(first_seen AT TIME ZONE 'UTC' AS DATE) AS stat_day, body_len AS value FROM cur
+  UNION ALL SELECT 'stars', language, CAST(first_seen AT TIME ZONE 'UTC' AS DATE), stars FROM cr), vals AS (
+  SELECT metric, 'all' AS scope, stat_day, value FROM base WHERE value IS NOT NULL
+  UNION ALL SELECT metric, own, stat_day, value FROM base WHERE value IS NOT NULL AND own IS NOT NULL AND own <> 'all')"""
+
+
 def oracle_sql() -> dict[str, str]:
     words = lambda c: f"array_to_string(regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}]+'), ' ')"
     same = f"""
@@ -105,6 +144,15 @@ def oracle_sql() -> dict[str, str]:
       FROM cur), grouped AS (SELECT id, min(id) OVER (PARTITION BY n, d, b, m) AS first_id FROM keyed)
     """
     return {
+        "p1_found": f"""
+        WITH {STAT_VALUES}, claims AS (
+          SELECT stat_id, metric, scope, stat_day, unnest(range(0, 101)) AS p, unnest(quantiles) AS q FROM corpus_stats), t AS (
+          SELECT stat_id, p, q, count(*) AS n, count(*) FILTER (value < q) AS smaller, count(*) FILTER (value <= q) AS upto
+          FROM claims JOIN vals USING (metric, scope, stat_day) GROUP BY ALL)
+        SELECT DISTINCT stat_id FROM t WHERE (p + 7) * n < 100 * smaller OR (p - 7) * n > 100 * upto""",
+        "p1_percentiles": f"""
+        WITH {STAT_VALUES}, o AS (SELECT metric, scope, stat_day, count(*) AS n, list_sort(list(value::DOUBLE)) AS l FROM vals GROUP BY ALL)
+        SELECT metric, scope, stat_day, n, list_transform(range(0, 101), lambda p: l[greatest(1, (p * n + 99) // 100)]) AS at FROM o""",
         "p2_found": same + "SELECT first_id, id AS copy_id FROM grouped WHERE id <> first_id",
         "p2_collapsed": same + "SELECT first_id, count(*) AS copies FROM grouped GROUP BY first_id",
         "p3_found": f"""
