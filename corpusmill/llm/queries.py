@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import capping, dedup, quantiles, survivor, walk
+from corpusmill.llm import capping, dedup, markup, quantiles, secrets, survivor, walk
 from corpusmill.operators.latest import latest
-from corpusmill.runtime import table
+from corpusmill.runtime import materialise, table
 
 SKILL_TEXTS, SKILL_OBJECTS = ["name", "description", "body"], ["metadata"]
 
@@ -62,6 +62,25 @@ def p6_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capping.beyond_cap(capped_skills(spark, sf_dir), "id", ["repo"], F.col("score"), 40, ["category"], "equal")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "skills"), "id", "body", "last_seen")
+    return found.select("id", F.explode("spans").alias("_s")).select("id", "_s.start_pos", "_s.end_pos")
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "skills"), "id", "body", "last_seen", redacted=True)
+    return found.select("id", "redacted", F.size("spans").alias("n_secrets"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.found_kinds(table(spark, sf_dir, "skills"), "id", "body", "last_seen")
+
+
+def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    current = materialise(latest(table(spark, sf_dir, "skills"), "id", "last_seen", ["body"]), "bodies")
+    return markup.clean_texts(current, "id", "body")
+
+
 REPO_SCORES = ["stars", "forks", "open_issues", "size_kb"]
 
 
@@ -116,10 +135,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_collapsed": p2_collapsed,
         "p3_found": p3_found,
         "p3_consensus": p3_consensus,
+        "p4_found": p4_found,
+        "p4_redacted": p4_redacted,
         "p5_found": p5_found,
         "p5_rank_walk": p5_rank_walk,
         "p6_found": p6_found,
         "p6_by_category": p6_by_category,
+        "p7_found": p7_found,
+        "p7_clean": p7_clean,
     }
 
 
