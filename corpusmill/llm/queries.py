@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import capping, dedup, markup, quantiles, secrets, survivor, walk
+from corpusmill.llm import capping, dedup, leakage, markup, quantiles, secrets, survivor, walk
 from corpusmill.operators.latest import latest
 from corpusmill.runtime import materialise, table
 
@@ -126,6 +126,16 @@ def p1_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.merge_pieces(p1_percentiles(spark, sf_dir), ["metric", "scope"])
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
+def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents holding 16 neighbouring words of an item with at most two words changed."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text",
+                         width=16, edits=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -143,6 +153,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_by_category": p6_by_category,
         "p7_found": p7_found,
         "p7_clean": p7_clean,
+        "p9_found": p9_found,
+        "p9_near": p9_near,
     }
 
 
@@ -199,6 +211,14 @@ def oracle_sql() -> dict[str, str]:
             / (count(*) OVER (PARTITION BY c))::DOUBLE / 2 AS p FROM long)
         SELECT full_name FROM (SELECT full_name, row_number() OVER (ORDER BY round(avg(p), 12) DESC, full_name) AS r FROM pos
           GROUP BY full_name HAVING count(*) >= 3) WHERE r <= (SELECT ceil(count(*) / 100.0) FROM cr)""",
+        "p9_found": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL),
+        i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+        dw AS (SELECT DISTINCT doc_id, array_to_string(w[s:s + 11], ' ') AS x FROM (
+          SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS s FROM d WHERE len(w) >= 12)),
+        iw AS (SELECT DISTINCT item_id, array_to_string(w[s:s + 11], ' ') AS x FROM (
+          SELECT item_id, w, unnest(range(1, len(w) - 10)) AS s FROM i WHERE len(w) >= 12))
+        SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (x)""",
         "p6_found": f"""
         WITH {CURRENT_SKILLS} SELECT id FROM (SELECT id, row_number() OVER (
           PARTITION BY repo, CAST(first_seen AT TIME ZONE 'UTC' AS DATE) ORDER BY score DESC NULLS LAST, id) AS r FROM cur) WHERE r > 8""",
