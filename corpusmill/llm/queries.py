@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import capping, dedup, leakage, markup, quantiles, secrets, survivor, walk
+from corpusmill.llm import capping, dedup, leakage, markup, quantiles, secrets, spans, survivor, walk
 from corpusmill.operators.latest import latest
 from corpusmill.runtime import materialise, table
 
@@ -136,6 +136,14 @@ def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
                          width=16, edits=2)
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text", 300)
+
+
+def p10_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_amount(table(spark, sf_dir, "documents"), "doc_id", "text", 300)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -155,6 +163,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_clean": p7_clean,
         "p9_found": p9_found,
         "p9_near": p9_near,
+        "p10_found": p10_found,
+        "p10_amount": p10_amount,
     }
 
 
