@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import capping, dedup, leakage, markup, quantiles, secrets, spans, survivor, walk
+from corpusmill.llm import capping, dedup, leakage, markup, packing, quantiles, secrets, spans, survivor, walk
 from corpusmill.operators.latest import latest
-from corpusmill.runtime import materialise, table
+from corpusmill.runtime import materialise, small_rows, table
 
 SKILL_TEXTS, SKILL_OBJECTS = ["name", "description", "body"], ["metadata"]
 
@@ -144,6 +144,24 @@ def p10_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_amount(table(spark, sf_dir, "documents"), "doc_id", "text", 300)
 
 
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, in tokens, in containers of each capacity in pack_targets."""
+    targets = small_rows(table(spark, sf_dir, "pack_targets").select("target_id", "capacity_tokens"), 1000, "pack_targets")
+    sizes = materialise(packing.token_sizes(table(spark, sf_dir, "documents"), "doc_id", "text"), "tokens")
+    return packing.pack_targets(sizes, "doc_id", "n_tokens", [(t["target_id"], t["capacity_tokens"]) for t in targets])
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per target: items, containers, the least possible number of them, and the share of space unused."""
+    packed = p8_pack(spark, sf_dir)
+    per_target = packed.groupBy("target_id").agg(
+        F.count("*").alias("pieces"), (F.max("container") + 1).alias("containers"), F.sum("n").alias("tokens"))
+    joined = per_target.join(table(spark, sf_dir, "pack_targets"), "target_id")
+    return joined.select("target_id", "pieces", "containers", "tokens",
+                         F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least_containers"),
+                         (1 - F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("unused"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -161,6 +179,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_by_category": p6_by_category,
         "p7_found": p7_found,
         "p7_clean": p7_clean,
+        "p8_pack": p8_pack,
+        "p8_fill": p8_fill,
         "p9_found": p9_found,
         "p9_near": p9_near,
         "p10_found": p10_found,
