@@ -1 +1 @@
-"""Part of the library."""
+"""Column functions: text, time, scores, vectors."""
