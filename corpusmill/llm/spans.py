@@ -29,7 +29,7 @@ from corpusmill.operators.latest import salted_lookup
 from corpusmill.runtime import materialise, small_rows
 
 BLOCK = 1 << 16
-DEPTH = 2
+DEPTH = 4
 SAMPLE = 32
 
 
@@ -39,8 +39,17 @@ def raw_symbols() -> np.ndarray:
     return k.mix(np.arange(0x110000, dtype=k.U) + k.U(0x1234567))
 
 
+def inner_width(run: int) -> int:
+    """Width of the inner windows whose least hash is a window's anchor.
+
+    Wider ones mean fewer unshared windows that hang over the end of a shared
+    stretch with its anchor, and more anchors a text.
+    """
+    return max(1, run * 2 // 3)
+
+
 class Sketch:
-    """Two rows of saturating counters (0, 1, 2 or more), as lists of struck cells."""
+    """Rows of saturating counters (0, 1, 2 or more), as lists of struck cells."""
 
     def __init__(self, log_cells: int):
         self.log = log_cells
@@ -136,7 +145,7 @@ class Windows:
     def __init__(self, texts: pa.Array, run: int):
         points, offsets = k.code_points(texts)
         self.run, n = run, len(points)
-        inner = run // 2
+        inner = inner_width(run)
         size = np.diff(offsets)
         self.any = n >= run and bool((size >= run).any())
         if not self.any:
@@ -229,7 +238,7 @@ def shared_spans(df: DataFrame, key: str, text: str, run: int = 300, log_cells:
     d_type = df.schema[key].dataType.simpleString()
     if log_cells is None:
         chars = docs.agg(F.sum(F.length("t"))).first()[0] or 0
-        log_cells = int(min(27, max(16, np.ceil(np.log2(8 * chars / (run / 4) + 1)))))
+        log_cells = int(min(27, max(16, np.ceil(np.log2(8 * chars / ((run - inner_width(run)) / 2 + 1) + 1)))))
     log = log_cells
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
