@@ -15,6 +15,7 @@ sends the windows that strike it, and these are grouped exactly as well.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -130,6 +131,17 @@ def merged(parts: DataFrame, log: int, least: int, tasks: int) -> np.ndarray:
     return bits.reshape(-1)
 
 
+def packed(bits: np.ndarray) -> bytes:
+    """The bits as they are sent out; few are on, so they shrink well."""
+    return zlib.compress(bits.tobytes(), 1)
+
+
+@lru_cache(maxsize=2)
+def unpacked(data: bytes) -> np.ndarray:
+    """What :func:`packed` packed, once a worker."""
+    return np.frombuffer(zlib.decompress(data), np.uint8)
+
+
 def struck(bits: np.ndarray, values: np.ndarray, log: int) -> np.ndarray:
     """Whether all rows of the sketch have the value's cell on."""
     out = np.ones(len(values), bool)
@@ -252,12 +264,12 @@ def shared_spans(df: DataFrame, key: str, text: str, run: int = 300, log_cells:
 
     tasks = docs.rdd.getNumPartitions()
     first = merged(docs.mapInArrow(sketch, SKETCH_SCHEMA), log, 2, tasks)
-    bits = spark.sparkContext.broadcast(first)
+    bits = spark.sparkContext.broadcast(packed(first))
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for base, w in _rows(batch.column(1), run):
-                which = w.candidates(bits.value, log)
+                which = w.candidates(unpacked(bits.value), log)
                 if not len(which):
                     continue
                 one, two = w.hashes(which)
@@ -280,7 +292,7 @@ def shared_spans(df: DataFrame, key: str, text: str, run: int = 300, log_cells:
         for batch in batches:
             lists = batch.column(2)
             for base, w in _rows(batch.column(1), run):
-                which = w.candidates(bits.value, log)
+                which = w.candidates(unpacked(bits.value), log)
                 if not len(which):
                     continue
                 # Spans of this slice that the sampled windows cover, as places in the slice.
@@ -296,16 +308,16 @@ def shared_spans(df: DataFrame, key: str, text: str, run: int = 300, log_cells:
         if rows:
             yield pa.RecordBatch.from_pydict({"block": [r[0] for r in rows], "one": [r[1] for r in rows], "two": [r[2] for r in rows]})
 
-    second = spark.sparkContext.broadcast(merged(open_docs.mapInArrow(edges, SKETCH_SCHEMA), log, 1, tasks))
+    second = spark.sparkContext.broadcast(packed(merged(open_docs.mapInArrow(edges, SKETCH_SCHEMA), log, 1, tasks)))
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for base, w in _rows(batch.column(1), run):
-                which = w.candidates(bits.value, log)
+                which = w.candidates(unpacked(bits.value), log)
                 if not len(which):
                     continue
                 one, two = w.hashes(which)
-                chosen = struck(second.value, one, log)
+                chosen = struck(unpacked(second.value), one, log)
                 yield _hits(batch.column(0), base, w, which[chosen], one[chosen], two[chosen])
 
     rest = materialise(docs.mapInArrow(answers, f"d {d_type}, pos bigint, h1 bigint, h2 bigint"), "edges")
