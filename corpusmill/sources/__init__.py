@@ -1 +1 @@
-"""Part of the library."""
+"""Where rows come from: files of API answers, events, archives, lists."""

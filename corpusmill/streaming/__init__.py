@@ -1 +1 @@
-"""Part of the library."""
+"""Structured Streaming: events, windows and stateful limits."""
