@@ -1 +1 @@
-"""Part of the library."""
+"""Pipelines over the operators, and the queries that show them."""
