@@ -56,14 +56,20 @@ def recency(days: Column, halflife: float) -> Column:
 
 
 def blend(parts: Sequence[Part]) -> Column:
-    """Weighted mean of the non-null parts, each cut to 0..1; one half if all are null."""
-    weight, total = F.lit(0.0), F.lit(0.0)
-    for _, value, w in parts:
-        cut = F.least(F.greatest(value.cast("double"), F.lit(0.0)), F.lit(1.0))
-        there = value.isNotNull()
-        total = total + F.when(there, cut * F.lit(float(w))).otherwise(0.0)
-        weight = weight + F.when(there, F.lit(float(w))).otherwise(0.0)
-    return F.when(weight == 0.0, F.lit(0.5)).otherwise(total / weight)
+    """Weighted mean of the non-null parts, each cut to 0..1; one half if all are null.
+
+    A fold over an array, so that each part stands in the plan once, however deep
+    blends are nested.
+    """
+    each = F.array(*[F.struct(value.cast("double").alias("v"), F.lit(float(w)).alias("w")) for _, value, w in parts])
+    start = F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("w"))
+
+    def add(a: Column, x: Column) -> Column:
+        cut = F.least(F.greatest(x["v"], F.lit(0.0)), F.lit(1.0))
+        there = x["v"].isNotNull()
+        return F.struct((a["t"] + F.when(there, cut * x["w"]).otherwise(0.0)).alias("t"), (a["w"] + F.when(there, x["w"]).otherwise(0.0)).alias("w"))
+
+    return F.aggregate(each, start, add, lambda a: F.when(a["w"] == 0.0, F.lit(0.5)).otherwise(a["t"] / a["w"]))
 
 
 def detail(parts: Sequence[Part]) -> Column:

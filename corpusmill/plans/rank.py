@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import scoring as s
 from corpusmill.functions.text import owner_of
 from corpusmill.operators.stats import quantile_boundaries, unpivot
+from corpusmill.runtime import materialise
 
 REPO_METRICS = ("stars", "forks", "subscribers", "open_issues", "size_kb", "contributors", "releases", "skill_count")
 
@@ -95,17 +96,19 @@ def score_authors(profiles: DataFrame, bounds: DataFrame, now: Column) -> DataFr
 def recompute(skills: DataFrame, repos: DataFrame, now: Column, followers: DataFrame | None = None, w: s.Weights = s.Weights()) -> dict[str, DataFrame]:
     """All scores in dependency order: statistics, repositories, copies, authors, documents.
 
-    skills, repos: current rows. followers: (login, followers) if known. Documents
+    skills, repos: current rows, skills without texts. followers: (login, followers) if known. Documents
     whose repository is unknown are not scored. Returns boundaries, repos, authors
     and skills; texts are never read.
     """
-    boundaries = quantile_boundaries(corpus_values(skills, repos, now))
+    skills, repos = materialise(skills, "skills"), materialise(repos, "repos")
+    boundaries = materialise(quantile_boundaries(corpus_values(skills, repos, now)), "boundaries")
     bounds = boundary_map(boundaries)
-    scored = score_repos(repos, bounds, now, w)
+    scored = materialise(score_repos(repos, bounds, now, w), "repos-scored")
     copies, names = copy_counts(skills), name_counts(skills)
-    made = craft(skills.join(copies, "content_hash", "left").join(names, "name", "left"), bounds)
+    made = materialise(craft(skills.join(copies, "content_hash", "left").join(names, "name", "left"), bounds), "crafted")
     profiles = author_profiles(made, scored)
     profiles = profiles.join(followers, "login", "left") if followers is not None else profiles.withColumn("followers", F.lit(None).cast("bigint"))
+    profiles = materialise(profiles, "profiles")
     authors = score_authors(profiles, boundary_map(author_bounds(profiles)), now)
     by_repo = scored.select(F.col("full_name").alias("repo"), "repo_trust", F.col("new_score").alias("repo_score"), F.col("skill_count").alias("_in_repo"))
     joined = made.join(by_repo, "repo").join(authors.select(F.col("login").alias("_login"), "author_score"), owner_of(F.col("repo")) == F.col("_login"), "left")

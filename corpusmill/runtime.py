@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
+_CLEANED: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,28 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN_DIR[app]
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder inside the shared one; it is removed when Python ends."""
+    path = f"{shared_dir(spark)}/corpusmill/{spark.sparkContext.applicationId}"
+    if path not in _CLEANED:
+        _CLEANED.add(path)
+        atexit.register(_remove, path)
+    return path
+
+
+def _remove(path: str) -> None:
+    """Delete a folder of tables; what can't be reached any more is left."""
+    if "://" not in path or path.startswith("file:"):
+        shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+        return
+    try:
+        sc = SparkSession.getActiveSession().sparkContext
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  (the session may have ended first)
+        return
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -43,16 +65,11 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     what is read later.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpusmill/{label}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def local_path(uri: str) -> str:
-    """``file://`` URI as a plain path; anything else unchanged."""
-    return uri[len("file://"):] if uri.startswith("file://") else uri
-
-
 def small_rows(df: DataFrame, limit: int, what: str) -> list:
     """``df`` on the driver, after proving that it has at most ``limit`` rows."""
     rows = df.limit(limit + 1).collect()
@@ -73,8 +90,3 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
 def cores(spark: SparkSession) -> int:
     """Partitions for work that is spread by hand; follows the session."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-
-
-def env_int(name: str, default: int) -> int:
-    """Integer environment variable with a default."""
-    return int(os.environ.get(name, default))

@@ -21,9 +21,10 @@ def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 24) ->
     return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
-def parquet_stream(spark: SparkSession, path: str, like: DataFrame, files_per_trigger: int = 1) -> DataFrame:
-    """Stream of a folder of Parquet files shaped ``like`` a table."""
-    return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def parquet_stream(spark: SparkSession, path: str, like: DataFrame, files_per_trigger: int = 1, pattern: str = "*.parquet") -> DataFrame:
+    """Stream of a folder's Parquet files shaped ``like`` a table."""
+    options = {"maxFilesPerTrigger": str(files_per_trigger), "pathGlobFilter": pattern}
+    return spark.readStream.schema(like.schema).options(**options).parquet(path)
 
 
 def distinct_events(events: DataFrame, key: str, at: str, late: str = "1 hour") -> DataFrame:
