@@ -45,14 +45,24 @@ class Weights:
 SAFETY_FACTORS = {"low": 0.95, "medium": 0.75, "high": 0.40, "critical": 0.0}
 
 
+def at_least(value: Column, low: float) -> Column:
+    """The value, or ``low`` if it is less; null stays null (``greatest`` would skip it)."""
+    return F.when(value.isNotNull(), F.greatest(value, F.lit(low)))
+
+
+def at_most(value: Column, high: float) -> Column:
+    """The value, or ``high`` if it is more; null stays null."""
+    return F.when(value.isNotNull(), F.least(value, F.lit(high)))
+
+
 def days_since(at: Column, now: Column) -> Column:
     """Days between ``at`` and ``now``, at least 0; null stays null."""
-    return F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(at)) / F.lit(86_400_000_000.0))
+    return at_least((F.unix_micros(now) - F.unix_micros(at)) / F.lit(86_400_000_000.0), 0.0)
 
 
 def recency(days: Column, halflife: float) -> Column:
     """Exponential decay: 1 now, one half after ``halflife`` days; null stays null."""
-    return F.exp(-F.greatest(days, F.lit(0.0)) * F.lit(math.log(2) / max(halflife, 1.0)))
+    return F.exp(-at_least(days, 0.0) * F.lit(math.log(2) / max(halflife, 1.0)))
 
 
 def blend(parts: Sequence[Part]) -> Column:
@@ -74,7 +84,7 @@ def blend(parts: Sequence[Part]) -> Column:
 
 def detail(parts: Sequence[Part]) -> Column:
     """The parts of a blend as a struct, rounded, for explanations."""
-    return F.struct(*[F.round(F.least(F.greatest(v.cast("double"), F.lit(0.0)), F.lit(1.0)), 4).alias(n) for n, v, _ in parts])
+    return F.struct(*[F.round(at_most(at_least(v.cast("double"), 0.0), 1.0), 4).alias(n) for n, v, _ in parts])
 
 
 def mid_rank(quantiles: Column, value: Column) -> Column:
@@ -92,7 +102,7 @@ def repo_parts(now: Column, q, w: Weights = Weights()) -> dict[str, list[Part]]:
     pct = lambda metric, col: mid_rank(q(metric), col)
     age, pushed = days_since(c("created_at"), now), days_since(c("pushed_at"), now)
     stars = F.coalesce(c("stars"), F.lit(0))
-    per_day = stars / F.greatest(age, F.lit(30.0))
+    per_day = stars / at_least(age, 30.0)
     load = pct("open_issues", c("open_issues"))
     flag = lambda cond, yes=1.0, no=0.0: F.when(cond, F.lit(yes)).otherwise(F.lit(no))
     filled = lambda col: F.coalesce(F.trim(col) != "", F.lit(False))
@@ -181,7 +191,7 @@ def author_parts(now: Column, q) -> list[Part]:
         ("craft", c("median_craft"), 0.30), ("originality", F.when(n > 0, c("original_skills") / n), 0.22),
         ("reach", mid_rank(q("author_stars"), c("total_stars")), 0.16), ("followers", mid_rank(q("author_followers"), c("followers")), 0.08),
         ("body_of_work", work, 0.10), ("consistency", steady, 0.08),
-        ("longevity", F.least(F.lit(1.0), days_since(c("first_repo_at"), now) / 540.0), 0.03),
+        ("longevity", at_most(days_since(c("first_repo_at"), now) / 540.0, 1.0), 0.03),
         ("still_active", recency(days_since(c("last_push_at"), now), 180.0), 0.03),
     ]
 

@@ -225,7 +225,7 @@ def agg_category_tree(spark, d):
 
 LISTED = "coalesce(json_array_length(nullif({}, '')), 0)"
 VALUES = f"""vals AS (SELECT metric, v::DOUBLE AS v FROM (SELECT stars, forks, subscribers, open_issues, size_kb, contributors, releases, skill_count,
-    stars / greatest(greatest(0.0, (epoch_us({NOW_SQL}) - epoch_us(created_at)) / 86400000000.0), 30.0) AS stars_per_day
+    CASE WHEN created_at IS NOT NULL THEN stars / greatest((epoch_us({NOW_SQL}) - epoch_us(created_at)) / 86400000000.0, 30.0) END AS stars_per_day
     FROM (SELECT stars::DOUBLE AS stars, forks::DOUBLE AS forks, subscribers::DOUBLE AS subscribers, open_issues::DOUBLE AS open_issues, size_kb::DOUBLE AS size_kb,
       contributors::DOUBLE AS contributors, releases::DOUBLE AS releases, skill_count::DOUBLE AS skill_count, created_at
       FROM cr WHERE NOT coalesce(archived, false) AND NOT coalesce(disabled, false)))
@@ -304,7 +304,7 @@ def agg_top_orders(spark, d):
 
 # --- scoring ---------------------------------------------------------------
 
-DAYS = "greatest(0.0, (epoch_us({now}) - epoch_us({c})) / 86400000000.0)"
+DAYS = "(CASE WHEN {c} IS NOT NULL THEN greatest(0.0, (epoch_us({now}) - epoch_us({c})) / 86400000000.0) END)"
 _DAYS = lambda c: DAYS.format(now=NOW_SQL, c=c)
 
 
@@ -324,13 +324,13 @@ def pct_sql(metric: str, value: str) -> str:
 
 def rec_sql(days: str, half: float) -> str:
     """Recency as SQL."""
-    return f"exp(-greatest({days}, 0.0) * (ln(2) / {half}))"
+    return f"exp(-({days}) * (ln(2) / {half}))"
 
 
 QMAP = "qm AS (SELECT map_from_entries(list((metric, quantiles))) AS q FROM qs)"
 FILLED = "coalesce({} <> '', false)"
 _POP = blend_sql([(pct_sql("stars", "stars"), .60), (pct_sql("forks", "forks"), .25), (pct_sql("subscribers", "subscribers"), .15)])
-_MOM = blend_sql([(pct_sql("stars_per_day", f"coalesce(stars, 0) / greatest({_DAYS('created_at')}, 30.0)"), .65), (rec_sql(_DAYS("pushed_at"), 120.0), .35)])
+_MOM = blend_sql([(pct_sql("stars_per_day", f"CASE WHEN created_at IS NOT NULL THEN coalesce(stars, 0) / greatest({_DAYS('created_at')}, 30.0) END"), .65), (rec_sql(_DAYS("pushed_at"), 120.0), .35)])
 _LOAD = f"1.0 - coalesce(nullif({pct_sql('open_issues', 'open_issues')}, 0.0), 0.5)"
 _MAI = blend_sql([(rec_sql(_DAYS("pushed_at"), 120.0), .50), (pct_sql("releases", "releases"), .10), ("CASE WHEN has_issues THEN 1.0 ELSE 0.0 END", .10), (_LOAD, .10)])
 _AUT = blend_sql([("CASE WHEN owner_type = 'Organization' THEN 1.0 ELSE 0.35 END", .25), (f"CASE WHEN {FILLED.format('license')} THEN 1.0 ELSE 0.0 END", .20),
@@ -394,7 +394,7 @@ def ranking(spark, d) -> dict[str, DataFrame]:
 _CONS = blend_sql([("licensed_rate", .45), ("described_rate", .35), ("least(1.0, skill_repos / 3.0)", .20)])
 _AUTHOR = blend_sql([("median_craft", .30), ("CASE WHEN skills > 0 THEN original_skills / skills::DOUBLE END", .22), (pct_sql("author_stars", "total_stars"), .16),
                      (pct_sql("author_followers", "followers"), .08), ("CASE WHEN skills > 0 THEN least(1.0, log10(skills + 1) / 2.0) ELSE 0.0 END", .10), (_CONS, .08),
-                     (f"least(1.0, {_DAYS('first_repo_at')} / 540.0)", .03), (rec_sql(_DAYS("last_push_at"), 180.0), .03)])
+                     (f"CASE WHEN first_repo_at IS NOT NULL THEN least(1.0, {_DAYS('first_repo_at')} / 540.0) END", .03), (rec_sql(_DAYS("last_push_at"), 180.0), .03)])
 AUTHORED = f"""{PROFILES}, av AS (SELECT metric, list_sort(list(v)) AS l, count(*) AS n FROM (SELECT 'author_stars' AS metric, total_stars::DOUBLE AS v FROM prof WHERE skills > 0 UNION ALL
     SELECT 'author_followers', followers::DOUBLE FROM prof WHERE skills > 0 AND followers IS NOT NULL) GROUP BY 1 HAVING count(*) >= 8),
   aq AS (SELECT map_from_entries(list((metric, list_transform(range(0, 101), lambda p: l[1 + round_even(p / 100.0::DOUBLE * (n - 1), 0)::INT])))) AS q FROM av),

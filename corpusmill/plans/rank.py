@@ -21,7 +21,7 @@ def listed(column: str) -> Column:
 def corpus_values(skills: DataFrame, repos: DataFrame, now: Column) -> DataFrame:
     """(metric, v): what the corpus statistics are about; archived and disabled repositories and invalid documents don't count."""
     live = repos.filter(~F.coalesce("archived", F.lit(False)) & ~F.coalesce("disabled", F.lit(False)))
-    per_day = F.coalesce("stars", F.lit(None)) / F.greatest(s.days_since(F.col("created_at"), now), F.lit(30.0))
+    per_day = F.col("stars") / s.at_least(s.days_since(F.col("created_at"), now), 30.0)
     one = unpivot(live, {**{m: F.col(m) for m in REPO_METRICS}, "stars_per_day": per_day})
     two = unpivot(skills.filter("valid = 1"), {"body_len": F.col("body_len"), "resource_count": listed("resources")})
     return one.unionByName(two)

@@ -67,12 +67,12 @@ def cost(offset: Column, limit: Column) -> Column:
     return (F.lit(1.0) + offset / 200.0) * (1.0 + limit / 100.0)
 
 
-def limited(events: DataFrame, client: str, at: str, price: str, rate: float, burst: float) -> DataFrame:
+def limited(events: DataFrame, client: str, at: str, price: str, rate: float, burst: float, late: str = "1 hour") -> DataFrame:
     """(client, at, price, allowed): a token bucket a client, in a stream or a batch.
 
     Tokens refill with ``rate`` a second up to ``burst``; a request is allowed if
     they cover its price. Requests of one client are taken in order of time. State
-    is two numbers a client and goes after an hour without requests.
+    is two numbers a client and goes once the watermark is an hour past its last request.
     """
     c_type = events.schema[client].dataType.simpleString()
     t_type = events.schema[at].dataType.simpleString()
@@ -102,11 +102,11 @@ def limited(events: DataFrame, client: str, at: str, price: str, rate: float, bu
         if got:
             out, tokens, last = spend(pd.concat(got), tokens, last)
             state.update((float(tokens), float(last)))
-            state.setTimeoutDuration(3_600_000)
+            state.setTimeoutTimestamp(max(int(last * 1000), state.getCurrentWatermarkMs()) + 3_600_000)
             yield out
 
-    rows = events.select(client, at, F.col(price).cast("double").alias(price))
-    return rows.groupBy(client).applyInPandasWithState(stateful, schema, "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = events.select(client, at, F.col(price).cast("double").alias(price)).withWatermark(at, late)
+    return rows.groupBy(client).applyInPandasWithState(stateful, schema, "tokens double, last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def write_once(stream: DataFrame, path: str, checkpoint: str) -> None:
