@@ -191,6 +191,17 @@ class Windows:
         """Indexes of the windows whose anchor is estimated in two or more texts."""
         return np.flatnonzero(np.repeat(struck(bits, self.anchors, log), self.counts))
 
+    def listed(self, lists: list[np.ndarray]) -> np.ndarray:
+        """Indexes of the windows whose anchor is in their own text's list."""
+        on = np.zeros(len(self.heads), bool)
+        owner = self.text[self.heads]
+        bounds = np.searchsorted(owner, np.arange(len(lists) + 1))
+        for i, known in enumerate(lists):
+            a, b = bounds[i], bounds[i + 1]
+            if b > a and len(known):
+                on[a:b] = np.isin(self.anchors[a:b], known)
+        return np.flatnonzero(np.repeat(on, self.counts))
+
     def hashes(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two 64-bit hashes of each of the windows ``which``."""
         at = self.first[which]
@@ -231,7 +242,62 @@ def _shared(hits: DataFrame) -> DataFrame:
     return salted_lookup(hits, groups.filter("_a <> _b").select("h1", "h2", "_n"), ["h1", "h2"], F.col("pos"), "_n").select("d", "pos")
 
 
-def shared_spans(df: DataFrame, key: str, text: str, run: int = 300, log_cells: int | None = None) -> DataFrame:
+def _grouped_anchors(docs: DataFrame, d_type: str, run: int) -> DataFrame:
+    """(d, anchors): each text's anchors that another text has too, by exact grouping."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for base, w in _rows(batch.column(1), run):
+                text = w.text[w.heads]
+                pairs = np.unique(np.stack((text.astype(np.int64), w.anchors.view(np.int64))), axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs[0] + base)), pa.array(pairs[1])], names=["d", "a"])
+
+    rows = materialise(docs.mapInArrow(emit, f"d {d_type}, a bigint"), "anchors")
+    groups = rows.groupBy("a").agg(F.min("d").alias("_a"), F.max("d").alias("_b"), F.count("*").alias("_n")).filter("_a <> _b").select("a", "_n")
+    known = salted_lookup(rows, groups, ["a"], F.col("d"), "_n")
+    return known.groupBy("d").agg(F.collect_set("a").alias("anchors"))  # at most a text's own anchors
+
+
+def _all_windows(docs: DataFrame, d_type: str, run: int) -> DataFrame:
+    """(d, pos) of shared windows for a corpus no sketch can hold.
+
+    Anchors are grouped by a shuffle (about a sixth of the text's size), and every
+    window whose anchor lies in two or more texts is grouped exactly.
+    """
+    marked = docs.join(_grouped_anchors(docs, d_type, run), "d").select("d", "t", "anchors")
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [np.asarray(x, np.int64).view(k.U) for x in batch.column(2).to_pylist()]
+            for base, w in _rows(batch.column(1), run):
+                which = w.listed(lists[base : base + len(w.offsets) - 1])
+                if len(which):
+                    yield _hits(batch.column(0), base, w, which, *w.hashes(which))
+
+    return _shared(materialise(marked.mapInArrow(emit, f"d {d_type}, pos bigint, h1 bigint, h2 bigint"), "windows"))
+
+
+def _stretches(windows: DataFrame, key: str, d_type: str, run: int) -> DataFrame:
+    """Maximal stretches that a text's shared windows (d, pos) cover."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, starts, ends = [], [], []
+            for i, at in enumerate(batch.column(1).to_pylist()):
+                p = np.asarray(at, np.int64)
+                s, e = k.merge_spans(p, p + run)
+                ids += [i] * len(s)
+                starts.append(s)
+                ends.append(e)
+            if ids:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids)), pa.array(np.concatenate(starts)), pa.array(np.concatenate(ends))],
+                                                 names=[key, "start_pos", "end_pos"])
+
+    per_text = windows.groupBy("d").agg(F.collect_set("pos").alias("at"))  # at most the text's length
+    return per_text.mapInArrow(join, f"`{key}` {d_type}, start_pos bigint, end_pos bigint")
+
+
+def shared_spans(df: DataFrame, key: str, text: str, run: int = 300, log_cells: int | None = None, most_log: int = 27) -> DataFrame:
     """(key, start_pos, end_pos): each maximal stretch of a text in which every
     character lies in some run of ``run`` characters that also occurs, exactly, in
     the text of another key.
@@ -241,16 +307,21 @@ def shared_spans(df: DataFrame, key: str, text: str, run: int = 300, log_cells:
     are dropped; rows repeating a key count as the same text's. Texts are read
     whole.
 
-    log_cells: size of a sketch row, by default about eight cells a text anchor,
-        at most 2**27. A fuller sketch overestimates more, which costs shuffled
-        windows and never a result. Windows are grouped by 128 bits of hash.
+    log_cells: size of a sketch row, by default about eight cells a text anchor.
+        A fuller sketch overestimates more, which costs shuffled windows and never
+        a result.
+    most_log: the largest sketch row that may be broadcast. A corpus that needs
+        more is not squeezed into it: its anchors are grouped by a shuffle.
+    Windows are grouped by 128 bits of hash.
     """
     spark = df.sparkSession
     docs = df.select(F.col(key).alias("d"), F.col(text).alias("t")).filter(F.col("d").isNotNull() & (F.length("t") >= run))
     d_type = df.schema[key].dataType.simpleString()
     if log_cells is None:
         chars = docs.agg(F.sum(F.length("t"))).first()[0] or 0
-        log_cells = int(min(27, max(16, np.ceil(np.log2(8 * chars / ((run - inner_width(run)) / 2 + 1) + 1)))))
+        log_cells = int(max(16, np.ceil(np.log2(8 * chars / ((run - inner_width(run)) / 2 + 1) + 1))))
+        if log_cells > most_log:
+            return _stretches(_all_windows(docs, d_type, run), key, d_type, run)
     log = log_cells
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,22 +393,7 @@ def shared_spans(df: DataFrame, key: str, text: str, run: int = 300, log_cells:
 
     rest = materialise(docs.mapInArrow(answers, f"d {d_type}, pos bigint, h1 bigint, h2 bigint"), "edges")
     windows = covered.unionByName(_shared(rest))
-
-    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, starts, ends = [], [], []
-            for i, at in enumerate(batch.column(1).to_pylist()):
-                p = np.asarray(at, np.int64)
-                s, e = k.merge_spans(p, p + run)
-                ids += [i] * len(s)
-                starts.append(s)
-                ends.append(e)
-            if ids:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids)), pa.array(np.concatenate(starts)), pa.array(np.concatenate(ends))],
-                                                 names=[key, "start_pos", "end_pos"])
-
-    per_text = windows.groupBy("d").agg(F.collect_set("pos").alias("at"))  # at most the text's length
-    return per_text.mapInArrow(stretches, f"`{key}` {d_type}, start_pos bigint, end_pos bigint")
+    return _stretches(windows, key, d_type, run)
 
 
 def _merge_within(starts: np.ndarray, ends: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -44,6 +44,7 @@ def test_shared_spans_against_brute_force(spark, monkeypatch):
     assert got == brute_spans(texts, 30)
     small = sorted(tuple(r) for r in spans.shared_spans(df, "k", "t", run=30, log_cells=16).collect())
     assert small == got
+    assert sorted(tuple(r) for r in spans.shared_spans(df, "k", "t", run=30, most_log=1).collect()) == got
     amount = {r["k"]: (r["shared_chars"], r["share"]) for r in spans.shared_amount(df, "k", "t", run=30).collect()}
     assert amount[200] == (0, 0.0) and amount[103] == (0, 0.0) and amount[102] == (120, 1.0)
     assert spans.shared_spans(df.limit(0), "k", "t").count() == 0
