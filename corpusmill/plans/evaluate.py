@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import build_query, word_tokens
 from corpusmill.operators.fusion import overlap
+from corpusmill.operators.search import batch_bm25, build_index
 from corpusmill.operators.stats import document_frequency
+from corpusmill.runtime import materialise
 
+FIELDS = ("name", "description")
 FILLER = ("please", "help me with")
 
 
@@ -38,6 +41,28 @@ def rank_metrics(ranks: DataFrame, rank: str, at: Sequence[int] = (1, 3, 5, 10))
                      F.avg(F.coalesce(1.0 / r, F.lit(0.0))).alias("mrr"), F.expr(f"percentile({rank}, 0.5)").alias("median_rank"))
 
 
+def known_item_ranks(documents: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(qid, rank): place of the first result that is the query's own document or a copy of it, null if not among ``k``.
+
+    documents: (id, content_hash, name, description). queries: (qid, words, id,
+    content_hash). All queries run in one batch.
+    """
+    postings, stats = build_index(documents, "id", FIELDS)
+    postings = materialise(postings, "postings")
+    hits = batch_bm25(postings, stats, queries, k).join(documents.select("id", F.col("content_hash").alias("_h")), "id")
+    truth = queries.select("qid", F.col("id").alias("_id"), F.col("content_hash").alias("_t"))
+    same = (F.col("id") == F.col("_id")) | F.coalesce((F.col("_h") == F.col("_t")) & (F.col("_t") != ""), F.lit(False))
+    return truth.join(hits, "qid", "left").groupBy("qid").agg(F.min(F.when(same, F.col("pos"))).alias("rank"))
+
+
+def gate_metrics(df: DataFrame, label: str, flagged: str) -> DataFrame:
+    """One row: true and false positives and negatives, precision and recall of a gate on labelled rows."""
+    a, b = F.col(label), F.col(flagged)
+    counts = df.agg(F.count_if(a & b).alias("tp"), F.count_if(~a & b).alias("fp"), F.count_if(a & ~b).alias("fn"), F.count_if(~a & ~b).alias("tn"))
+    share = lambda x, y: F.when(F.col(x) + F.col(y) > 0, F.col(x) / (F.col(x) + F.col(y)))
+    return counts.withColumns({"precision": share("tp", "fp"), "recall": share("tp", "fn")})
+
+
 def concordance(hits: DataFrame, query: str, pos: str, score: str, least: int = 4) -> DataFrame:
     """(query, concordance): share of a result list's pairs in which the better place has the higher score; ties are left out.
 

@@ -761,6 +761,32 @@ def eval_concordance(spark, d):
     return ev.concordance(ranked, "repo", "p", "score").withColumn("concordance", F.round("concordance", 6))
 
 
+_KW = lambda c: f"regexp_extract_all(translate(lower(coalesce({c}, '')), '{tx.ACCENTED}', '{tx.PLAIN}'), '[\\p{{L}}\\p{{N}}]+')"
+
+
+@query(f"""{BOTH}, tk AS (SELECT id, content_hash, {_KW('name')} AS tn, {_KW('description')} AS td FROM cur), st AS (SELECT id, len(tn) + len(td) AS dl FROM tk),
+  po AS (SELECT id, term, sum(w) AS f FROM (SELECT id, unnest(tn) AS term, 10.0::DOUBLE AS w FROM tk UNION ALL SELECT id, unnest(td), 6.0 FROM tk) GROUP BY 1, 2),
+  dn AS (SELECT term, count(*) AS n FROM po GROUP BY 1), tot AS (SELECT count(*) AS big, avg(dl) AS a FROM st), qs AS (SELECT id AS qid, content_hash AS h, unnest(list_distinct(td[1:8])) AS term FROM tk WHERE id % 50 = 0),
+  sc AS (SELECT qid, po.id, round(sum((CASE WHEN ln((big - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((big - n + 0.5) / (n + 0.5)) END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / a))), 9) AS s
+    FROM qs JOIN po USING (term) JOIN dn USING (term) JOIN st ON st.id = po.id, tot GROUP BY 1, 2), rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS pos FROM sc)
+  SELECT t.id AS qid, min(CASE WHEN rk.id = t.id OR coalesce(c.content_hash = t.content_hash AND t.content_hash <> '', false) THEN pos END) AS rank
+  FROM tk t LEFT JOIN rk ON rk.qid = t.id AND pos <= 10 LEFT JOIN tk c ON c.id = rk.id WHERE t.id % 50 = 0 GROUP BY 1""")
+def eval_known_item_ranks(spark, d):
+    """The first words of every fiftieth document's description as a query, against all documents."""
+    s = materialise(skills(spark, d, "content_hash", "name", "description"), "documents")
+    words = F.slice(tx.tokens(F.col("description")), 1, 8)
+    asked = s.filter(F.col("id") % 50 == 0).select(F.col("id").alias("qid"), words.alias("words"), "id", "content_hash")
+    return ev.known_item_ranks(s, asked)
+
+
+@query(f"""{BOTH} SELECT count(*) FILTER (v AND s) AS tp, count(*) FILTER (NOT v AND s) AS fp, count(*) FILTER (v AND NOT s) AS fn, count(*) FILTER (NOT v AND NOT s) AS tn,
+  round(count(*) FILTER (v AND s) / nullif(count(*) FILTER (s), 0)::DOUBLE, 6) AS precision, round(count(*) FILTER (v AND s) / nullif(count(*) FILTER (v), 0)::DOUBLE, 6) AS recall
+  FROM (SELECT coalesce(risk_level, 'none') IN ('high', 'critical') AS v, coalesce(score < 45, false) AS s FROM cur)""")
+def eval_gate(spark, d):
+    s = skills(spark, d, "risk_level", "score").select(F.coalesce("risk_level", F.lit("none")).isin("high", "critical").alias("v"), F.coalesce(F.col("score") < 45, F.lit(False)).alias("s"))
+    return ev.gate_metrics(s, "v", "s").withColumns({c: F.round(c, 6) for c in ("precision", "recall")})
+
+
 @query()
 def eval_known_items(spark, d):
     s = skills(spark, d, "valid", "description", "content_hash")

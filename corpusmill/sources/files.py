@@ -99,6 +99,39 @@ def from_graphql(raw: Column, now: Column) -> list[Column]:
             now.alias("last_meta_at")]
 
 
+GITLAB_ROW = ("path_with_namespace string, path string, namespace struct<path:string,kind:string>, default_branch string, description string, star_count bigint, "
+              "forks_count bigint, open_issues_count bigint, topics array<string>, created_at timestamp, last_activity_at timestamp, archived boolean")
+HUB_ROW = "id string, author string, likes bigint, tags array<string>, createdAt timestamp, lastModified timestamp, disabled boolean, siblings array<struct<rfilename:string>>"
+
+
+def from_gitlab(raw: Column, now: Column, host: str = "gitlab.com") -> list[Column]:
+    """Columns of a repository row from a project's JSON; names carry the host, as forges share none."""
+    r = F.from_json(raw, GITLAB_ROW)
+    return [F.concat(F.lit(host + "/"), r["path_with_namespace"]).alias("full_name"), r["namespace"]["path"].alias("owner"), r["path"].alias("name"),
+            F.when(r["namespace"]["kind"] == "group", "Organization").otherwise("User").alias("owner_type"), r["default_branch"].alias("default_branch"),
+            r["description"].alias("description"), r["star_count"].alias("stars"), r["forks_count"].alias("forks"), r["open_issues_count"].alias("open_issues"),
+            r["topics"].alias("topics"), r["created_at"].alias("created_at"), r["last_activity_at"].alias("pushed_at"), r["archived"].alias("archived"),
+            F.lit(host).alias("host"), now.alias("last_meta_at")]
+
+
+def from_hub(raw: Column, now: Column, host: str = "huggingface.co") -> list[Column]:
+    """Columns of a repository row, and the paths of its documents, from a model hub's JSON."""
+    r = F.from_json(raw, HUB_ROW)
+    licence = F.try_element_at(F.filter(r["tags"], lambda t: t.startswith("license:")), F.lit(1))
+    paths = F.filter(F.transform(r["siblings"], lambda x: x["rfilename"]), lambda p: F.lower(F.substring_index(p, "/", -1)) == "skill.md")
+    return [F.concat(F.lit(host + "/"), r["id"]).alias("full_name"), r["author"].alias("owner"), F.substring_index(r["id"], "/", -1).alias("name"),
+            r["likes"].alias("stars"), F.regexp_replace(licence, "^license:", "").alias("license"), r["tags"].alias("topics"), r["createdAt"].alias("created_at"),
+            r["lastModified"].alias("pushed_at"), r["disabled"].alias("disabled"), F.lit(host).alias("host"), paths.alias("paths"), now.alias("last_meta_at")]
+
+
+def compact(spark: SparkSession, source: str, target: str, rows_per_file: int = 5_000_000, sort: str | None = None) -> None:
+    """Rewrite a Parquet dataset in fewer, larger files; with ``sort`` range-partitioned by it, so that filters on it skip files."""
+    df = spark.read.parquet(source)
+    files = max(1, -(-df.count() // rows_per_file))
+    shaped = df.repartitionByRange(files, sort).sortWithinPartitions(sort) if sort else df.repartition(files)
+    shaped.write.option("maxRecordsPerFile", rows_per_file).mode("overwrite").parquet(target)
+
+
 def archive_members(blob: bytes, wanted=lambda p: p.rsplit("/", 1)[-1].lower() == "skill.md", most: int = 5000, largest: int = 512 * 1024) -> Iterator[tuple[str, str]]:
     """(path without the top folder, text) of the wanted members of a tar.gz; a broken archive ends early."""
     n = 0

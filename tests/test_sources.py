@@ -41,6 +41,17 @@ def test_api_rows(spark):
     assert (one["stars"], one["license"], two["owner_type"], two["license"]) == (3, None, "Organization", "MIT")
 
 
+def test_other_forges(spark, tmp_path):
+    lab = json.dumps({"path_with_namespace": "g/p", "path": "p", "namespace": {"path": "g", "kind": "group"}, "star_count": 2})
+    hub = json.dumps({"id": "o/m", "author": "o", "likes": 5, "tags": ["license:mit", "x"], "siblings": [{"rfilename": "a/SKILL.md"}, {"rfilename": "README.md"}]})
+    df = spark.createDataFrame([(lab, hub)], "l string, h string")
+    one, two = df.select(*sf.from_gitlab(F.col("l"), F.current_timestamp())).first(), df.select(*sf.from_hub(F.col("h"), F.current_timestamp())).first()
+    assert (one["full_name"], one["owner_type"], two["license"], two["paths"]) == ("gitlab.com/g/p", "Organization", "mit", ["a/SKILL.md"])
+    spark.range(100).repartition(7).write.parquet(str(tmp_path / "many"))
+    sf.compact(spark, str(tmp_path / "many"), str(tmp_path / "few"), sort="id")
+    assert spark.read.parquet(str(tmp_path / "few")).count() == 100 and len(list((tmp_path / "few").glob("*.parquet"))) == 1
+
+
 def tarball(members: dict[str, bytes]) -> bytes:
     out = io.BytesIO()
     with tarfile.open(fileobj=out, mode="w:gz") as t:
