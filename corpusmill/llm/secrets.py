@@ -173,7 +173,7 @@ def _in_line(text: str, a: int, b: int, families: set[str]) -> Iterator[tuple[in
                 yield a + m.start("raw"), a + m.end("raw")
     if "user" in families:
         for m in USER_RX.finditer(line):
-            if literal(m.group("raw"), True):
+            if len(m.group("raw")) >= 6 and not weak(m.group("raw")):
                 yield a + m.start("raw"), a + m.end("raw")
     if "bearer" in families:
         for m in BEARER_RX.finditer(line):
