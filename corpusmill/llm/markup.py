@@ -42,7 +42,7 @@ NAMES = {"label", "ref", "cite", "citep", "citet", "eqref", "pageref", "usepacka
 HEADINGS = {"part": 1, "chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4}
 MATH = {"equation", "align", "gather", "multline", "eqnarray", "math", "displaymath", "flalign", "alignat"}
 
-FENCE = re.compile(r"^[ \t]*(?:[-*+>][ \t]+|\d+[.)][ \t]+)*(`{3,}(?=[^`\n]*$)|~{3,})", re.MULTILINE)
+FENCE = re.compile(r"^[^\S\n]*(?:[-*+>][^\S\n]+|\d+[.)][^\S\n]+)*(`{3,}(?=[^`\n]*$)|~{3,})", re.MULTILINE)
 TICKS = re.compile(r"`+")
 TAG = re.compile(r"<(?P<close>/?)(?P<name>[A-Za-z][A-Za-z0-9]*)(?P<rest>(?:\s+(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)?\s*/?)>")
 COMMENT = re.compile(r"<!--.*?-->|<!--(?=[^\n]*$)|<!DOCTYPE[^>]*>", re.DOTALL | re.IGNORECASE)
@@ -85,7 +85,7 @@ def code_spans(text: str) -> list[tuple[int, int, bool]]:
     at = 0
     while m := FENCE.search(text, at):
         mark = m.group(1)
-        close = re.compile(rf"^[ \t>]*{re.escape(mark[0])}{{{len(mark)},}}[ \t]*\r?$", re.MULTILINE)
+        close = re.compile(rf"^(?:[^\S\n]|>)*{re.escape(mark[0])}{{{len(mark)},}}[^\S\n]*$", re.MULTILINE)
         line_end = text.find("\n", m.end())
         c = close.search(text, line_end + 1) if line_end >= 0 else None
         start = text.rfind("\n", 0, m.start(1)) + 1
