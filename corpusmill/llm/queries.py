@@ -199,6 +199,14 @@ STAT_VALUES = f"""{CURRENT_SKILLS}, {CURRENT_REPOS}, base AS (
   UNION ALL SELECT metric, own, stat_day, value FROM base WHERE value IS NOT NULL AND own IS NOT NULL AND own <> 'all')"""
 
 
+SHARED = """WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 300),
+  w AS (SELECT doc_id, i, md5(substring(text, i + 1, 300)) AS h FROM (SELECT doc_id, text, unnest(range(0, n - 299)) AS i FROM d)),
+  s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+  p AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM w SEMI JOIN s USING (h)),
+  g AS (SELECT *, sum(CASE WHEN gap <= 300 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM p),
+  r AS (SELECT doc_id, min(i) AS start_pos, max(i) + 300 AS end_pos FROM g GROUP BY doc_id, k)"""
+
+
 def oracle_sql() -> dict[str, str]:
     words = lambda c: f"array_to_string(regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}]+'), ' ')"
     same = f"""
@@ -249,6 +257,10 @@ def oracle_sql() -> dict[str, str]:
         iw AS (SELECT DISTINCT item_id, array_to_string(w[s:s + 11], ' ') AS x FROM (
           SELECT item_id, w, unnest(range(1, len(w) - 10)) AS s FROM i WHERE len(w) >= 12))
         SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (x)""",
+        "p10_found": SHARED + " SELECT doc_id, start_pos, end_pos FROM r",
+        "p10_amount": SHARED + """, a AS (SELECT doc_id, sum(end_pos - start_pos)::BIGINT AS c FROM r GROUP BY 1)
+          SELECT doc_id, coalesce(c, 0) AS shared_chars, CASE WHEN length(text) > 0 THEN coalesce(c, 0) / length(text)::DOUBLE ELSE 0.0 END AS share
+          FROM documents LEFT JOIN a USING (doc_id)""",
         "p6_found": f"""
         WITH {CURRENT_SKILLS} SELECT id FROM (SELECT id, row_number() OVER (
           PARTITION BY repo, CAST(first_seen AT TIME ZONE 'UTC' AS DATE) ORDER BY score DESC NULLS LAST, id) AS r FROM cur) WHERE r > 8""",
