@@ -459,8 +459,8 @@ _ALL = "(" + " AND ".join(f"f{i} > 0" for i in range(len(_TERMS))) + ")"
 
 @query(f"WITH {CUR}, {BM25} SELECT id, round(bm25, 6) AS bm25 FROM bm WHERE {_ANY} ORDER BY round(bm25, 9) DESC, id LIMIT 50")
 def search_bm25_scan(spark, d):
-    rows, n = sr.match_scan(skills(spark, d, *sr.FIELD_WEIGHTS), "id", SEARCH_TEXT)
-    rows = sr.bm25(materialise(rows, "bm"), n).filter(sr.matches(False)).withColumn("o", F.round("bm25", 9))
+    rows, n = rt.matched(table(spark, d, "skills"), SEARCH_TEXT, "last_seen")
+    rows = sr.bm25(materialise(rows.select("id", "f", "dl"), "bm"), n).filter(sr.matches(False)).withColumn("o", F.round("bm25", 9))
     return sr.top_k(rows, "o", 50).select("id", F.round("bm25", 6).alias("bm25"))
 
 
@@ -481,14 +481,14 @@ _JOINED = f"hit AS (SELECT bm.*, cur.content_hash, cur.score, cur.repo, cur.sour
 
 @query(f"{BOTH}, {BM25}, {_JOINED} SELECT CASE WHEN count(*) FILTER ({_ALL}) >= 25 THEN count(*) FILTER ({_ALL}) ELSE count(*) FILTER ({_ANY}) END AS matches FROM hit")
 def search_count(spark, d):
-    return rt.count_matches(skills(spark, d, *dict.fromkeys([*rt.DETAIL, *sr.FIELD_WEIGHTS])), repos(spark, d, "license", *rt.REPO_DETAIL), SEARCH_TEXT, now=now())
+    return rt.count_matches(table(spark, d, "skills"), repos(spark, d, "license", *rt.REPO_DETAIL), SEARCH_TEXT, now=now(), at="last_seen")
 
 
 @query(f"""{BOTH}, {BM25}, {_JOINED}, l AS (SELECT 'kind' AS facet, source_kind AS value FROM hit WHERE {_ANY} UNION ALL SELECT 'license', license FROM hit WHERE {_ANY}
   UNION ALL SELECT 'language', language FROM hit WHERE {_ANY}), c AS (SELECT facet, value, count(*) AS n FROM l WHERE value <> '' GROUP BY 1, 2)
   SELECT facet, value, n FROM (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY n DESC, value) AS r FROM c) WHERE r <= 10""")
 def search_facets(spark, d):
-    return rt.facet_counts(skills(spark, d, *dict.fromkeys([*rt.DETAIL, *sr.FIELD_WEIGHTS])), repos(spark, d, "license", *rt.REPO_DETAIL), SEARCH_TEXT, now=now())
+    return rt.facet_counts(table(spark, d, "skills"), repos(spark, d, "license", *rt.REPO_DETAIL), SEARCH_TEXT, now=now(), at="last_seen")
 
 
 _MODE = f"m AS (SELECT count(*) FILTER ({_ALL}) >= 25 AS both_ FROM hit)"
@@ -501,8 +501,7 @@ _MODE = f"m AS (SELECT count(*) FILTER ({_ALL}) >= 25 AS both_ FROM hit)"
   dv AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY rank DESC, id) > 3 AS over_ FROM rr),
   fin AS (SELECT *, row_number() OVER (ORDER BY over_, rank DESC, id) AS place FROM dv) SELECT id, place AS pos, round(rank, 6) AS rank, duplicates FROM fin WHERE place <= 20""")
 def search_end_to_end(spark, d):
-    s = skills(spark, d, *dict.fromkeys([*rt.DETAIL, *sr.FIELD_WEIGHTS]))
-    out = rt.search(s, repos(spark, d, "license", *rt.REPO_DETAIL), SEARCH_TEXT, now=now())
+    out = rt.search(table(spark, d, "skills"), repos(spark, d, "license", *rt.REPO_DETAIL), SEARCH_TEXT, now=now(), at="last_seen")
     return out.select("id", F.col("pos"), F.round("rank", 6).alias("rank"), "duplicates")
 
 
@@ -527,9 +526,8 @@ def search_vectors(spark, d):
 
 @query()
 def search_hashing_embedder(spark, d):
-    s = skills(spark, d, "name", "description", "repo", "body")
     v = vx.embedder("hashing", dim=64)(tx.embed_text(F.col("name"), F.col("description"), F.col("repo"), F.col("body")))
-    return s.select("id", v.alias("vector"))
+    return from_texts(spark, d, vector=v)
 
 
 # --- ranked lists ----------------------------------------------------------
@@ -646,12 +644,13 @@ def text_hash(spark, d):
 
 @query(f"WITH {CUR} SELECT id, regexp_replace(regexp_extract(coalesce(body, ''), '(?m)^#[ \\t]+(.+)$', 1), '^\\s+|\\s+$', '', 'g') AS heading FROM cur")
 def text_heading(spark, d):
-    return table_text(spark, d, "body").select("id", tx.first_heading(F.col("body")).alias("heading"))
+    return from_texts(spark, d, heading=tx.first_heading(F.col("body")))
 
 
-def table_text(spark, d, *columns) -> DataFrame:
-    """Current skills with texts."""
-    return skills(spark, d, *columns)
+def from_texts(spark, d, **made: Column) -> DataFrame:
+    """(id, columns made from texts) of current skills: made where the texts lie, then the latest kept."""
+    rows = table(spark, d, "skills").select("id", "last_seen", *[c.alias(n) for n, c in made.items()])
+    return latest(rows, "id", "last_seen", list(made))
 
 
 _LINKS = r"""list_sort(list_distinct(list_transform(regexp_extract_all(coalesce(body, ''), '(?:\]\(|[`''"])((?:\./)?(?:scripts|references|assets)/[^)`''"\s]+)', 1), lambda x: regexp_replace(x, '^[./]+', ''))))"""
@@ -659,7 +658,7 @@ _LINKS = r"""list_sort(list_distinct(list_transform(regexp_extract_all(coalesce(
 
 @query(f"WITH {CUR} SELECT id, {_LINKS} AS resources FROM cur")
 def text_resources(spark, d):
-    return table_text(spark, d, "body").select("id", tx.resource_links(F.col("body")).alias("resources"))
+    return from_texts(spark, d, resources=tx.resource_links(F.col("body")))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9][a-z0-9_+-]{1,}')) AS n FROM documents")
@@ -670,10 +669,11 @@ def text_tokens(spark, d):
 @query()
 def text_parse(spark, d):
     """Documents put together from the columns and parsed back; the tests compare them with the columns."""
-    s = skills(spark, d, "name", "description", "license", "body")
+    s = table(spark, d, "skills").select("id", "last_seen", "name", "description", "body")
     quoted = lambda c: F.regexp_extract(F.to_json(F.struct(F.coalesce(c, F.lit("")).alias("x"))), r'^\{"x":(.*)\}$', 1)
     text = F.concat(F.lit("---\nname: "), quoted("name"), F.lit("\ndescription: "), quoted("description"), F.lit("\n---\n"), F.coalesce("body", F.lit("")))
-    return s.select("id", tx.parse_skill(text).alias("p")).select("id", "p.name", "p.description", "p.body_len", "p.valid", "p.resources")
+    parsed = s.select("id", "last_seen", tx.parse_skill(text).alias("p")).select("id", "last_seen", "p.name", "p.description", "p.body_len", "p.valid", "p.resources")
+    return latest(parsed, "id", "last_seen", ["name", "description", "body_len", "valid", "resources"])
 
 
 @query()
@@ -718,9 +718,9 @@ def classify_catalogue(spark, d):
 
 @query()
 def assess_bodies(spark, d):
-    s = skills(spark, d, "body")
+    s = table(spark, d, "skills").select("id", "last_seen", "body")
     out = ax.assess(s, F.col("body"), F.sha2(F.coalesce("body", F.lit("")), 256))
-    return out.select("id", "verdict.level", "verdict.score", "verdict.capabilities")
+    return latest(out.select("id", "last_seen", "verdict.level", "verdict.score", "verdict.capabilities"), "id", "last_seen", ["level", "score", "capabilities"])
 
 
 @query(f"""{BOTH}, j AS (SELECT id, coalesce(risk_level, 'none') AS level, CASE WHEN score < 30 THEN 'serious' WHEN score < 50 THEN 'minor' WHEN score IS NOT NULL THEN 'none' END AS harm, valid <> 1 AS mismatch FROM cur),

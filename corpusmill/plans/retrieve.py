@@ -12,6 +12,7 @@ from corpusmill.functions.text import compile_query, owner_of, snippet_of
 from corpusmill.operators import filters as fl
 from corpusmill.operators import fusion
 from corpusmill.operators import search as sr
+from corpusmill.operators.latest import latest
 from corpusmill.runtime import materialise
 
 DETAIL = ("repo", "path", "name", "description", "source_kind", "license", "score", "content_hash", "risk_level", "valid")
@@ -24,27 +25,43 @@ def joined(skills: DataFrame, repos: DataFrame) -> DataFrame:
     return skills.join(r, "repo")
 
 
+def matched(skills: DataFrame, query: str, at: str | None) -> tuple[DataFrame, int]:
+    """((id, f, dl, detail...), number of terms) by a scan of the texts.
+
+    at: with it ``skills`` may hold several states of an id; hits are counted where
+        the texts lie and only the latest state's are kept, so texts don't travel.
+    """
+    keep = [c for c in DETAIL if c in skills.columns]
+    rows, n = sr.match_scan(skills, "id", query, [*keep, *([at] if at else [])])
+    return (latest(rows, "id", at, [*keep, "f", "dl"]) if at else rows), n
+
+
 def candidates(skills: DataFrame, repos: DataFrame, query: str, filters: Mapping[str, Any] | None = None, now: Column | None = None,
-               index: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, int]:
+               index: tuple[DataFrame, DataFrame] | None = None, at: str | None = None) -> tuple[DataFrame, int]:
     """Matching documents with ``f``, ``dl``, ``bm25`` and detail, and the number of query terms.
 
     With an index only its postings of the query's terms are read; without one the
     texts are scanned once. Term statistics are those of all documents either way.
     """
-    keep = [c for c in DETAIL if c in skills.columns]
     if index is not None:
         postings, stats = index
         hits, n = sr.match_index(postings, query)
         rows = stats.join(hits, "id", "left").withColumn("f", F.coalesce("f", F.array(*[F.lit(0.0)] * max(n, 1))))
-        rows = sr.bm25(rows, n).filter(sr.matches(False)).join(skills.select("id", *keep), "id")
+        rows = sr.bm25(rows, n).filter(sr.matches(False)).join(details(skills, at), "id")
     else:
-        rows, n = sr.match_scan(skills, "id", query, keep)
+        rows, n = matched(skills, query, at)
         rows = materialise(rows, "matches")  # narrow: no text
         rows = sr.bm25(rows, n).filter(sr.matches(False))
     rows = joined(rows, repos)
     return rows.filter(fl.request_filter(filters or {}, rows.columns, now)), n
 
 
+def details(skills: DataFrame, at: str | None) -> DataFrame:
+    """Current documents without their texts."""
+    keep = [c for c in DETAIL if c in skills.columns]
+    return latest(skills, "id", at, keep) if at else skills.select("id", *keep)
+
+
 def keyword(rows: DataFrame, k: int) -> DataFrame:
     """The best ``k`` by BM25 of all-terms matches, or of any-term ones if these are too few, with ``pos``."""
     chosen = rows.filter(sr.matches(sr.choose_mode(rows)))
@@ -53,13 +70,14 @@ def keyword(rows: DataFrame, k: int) -> DataFrame:
 
 def search(skills: DataFrame, repos: DataFrame, query: str, *, limit: int = 20, filters: Mapping[str, Any] | None = None, now: Column | None = None,
            vectors: tuple[DataFrame, Sequence[float]] | None = None, quality_weight: float = 0.5, max_per_repo: int | None = 3,
-           authors: DataFrame | None = None, index: tuple[DataFrame, DataFrame] | None = None, snippets: bool = False) -> DataFrame:
+           authors: DataFrame | None = None, index: tuple[DataFrame, DataFrame] | None = None, snippets: bool = False,
+           at: str | None = None) -> DataFrame:
     """The ``limit`` best documents for a text: (pos, id, rank, matched_by, duplicates, detail...).
 
     vectors: ((id, embedding) rows, query vector) adds a channel of neighbours.
     Copies are collapsed before ranks are fused; quality reorders what was found.
     """
-    rows, _ = candidates(skills, repos, query, filters, now, index)
+    rows, _ = candidates(skills, repos, query, filters, now, index, at)
     rows = materialise(rows, "candidates")
     kw = keyword(rows, limit * 5)
     channels = {"keyword": kw.select("id", "pos")}
@@ -67,8 +85,8 @@ def search(skills: DataFrame, repos: DataFrame, query: str, *, limit: int = 20,
     if vectors is not None:
         vec_rows, q = vectors
         near = sr.vector_top_k(vec_rows, "id", "embedding", q, limit * 5)
-        details = joined(skills.select("id", *[c for c in DETAIL if c in skills.columns]), repos)
-        near = near.join(details.filter(fl.request_filter(filters or {}, details.columns, now)), "id")
+        known = joined(details(skills, at), repos)
+        near = near.join(known.filter(fl.request_filter(filters or {}, known.columns, now)), "id")
         near = fusion.positions(near, [F.col("similarity").desc(), F.col("id")])
         channels["vector"] = near.select("id", "pos")
         found = fusion.merge_channels(found, near.select(*found.columns), "id")
@@ -78,7 +96,9 @@ def search(skills: DataFrame, repos: DataFrame, query: str, *, limit: int = 20,
     listed = fusion.diversify(ranked, "repo", order, max_per_repo) if max_per_repo else fusion.positions(ranked, order)
     out = listed.filter(F.col("pos") <= limit)
     if snippets:
-        out = out.join(skills.select("id", snippet_of(compile_query(query)[0])("body").alias("snippet")), "id")
+        bodies = skills.join(out.select("id"), "id", "left_semi")  # the texts of one page
+        bodies = latest(bodies, "id", at, ["body"]) if at else bodies
+        out = out.join(bodies.select("id", snippet_of(compile_query(query)[0])("body").alias("snippet")), "id")
     if authors is not None:
         out = out.join(authors.select(F.col("login").alias("_l"), "author_score"), owner_of(F.col("repo")) == F.col("_l"), "left").drop("_l")
     return out
@@ -101,16 +121,16 @@ def browse(skills: DataFrame, repos: DataFrame, *, sort: str = "quality", limit:
     return placed.filter(F.col("pos").between(offset + 1, offset + limit))
 
 
-def count_matches(skills: DataFrame, repos: DataFrame, query: str, filters: Mapping[str, Any] | None = None, now: Column | None = None) -> DataFrame:
+def count_matches(skills: DataFrame, repos: DataFrame, query: str, filters: Mapping[str, Any] | None = None, now: Column | None = None,
+                  at: str | None = None) -> DataFrame:
     """One row: how many documents match (all terms if enough, else any)."""
-    rows, n = sr.match_scan(skills, "id", query, [c for c in DETAIL if c in skills.columns])
-    rows = joined(rows, repos)
+    rows = joined(matched(skills, query, at)[0], repos)
     return sr.count_matches(rows.filter(fl.request_filter(filters or {}, rows.columns, now)))
 
 
-def facet_counts(skills: DataFrame, repos: DataFrame, query: str, filters: Mapping[str, Any] | None = None, top: int = 10, now: Column | None = None) -> DataFrame:
+def facet_counts(skills: DataFrame, repos: DataFrame, query: str, filters: Mapping[str, Any] | None = None, top: int = 10, now: Column | None = None,
+                 at: str | None = None) -> DataFrame:
     """(facet, value, n) of the matching documents."""
-    rows, _ = sr.match_scan(skills, "id", query, [c for c in DETAIL if c in skills.columns])
-    rows = joined(rows, repos)
+    rows = joined(matched(skills, query, at)[0], repos)
     hits = rows.filter(sr.matches(False)).filter(fl.request_filter(filters or {}, rows.columns, now))
     return sr.facets(hits.withColumn("kind", F.col("source_kind")), ["kind", "license", "language"], top)
