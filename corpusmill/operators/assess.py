@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from corpusmill.runtime import materialise
+
 # Level thresholds.
 THRESHOLDS = ((9.0, "high"), (5.0, "medium"), (2.5, "low"))
 LEVELS = ("none", "low", "medium", "high", "critical")
@@ -113,17 +115,24 @@ def inspector(rules: Sequence[Rule] = RULES, combinations=COMBINATIONS):
     return run
 
 
-def assess(df: DataFrame, text: Column, content: Column, rules: Sequence[Rule] = RULES) -> DataFrame:
+def assess(df: DataFrame, text: Column, content: Column, rules: Sequence[Rule] = RULES, keep: Sequence[str] | None = None) -> DataFrame:
     """Add ``verdict``. Only gated texts reach Python, and each content once: copies share its verdict.
 
+    keep: columns of the result, without the text; then the gate runs in one scan
+        whose outcome, with the few gated texts, is written before it is joined.
     Texts that pass the gate untouched get level none. Null texts too.
     """
-    rows = df.withColumn("_hash", content).withColumn("_gated", F.coalesce(text.rlike(gate(rules)), F.lit(False)))
-    once = rows.filter("_gated").select("_hash", text.alias("_text")).dropDuplicates(["_hash"])
+    columns = list(keep) if keep is not None else df.columns
+    gated = F.when(F.coalesce(text.rlike(gate(rules)), F.lit(False)), text)
+    rows = df.select(*columns, gated.alias("_text"), content.alias("_hash"))
+    if keep is not None:
+        rows = materialise(rows.withColumn("_hash", F.when(F.col("_text").isNotNull(), F.col("_hash"))), "gated")
+    once = rows.filter("_text IS NOT NULL").select("_hash", "_text").dropDuplicates(["_hash"])
     verdicts = once.select("_hash", inspector(rules)("_text").alias("_v"))
     none = F.struct(F.lit("none").alias("level"), F.lit(0.0).alias("score"), F.array().cast("array<struct<rule:string,weight:double,evidence:string>>").alias("findings"),
                     F.array().cast("array<string>").alias("capabilities"))
-    return rows.join(verdicts, "_hash", "left").withColumn("verdict", F.coalesce(F.when(F.col("_gated"), F.col("_v")), none)).drop("_hash", "_gated", "_v")
+    joined = rows.drop("_text").withColumn("_gated", F.col("_hash").isNotNull()) if keep is not None else rows.withColumn("_gated", F.col("_text").isNotNull()).drop("_text")
+    return joined.join(verdicts, "_hash", "left").withColumn("verdict", F.coalesce(F.when(F.col("_gated"), F.col("_v")), none)).select(*columns, "verdict")
 
 
 def moved(old: DataFrame, new: DataFrame, key: str, level: str = "risk_level") -> DataFrame:

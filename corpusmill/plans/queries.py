@@ -719,7 +719,7 @@ def classify_catalogue(spark, d):
 @query()
 def assess_bodies(spark, d):
     s = table(spark, d, "skills").select("id", "last_seen", "body")
-    out = ax.assess(s, F.col("body"), F.sha2(F.coalesce("body", F.lit("")), 256))
+    out = ax.assess(s, F.col("body"), F.sha2(F.coalesce("body", F.lit("")), 256), keep=["id", "last_seen"])
     return latest(out.select("id", "last_seen", "verdict.level", "verdict.score", "verdict.capabilities"), "id", "last_seen", ["level", "score", "capabilities"])
 
 

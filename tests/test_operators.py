@@ -177,6 +177,8 @@ def test_assess_guards_and_gate(spark):
     df = spark.createDataFrame(texts, "id int, body string")
     got = {r["id"]: r["verdict"]["level"] for r in ax.assess(df, F.col("body"), F.sha2(F.coalesce("body", F.lit("")), 256)).collect()}
     assert got == {1: "high", 2: "high", 3: "none", 4: "none", 5: "none", 6: "critical", 7: "critical"}
+    narrow = ax.assess(df, F.col("body"), F.sha2(F.coalesce("body", F.lit("")), 256), keep=["id"])
+    assert narrow.columns == ["id", "verdict"] and {r["id"]: r["verdict"]["level"] for r in narrow.collect()} == got
 
 
 def test_upper_bound():
