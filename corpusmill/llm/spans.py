@@ -32,6 +32,7 @@ from corpusmill.runtime import materialise, small_rows
 BLOCK = 1 << 16
 DEPTH = 4
 SAMPLE = 32
+MOST_MARKS = 200_000
 
 
 @lru_cache(maxsize=1)
@@ -356,6 +357,9 @@ def shared_spans(df: DataFrame, key: str, text: str, run: int = 300, log_cells:
     covered = materialise(_shared(hits.filter("pos >= 0")), "covered")
     marks = hits.filter("pos < 0").select("d").distinct()
     covers = marks.join(covered.groupBy("d").agg(F.collect_list("pos").alias("at")), "d", "left")
+    # The list of texts with candidates is sent to the texts while it is small; else the texts are shuffled.
+    if marks.count() <= MOST_MARKS and covered.count() <= 10 * MOST_MARKS:
+        covers = F.broadcast(covers)
     open_docs = docs.join(covers, "d").select("d", "t", "at")
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
