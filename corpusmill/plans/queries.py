@@ -18,6 +18,7 @@ from corpusmill.operators import merge as mg
 from corpusmill.operators import search as sr
 from corpusmill.operators import stats as st
 from corpusmill.operators.latest import latest
+from corpusmill.operators.ranks import global_rank
 from corpusmill.plans import evaluate as ev
 from corpusmill.plans import rank as rk
 from corpusmill.plans import release as rl
@@ -748,7 +749,7 @@ def assess_disclosure(spark, d):
   SELECT count(*) AS n, round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0 END), 6) AS recall_1, round(avg(CASE WHEN r <= 3 THEN 1.0 ELSE 0 END), 6) AS recall_3, round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0 END), 6) AS recall_5,
   round(avg(CASE WHEN r <= 10 THEN 1.0 ELSE 0 END), 6) AS recall_10, round(avg(1.0 / r), 6) AS mrr, median(r) AS median_rank FROM r""")
 def eval_rank_metrics(spark, d):
-    ranks = fu.positions(skills(spark, d, "repo", "score"), [F.col("score").desc_nulls_last(), F.col("id")], "r", ["repo"])
+    ranks = global_rank(skills(spark, d, "repo", "score"), ["repo"], [F.col("score").desc_nulls_last(), F.col("id")], "r").withColumn("r", F.col("r") + 1)
     out = ev.rank_metrics(ranks, "r")
     return out.select("n", *[F.round(c, 6).alias(c) for c in ("recall_1", "recall_3", "recall_5", "recall_10", "mrr")], "median_rank")
 
@@ -757,7 +758,8 @@ def eval_rank_metrics(spark, d):
   big AS (SELECT repo FROM t GROUP BY 1 HAVING count(*) >= 4) SELECT a.repo, round(avg(CASE WHEN a.score > b.score THEN 1.0 ELSE 0 END), 6) AS concordance
   FROM t a JOIN t b ON a.repo = b.repo AND a.p < b.p AND a.score <> b.score WHERE a.repo IN (SELECT repo FROM big) GROUP BY 1""")
 def eval_concordance(spark, d):
-    ranked = fu.positions(skills(spark, d, "repo", "score", "body_len"), [F.col("body_len").desc_nulls_last(), F.col("id")], "p", ["repo"]).filter("p <= 10")
+    order = [F.col("body_len").desc_nulls_last(), F.col("id")]
+    ranked = global_rank(skills(spark, d, "repo", "score", "body_len"), ["repo"], order, "p").withColumn("p", F.col("p") + 1).filter("p <= 10")
     return ev.concordance(ranked, "repo", "p", "score").withColumn("concordance", F.round("concordance", 6))
 
 

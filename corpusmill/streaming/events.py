@@ -55,11 +55,23 @@ def sessions(events: DataFrame, at: str, gap: str, *by: str, late: str = "1 hour
     return counted.select(*by, F.col("_w.start").alias("session_start"), F.col("_w.end").alias("session_end"), "n")
 
 
-def breaker(events: DataFrame, at: str, failed: Column, seconds: int = 600, limit: int = 5, *by: str) -> DataFrame:
-    """Add ``recent`` (failures in the last ``seconds``, itself included) and ``stop`` (at least ``limit``)."""
-    spread = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    rows = events.withColumn("recent", F.sum(failed.cast("int")).over(spread))
-    return rows.withColumn("stop", F.col("recent") >= limit)
+def breaker(events: DataFrame, at: str, failed: Column, seconds: int = 600, limit: int = 5, *by: str, stretch: int = 20) -> DataFrame:
+    """Add ``recent`` (failures in the last ``seconds``, itself included) and ``stop`` (at least ``limit``).
+
+    Time is cut into stretches of ``stretch`` x ``seconds``; an event also goes to
+    the next stretch as context if it lies in reach of it. A group that holds most
+    events is thus spread over many tasks.
+    """
+    width = seconds * 1_000_000
+    us = F.unix_micros(F.col(at).cast("timestamp"))
+    own = F.floor(us / F.lit(width * stretch)).cast("bigint")
+    near_end = F.floor((us + width) / F.lit(width * stretch)).cast("bigint") > own
+    rows = events.withColumn("_us", us).withColumn("_f", failed.cast("int")).withColumn(
+        "_s", F.explode(F.when(near_end, F.array(F.struct(own.alias("b"), F.lit(True).alias("own")), F.struct((own + 1).alias("b"), F.lit(False).alias("own"))))
+                        .otherwise(F.array(F.struct(own.alias("b"), F.lit(True).alias("own"))))))
+    spread = Window.partitionBy(*by, "_s.b").orderBy("_us").rangeBetween(-width, 0)
+    counted = rows.withColumn("recent", F.sum("_f").over(spread)).filter("_s.own").drop("_us", "_f", "_s")
+    return counted.withColumn("stop", F.col("recent") >= limit)
 
 
 def cost(offset: Column, limit: Column) -> Column:
@@ -79,9 +91,8 @@ def limited(events: DataFrame, client: str, at: str, price: str, rate: float, bu
     schema = f"`{client}` {c_type}, `{at}` {t_type}, `{price}` double, allowed boolean"
 
     def spend(frame: pd.DataFrame, tokens: float, last: float | None) -> tuple[pd.DataFrame, float, float | None]:
-        frame = frame.sort_values(at, kind="stable")
         allowed = []
-        for t, p in zip(frame[at].astype("int64") / 1e9 if str(frame[at].dtype).endswith("[ns]") else frame[at].map(lambda x: x.timestamp()), frame[price]):
+        for t, p in zip(frame[at].map(lambda x: x.timestamp()), frame[price]):
             tokens = min(burst, tokens + (max(0.0, t - last) * rate if last is not None else 0.0))
             ok = tokens >= p
             tokens -= p if ok else 0.0
@@ -90,8 +101,22 @@ def limited(events: DataFrame, client: str, at: str, price: str, rate: float, bu
         return frame.assign(allowed=allowed)[[client, at, price, "allowed"]], tokens, last
 
     if not events.isStreaming:
-        return events.select(client, at, F.col(price).cast("double").alias(price)).groupBy(client).applyInPandas(
-            lambda f: spend(f, burst, None)[0], schema)
+        # Sorted by client and time, requests stream past two numbers; no client's requests are gathered.
+        ordered = events.select(client, at, F.col(price).cast("double").alias(price)).repartition(client).sortWithinPartitions(client, at)
+
+        def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            now, tokens, last = object(), burst, None
+            for frame in frames:
+                parts = []
+                for who, part in frame.groupby(client, sort=False, dropna=False):
+                    if not (who == now or (pd.isna(who) and now is None)):
+                        now, tokens, last = (None if pd.isna(who) else who), burst, None
+                    done, tokens, last = spend(part, tokens, last)
+                    parts.append(done)
+                if parts:
+                    yield pd.concat(parts)
+
+        return ordered.mapInPandas(walk, schema)
 
     def stateful(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -100,7 +125,7 @@ def limited(events: DataFrame, client: str, at: str, price: str, rate: float, bu
         tokens, last = state.get if state.exists else (burst, None)
         got = [f for f in frames]
         if got:
-            out, tokens, last = spend(pd.concat(got), tokens, last)
+            out, tokens, last = spend(pd.concat(got).sort_values(at, kind="stable"), tokens, last)
             state.update((float(tokens), float(last)))
             state.setTimeoutTimestamp(max(int(last * 1000), state.getCurrentWatermarkMs()) + 3_600_000)
             yield out
