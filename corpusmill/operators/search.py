@@ -191,3 +191,61 @@ def batch_bm25(postings: DataFrame, stats: DataFrame, queries: DataFrame, k: int
     leaders = sliced.withColumn("_r", F.row_number().over(Window.partitionBy("qid", "_s").orderBy(*order))).filter(F.col("_r") <= k)
     placed = leaders.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy(*order)))
     return placed.filter(F.col("pos") <= k).select("qid", "id", "bm25", "pos")
+
+
+def vector_search(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """(qid, key, similarity, pos): exact ``k`` nearest rows by cosine for each of many queries (qid, vector).
+
+    The queries are taken in blocks of at most ``block`` rows, each block one
+    broadcast matrix and one pass over the rows: a matrix product per Arrow batch,
+    of which only the best k of a task go on. Null, empty and zero vectors are
+    similar to nothing; vectors of another length than the block's are left out.
+    Similarities are compared to 9 decimals, ties go to the smaller key.
+    """
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+
+    spark = df.sparkSession
+    asked = queries.select("qid", "vector").filter(F.size("vector") > 0)
+    parts = max(1, -(-asked.count() // block))
+    key_type = df.schema[key].dataType.simpleString()
+    out = None
+    for p in range(parts):
+        rows = asked.filter(F.pmod(F.xxhash64("qid"), F.lit(parts)) == p).collect()
+        if not rows:
+            continue
+        dim = len(rows[0]["vector"])
+        rows = [r for r in rows if len(r["vector"]) == dim]
+        m = np.array([r["vector"] for r in rows], np.float64)
+        norms = np.linalg.norm(m, axis=1)
+        m, ids = m[norms > 0] / norms[norms > 0, None], np.array([r["qid"] for r in rows])[norms > 0]
+        shared = spark.sparkContext.broadcast((ids, m))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, dim=dim) -> Iterator[pa.RecordBatch]:
+            ids, m = shared.value
+            best_s, best_k = np.full((len(ids), 0), 0.0), np.zeros((len(ids), 0), np.int64)
+            for batch in batches:
+                column = batch.column(1)
+                size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                good = np.flatnonzero(size == dim)
+                if not len(good):
+                    continue
+                x = column.take(pa.array(good)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+                n = np.linalg.norm(x, axis=1)
+                good, x, n = good[n > 0], x[n > 0], n[n > 0]
+                keys = batch.column(0).take(pa.array(good)).to_numpy(zero_copy_only=False).astype(np.int64)
+                sims = np.round(m @ (x / n[:, None]).T, 9)
+                s, kk = np.concatenate((best_s, sims), axis=1), np.concatenate((best_k, np.broadcast_to(keys, sims.shape)), axis=1)
+                order = np.lexsort((kk, -s), axis=1)[:, :k]
+                best_s, best_k = np.take_along_axis(s, order, 1), np.take_along_axis(kk, order, 1)
+            if best_s.size:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_s.shape[1])), pa.array(best_k.reshape(-1)), pa.array(best_s.reshape(-1))], names=["qid", "k", "s"])
+
+        found = df.select(key, vector).filter(F.col(key).isNotNull() & (F.size(vector) > 0)).mapInArrow(run, "qid bigint, k bigint, s double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = spark.createDataFrame([], "qid bigint, k bigint, s double")
+    placed = out.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("s").desc(), "k")))
+    return placed.filter(F.col("pos") <= k).select("qid", F.col("k").cast(key_type).alias(key), F.col("s").alias("similarity"), "pos")

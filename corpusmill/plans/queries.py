@@ -525,6 +525,16 @@ def search_vectors(spark, d):
     return sr.vector_top_k(t, "vec_id", "embedding", q, 25).withColumn("similarity", F.round("similarity", 6))
 
 
+@query("""WITH n AS (SELECT vec_id, list_transform(embedding, x -> x::DOUBLE / s) AS v FROM (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, x -> x::DOUBLE * x::DOUBLE))) AS s FROM embeddings)),
+  p AS (SELECT q.vec_id AS qid, n.vec_id, round(list_dot_product(q.v, n.v), 9) AS s FROM n q, n WHERE q.vec_id % 50 = 0)
+  SELECT qid, vec_id, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, vec_id) AS r FROM p) WHERE r <= 10""".replace("x -> ", "lambda x: "))
+def search_vectors_many(spark, d):
+    """Every fiftieth vector as a query, against all vectors."""
+    t = table(spark, d, "embeddings")
+    asked = t.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    return sr.vector_search(t, "vec_id", "embedding", asked, 10).select("qid", "vec_id", F.round("similarity", 6).alias("similarity"))
+
+
 @query()
 def search_hashing_embedder(spark, d):
     v = vx.embedder("hashing", dim=64)(tx.embed_text(F.col("name"), F.col("description"), F.col("repo"), F.col("body")))

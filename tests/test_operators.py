@@ -165,6 +165,16 @@ def test_cosine_and_hashing():
     assert math.isclose(sum(x * x for x in v), 1.0) and vx.hash_vector("pdf tables tables") == v
 
 
+def test_vector_search_edges(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [3.0, 3.0]), (4, [0.0, 0.0]), (5, None), (6, []), (7, [1.0]), (8, [1.0, 0.0]), (None, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "id int, v array<float>")
+    q = spark.createDataFrame([(10, [1.0, 0.0]), (11, [0.0, 0.0]), (12, None)], "qid long, vector array<float>")
+    for block in (4096, 1):
+        got = [(r["qid"], r["id"], r["pos"]) for r in sr.vector_search(df, "id", "v", q, 3, block).orderBy("pos").collect()]
+        assert got == [(10, 1, 1), (10, 8, 2), (10, 3, 3)]
+    assert sr.vector_search(df, "id", "v", q.limit(0), 3).count() == 0
+
+
 def test_classify_order_and_unknown(spark):
     df = spark.createDataFrame([(1, "deploy test", "", ""), (2, "zzz", None, ""), (3, None, None, None)], "id int, name string, description string, path string")
     got = {r["id"]: r["category"] for r in cx.classify(df, {c: F.col(c) for c in ("name", "description", "path")}).collect()}
