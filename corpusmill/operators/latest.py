@@ -25,32 +25,28 @@ def latest(df: DataFrame, key: str, at: str, columns: Sequence[str]) -> DataFram
     return picked.select(key, *[F.col("_row")[c].alias(c) for c in rest])
 
 
-def hot_keys(counted: DataFrame, keys: Sequence[str], n: str, total: int, share: float = 1e-3,
-             at_least: int = 100_000) -> DataFrame:
-    """Keys holding more than ``share`` of ``total`` rows; so at most 1/share of them."""
-    return counted.filter(F.col(n) > max(at_least, int(total * share))).select(*keys)
-
-
 def salted_lookup(rows: DataFrame, unique: DataFrame, keys: Sequence[str], row_id: Column,
-                  n_column: str, salts: int = 64, hot_rows: int = 100_000) -> DataFrame:
+                  n_column: str, salts: int = 64, hot_rows: int = 20_000) -> DataFrame:
     """Inner join of many ``rows`` with one row per key in ``unique``.
 
-    ``unique`` tells with ``n_column`` how many rows its key has. The few keys
-    above ``hot_rows`` are repeated ``salts`` times there, and every row takes a
-    salt from ``row_id``; cold keys use salt 0 on both sides. The rows learn
-    whether their key is hot from a broadcast of at most (rows / hot_rows) keys;
-    beyond 10,000 of these the plain join is used, which AQE splits.
+    ``unique`` tells with ``n_column`` how many rows its key has. Keys with more
+    than ``hot_rows`` rows and more than a ten-thousandth of all rows are hot, so
+    there are fewer than 10,000 of them whatever the data. These are repeated
+    ``salts`` times in ``unique``, and every row takes a salt from ``row_id``; cold
+    keys use salt 0 on both sides. The rows learn whether their key is hot from a
+    broadcast of the hot keys.
     """
-    hot = unique.filter(F.col(n_column) > hot_rows).select(*keys)
-    found = hot.limit(10_001).count()
-    if not found or found > 10_000:
+    total, most = unique.agg(F.sum(n_column), F.max(n_column)).first()
+    limit = max(hot_rows, (total or 0) // 10_000)
+    if (most or 0) <= limit:
         return rows.join(unique, list(keys), "inner")
+    hot = unique.filter(F.col(n_column) > limit).select(*keys)
     marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), list(keys), "left")
     marked = marked.withColumn(
         "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")).otherwise(0)
     ).drop("_hot")
     spread = unique.withColumn(
         "_salt",
-        F.explode(F.when(F.col(n_column) > hot_rows, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
+        F.explode(F.when(F.col(n_column) > limit, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
     )
     return marked.join(spread, [*keys, "_salt"], "inner").drop("_salt")
