@@ -164,18 +164,20 @@ def value_counts(df: DataFrame, group: Sequence[str], value: Column) -> tuple[Da
 
 
 def percentiles(df: DataFrame, group: Sequence[str], value: Column, ranks_of, epsilon: float = 0.0,
-                block: int = 1000) -> DataFrame:
+                block: int | None = None) -> DataFrame:
     """Per group the values at the ranks that ``ranks_of(n)`` names.
 
     ranks_of: from an array of group sizes to an array of 1-based ranks (groups
         x ranks); ranks outside 1..n give null there.
     Returns (group..., n, at: array<double>) with one entry per rank.
 
-    Groups are taken in blocks of ``block``, so neither the driver nor a
-    broadcast ever holds more than block x ranks ranges. A group that has no
+    Groups are taken in blocks of ``block`` (by default as many as have 400,000
+    ranks together), so neither the driver nor a broadcast ever holds more than
+    block x ranks ranges. A group that has no
     value does not appear. An empty table gives an empty result.
     """
     spark = df.sparkSession
+    block = block or max(1, 400_000 // ranks_of(np.array([1])).shape[1])
     numbered, merged = value_counts(df, group, value)
     # Many partitions per group, whatever its size: rows are spread by value.
     joined = merged.join(numbered.select("_k", "g"), "_k").select("g", "v", "c")
@@ -265,7 +267,7 @@ def margin_ranks(margin: int, parts: int = 100):
 
 
 def misstated(stats: DataFrame, data: DataFrame, group: Sequence[str], value: Column, stat_id: str, claimed: str,
-              margin: int = 7, parts: int = 100, block: int = 1000) -> DataFrame:
+              margin: int = 7, parts: int = 100, block: int | None = None) -> DataFrame:
     """Rows of ``stats`` with a claimed quantile misplaced by more than margin/parts.
 
     stats: (stat_id, group..., claimed: array of parts + 1 values for p = 0..parts).
