@@ -25,7 +25,7 @@ def p2_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def members_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Current skills with their cleaned content hash and the stars of their repo."""
     skills = latest(table(spark, sf_dir, "skills"), "id", "last_seen",
-                    ["content_hash", "repo", "name", "score", "license", "category", "last_seen"])
+                    ["content_hash", "repo", "path", "score", "license", "category", "last_seen"])
     repos = latest(table(spark, sf_dir, "repos"), "full_name", "last_meta_at", ["stars"])
     hashed = skills.withColumn("content_hash", survivor.clean_hash("content_hash"))
     return hashed.join(repos, hashed.repo == repos.full_name, "left")
@@ -43,9 +43,23 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The name that the members of each content hash agree on most, weighted by stars."""
-    return survivor.consensus(members_by_hash(spark, sf_dir).filter("content_hash <> ''"), "content_hash", "name",
-                              F.log1p(F.coalesce("stars", F.lit(0))) + 1, "name")
+    """The license, category, path and repo that the members of each content hash agree on most, weighted by stars.
+
+    One row per content hash; a field is null if no member knows it. As in p3_found an empty license or
+    NOASSERTION, and the category ``uncategorised``, say nothing and don't vote.
+    """
+    members = members_by_hash(spark, sf_dir).filter("content_hash <> ''")
+    known = {
+        "license": F.when(~F.trim("license").isin("", "NOASSERTION"), F.col("license")),
+        "category": F.when(F.col("category") != "uncategorised", F.col("category")),
+        "path": F.col("path"),
+        "repo": F.col("repo"),
+    }
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in known.items()]))
+    votes = members.select("content_hash", "stars", each.alias("_f")).select("content_hash", "stars", "_f.*")
+    agreed = survivor.consensus(votes, ["content_hash", "field"], "value", F.log1p(F.coalesce("stars", F.lit(0))) + 1)
+    fields = [F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in known]
+    return agreed.groupBy("content_hash").agg(*fields)
 
 
 def capped_skills(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.llm import survivor
+import __spark_entry__ as entry
+from corpusmill.llm import queries, survivor
 
 
 def edits(a, b):
@@ -57,3 +59,60 @@ def test_tokens_after_the_first_200_count(spark):
 def test_values_without_tokens_keep_their_votes(spark):
     df = spark.createDataFrame([("g", "", 5.0), ("g", "a b", 1.0), ("g", "a c", 1.0)], "g string, v string, w double")
     assert survivor.consensus(df, "g", "v", F.col("w"), "v").first()["v"] == ""
+
+
+@pytest.fixture(scope="module")
+def chosen(spark, data):
+    return entry.queries()["p3_consensus"](spark, data).collect()
+
+
+def test_query_decides_fields_that_differ(spark, data, chosen):
+    import math
+
+    votes = defaultdict(lambda: defaultdict(float))
+    for r in queries.members_by_hash(spark, data).filter("content_hash <> ''").collect():
+        for field in ("license", "category", "path", "repo"):
+            value = r[field]
+            if value is None or field == "license" and value.strip(" ") in ("", "NOASSERTION") or field == "category" and value == "uncategorised":
+                continue
+            votes[r["content_hash"], field][value] += math.log1p(r["stars"] or 0) + 1
+    assert any(len(v) > 1 for v in votes.values())
+    got = {(r["content_hash"], f): r[f] for r in chosen for f in ("license", "category", "path", "repo") if r[f] is not None}
+    want = {}
+    for k, v in votes.items():
+        order = sorted(v, key=lambda x: (-v[x], x))
+        want[k] = brute(order, [v[x] for x in order])
+    assert got == want
+
+
+def brute(values, weights):
+    """Progressive alignment in plain loops, values in order of weight."""
+    lists = [survivor.TOKEN.findall(v) for v in values]
+    profile, total = [], 0.0
+    for tokens, weight in zip(lists, weights):
+        n, m = len(profile), len(tokens)
+        score = {(0, 0): (0.0, None)}
+        for i in range(n + 1):
+            for j in range(m + 1):
+                ways = []
+                if i and j:
+                    share = profile[i - 1].get(tokens[j - 1], 0.0) / total
+                    ways.append((score[i - 1, j - 1][0] + (share or -0.7), "both"))
+                if i:
+                    ways.append((score[i - 1, j][0] - 0.3, "left"))
+                if j:
+                    ways.append((score[i, j - 1][0] - 0.3, "right"))
+                if ways:
+                    top = max(s for s, _ in ways)
+                    score[i, j] = next((s, w) for s, w in ways if s > top - 1e-9)
+        out, i, j = [], n, m
+        while i or j:
+            way = score[i, j][1]
+            column = dict(profile[i - 1]) if way != "right" else {"": total}
+            token = tokens[j - 1] if way != "left" else ""
+            column[token] = column.get(token, 0.0) + weight
+            out.append(column)
+            i, j = i - (way != "right"), j - (way != "left")
+        profile, total = out[::-1], total + weight
+    wanted = [t for t in (max(c, key=lambda t: (c[t], t)) for c in profile) if t]
+    return values[min(range(len(values)), key=lambda i: (edits(lists[i], wanted), -weights[i], values[i]))]
