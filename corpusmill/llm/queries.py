@@ -108,7 +108,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_rank_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All current repos by where the damped walk comes to rest."""
     repos = latest(table(spark, sf_dir, "repos"), "full_name", "last_meta_at", REPO_SCORES)
-    return walk.rank_walk(repos, "full_name", REPO_SCORES, steps=8, damping=0.85, tolerance=1e-4)
+    return walk.rank_walk(repos, "full_name", REPO_SCORES, damping=0.85, tolerance=1e-6)
 
 
 def stat_values(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators.ranks import prefix_sums
-from corpusmill.runtime import materialise
+from corpusmill.runtime import cores, discard, materialise
 
 
 def _long(df: DataFrame, key: str, scores: Sequence[str]) -> DataFrame:
@@ -25,27 +25,42 @@ def _long(df: DataFrame, key: str, scores: Sequence[str]) -> DataFrame:
     return rows.filter(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
-def step(long: DataFrame, key: str) -> DataFrame:
+def placed(base: DataFrame) -> DataFrame:
+    """(key, c, v) with ``n``, ``stays`` and ``b``: what doesn't change from step to step.
+
+    n: items in the chain; stays: share of an item's proposals not ranked higher,
+    equal ones counting half; b: the block of neighbouring values its value is in.
+    """
+    sizes = base.groupBy("c").agg(F.count("*").alias("n"))  # one row per score
+    values = base.groupBy("c", "v").agg(F.count("*").alias("vn")).join(F.broadcast(sizes), "c")
+    below = prefix_sums(values, ["c"], [F.col("v")], {"n_below": F.col("vn")})
+    blocks = F.greatest(F.lit(cores(base.sparkSession)), F.ceil(F.col("n") / 50_000))
+    found = below.select("c", "v", "n", ((F.col("n_below") + F.col("vn") / 2) / F.col("n")).alias("stays"),
+                         F.floor(F.col("n_below") * blocks / F.col("n")).alias("b"))
+    return materialise(base.join(found, ["c", "v"]), "placed")
+
+
+def step(long: DataFrame) -> DataFrame:
     """One step of every score's chain from mass ``m``: adds ``flow``.
 
-    long: (key, c, v, m, n) with m the item's mass times the number n of items
+    long: rows of :func:`placed` with m, the item's mass times the number n of items
     in the chain of score c, so that the uniform start has m = 1 and numbers stay
     near 1 at every size. An item's new mass is what its proposals fail to move
     plus what arrives from items below:
     m * (1 - (higher + equal/2)/n) + (mass below + equal mass/2)/n.
-    Items of equal value share one row per value before anything is sorted.
+    Items of equal value share one row per value before anything is summed; sums run
+    inside blocks of values, to which the totals of earlier blocks are added.
     """
-    values = long.groupBy("c", "v").agg(F.sum("m").alias("vm"), F.count("*").alias("vn"), F.first("n").alias("n"))
-    below = prefix_sums(values, ["c"], [F.col("v")], {"m_below": F.col("vm"), "n_below": F.col("vn")})
-    inflow = below.select(
-        "c", "v", ((F.col("m_below") + F.col("vm") / 2) / F.col("n")).alias("arrives"),
-        ((F.col("n_below") + F.col("vn") / 2) / F.col("n")).alias("stays"),
-    )
-    joined = long.join(inflow, ["c", "v"])
-    return joined.withColumn("flow", F.col("m") * F.col("stays") + F.col("arrives"))
+    values = long.groupBy("c", "b", "v").agg(F.sum("m").alias("vm"), F.first("n").alias("n"))
+    earlier = Window.partitionBy("c").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    before = values.groupBy("c", "b").agg(F.sum("vm").alias("bm")).select("c", "b", F.coalesce(F.sum("bm").over(earlier), F.lit(0.0)).alias("m_before"))
+    own = Window.partitionBy("c", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    summed = values.withColumn("m_own", F.coalesce(F.sum("vm").over(own), F.lit(0.0))).join(before, ["c", "b"])
+    inflow = summed.select("c", "b", "v", ((F.col("m_before") + F.col("m_own") + F.col("vm") / 2) / F.col("n")).alias("arrives"))
+    return long.join(inflow, ["c", "b", "v"]).withColumn("flow", F.col("m") * F.col("stays") + F.col("arrives"))
 
 
-def rank_walk(df: DataFrame, key: str, scores: Sequence[str], steps: int = 20, damping: float = 0.85,
+def rank_walk(df: DataFrame, key: str, scores: Sequence[str], steps: int | None = None, damping: float = 0.85,
               at_least: int = 1, tolerance: float = 1e-9) -> DataFrame:
     """Items by the mass the damped walk leaves on them: ``(key, mass, n_scores)``.
 
@@ -53,8 +68,11 @@ def rank_walk(df: DataFrame, key: str, scores: Sequence[str], steps: int = 20, d
     its mass is the mean over these chains, and items with fewer than
     ``at_least`` scores are left out of the result (they still stand in the
     chains, as their values are part of each score's distribution). Mass is
-    relative: 1 is an even share. Power iteration ends after ``steps`` steps or
-    when no item moves by more than ``tolerance``.
+    relative: 1 is an even share. Power iteration ends when no item's mass
+    changes by more than ``tolerance`` in a step, or after ``steps`` steps if
+    that is given. A step keeps the sum of mass times number of scores and shrinks
+    what is missing in it at least by ``damping``, so for damping below 1 it comes
+    to rest; without damping ``steps`` must be given.
 
     With ``steps=1`` and ``damping=1`` the mass is the first step from an even
     start, which is exactly twice the item's mean mid-rank position: an item
@@ -64,25 +82,26 @@ def rank_walk(df: DataFrame, key: str, scores: Sequence[str], steps: int = 20, d
     Null keys are left out, as are null and NaN scores. An item without scores
     has no mass and is dropped. An empty table gives an empty result.
     """
+    if steps is None and not 0 <= damping < 1:
+        raise ValueError("without damping the number of steps must be given")
     base = _long(df.filter(F.col(key).isNotNull()), key, scores)
-    base = materialise(base, "scores")
-    sizes = F.broadcast(base.groupBy("c").agg(F.count("*").alias("n")))  # one row per score
-    base = base.join(sizes, "c")
-    mass = base.withColumn("m", F.lit(1.0))
-    out = None
-    for i in range(steps):
-        moved = step(mass, key)
-        new = moved.withColumn("m1", F.lit(damping) * F.col("flow") + F.lit(1 - damping))
-        items = new.groupBy(key).agg(F.avg("m1").alias("mass"), F.count("*").alias("n_scores"),
-                                     F.max(F.abs(F.col("m1") - F.col("m"))).alias("_moved"))
-        out = items
-        if i == steps - 1:
+    base = placed(materialise(base, "scores"))
+    items, mass, done = None, base.withColumn("m", F.lit(1.0)), 0
+    while True:
+        new = step(mass).withColumn("m1", F.lit(damping) * F.col("flow") + F.lit(1 - damping))
+        after = new.groupBy(key).agg(F.avg("m1").alias("mass"), F.count("*").alias("n_scores"),
+                                     F.abs(F.avg("m1") - F.first("m")).alias("_moved"))  # m is the same in all chains
+        done += 1
+        if done == steps:
             break
-        out = items = materialise(items, "walk")
+        after = materialise(after, "walk")
+        if items is not None:
+            discard(items)
+        items = after
         if (items.agg(F.max("_moved")).first()[0] or 0) <= tolerance:
             break
         mass = base.join(items.select(key, F.col("mass").alias("m")), key)
-    return out.filter(F.col("n_scores") >= at_least).select(key, "mass", "n_scores")
+    return after.filter(F.col("n_scores") >= at_least).select(key, "mass", "n_scores")
 
 
 def first_share(ranked: DataFrame, key: str, value: str, k: int) -> DataFrame:

@@ -70,6 +70,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the table that :func:`materialise` wrote for ``df``, which must not be read again."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _remove(path)
+
+
 def small_rows(df: DataFrame, limit: int, what: str) -> list:
     """``df`` on the driver, after proving that it has at most ``limit`` rows."""
     rows = df.limit(limit + 1).collect()
