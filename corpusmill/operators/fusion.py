@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.operators.ranks import global_rank
+
 # Constant of reciprocal rank fusion and the channels' weights.
 RRF_K = 20
 CHANNEL_WEIGHTS = {"keyword": 1.0, "vector": 0.9, "quality": 0.5}
@@ -62,6 +64,22 @@ def diversify(df: DataFrame, group: str, order: Sequence[Column], most: int = 3,
     return positions(marked, [F.col("_over"), *order], out).drop("_over")
 
 
+def diversified_top(df: DataFrame, group: str, order: Sequence[Column], most: int, k: int, out: str = "pos") -> DataFrame:
+    """The first ``k`` rows of :func:`diversify` over all of ``df``, which may be of any size.
+
+    The k-th row of a group stands at place k or later, so no row behind it in its
+    group is wanted: Spark drops these before the shuffle (or, for a ``k`` beyond its
+    limit for that, ranks are taken in ranges), and the rest is a top-k. ``order`` must be unique.
+    """
+    if k <= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        ranked = df.withColumn("_nth", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("_nth") <= k)
+    else:
+        ranked = global_rank(df, [group], order, "_nth").withColumn("_nth", F.col("_nth") + 1)
+    marked = ranked.withColumn("_over", (F.col("_nth") > most).cast("int")).drop("_nth")
+    first = marked.orderBy("_over", *order).limit(k)
+    return positions(first, [F.col("_over"), *order], out).drop("_over")
+
+
 def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) -> DataFrame:
     """Rows ``offset`` .. ``offset + limit`` of a sorted list."""
     return df.orderBy(*order).offset(offset).limit(limit)

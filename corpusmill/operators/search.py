@@ -156,13 +156,13 @@ def facets(rows: DataFrame, dimensions: Sequence[str], top: int = 10) -> DataFra
     return counts.withColumn("_r", place).filter(F.col("_r") <= top).drop("_r")
 
 
-def vector_top_k(df: DataFrame, key: str, vector: str, query: Sequence[float], k: int, least: float = 0.05) -> DataFrame:
-    """(key, similarity): the ``k`` nearest rows by cosine above ``least``, by an exact scan."""
+def vector_top_k(df: DataFrame, key: str, vector: str, query: Sequence[float], k: int | None, least: float = 0.05) -> DataFrame:
+    """(key, similarity): the ``k`` nearest rows (all if None) by cosine above ``least``, by an exact scan."""
     from corpusmill.functions.vectors import cosine
 
     q = F.array(*[F.lit(float(x)) for x in query])
     scored = df.select(key, cosine(F.col(vector), q).alias("similarity")).filter(F.col("similarity") > least)
-    return scored.orderBy(F.col("similarity").desc(), F.col(key)).limit(k)
+    return scored if k is None else scored.orderBy(F.col("similarity").desc(), F.col(key)).limit(k)
 
 
 def batch_bm25(postings: DataFrame, stats: DataFrame, queries: DataFrame, k: int, weights: Mapping[str, float] = FIELD_WEIGHTS) -> DataFrame:

@@ -502,6 +502,20 @@ _MODE = f"m AS (SELECT count(*) FILTER ({_ALL}) >= 25 AS both_ FROM hit)"
   dv AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY rank DESC, id) > 3 AS over_ FROM rr),
   fin AS (SELECT *, row_number() OVER (ORDER BY over_, rank DESC, id) AS place FROM dv) SELECT id, place AS pos, round(rank, 6) AS rank, duplicates FROM fin WHERE place <= 20""")
 def search_end_to_end(spark, d):
+    """Copies are collapsed after the cut to 100 matches, as its SQL says; ``search_whole`` collapses all matches."""
+    out = rt.search(table(spark, d, "skills"), repos(spark, d, "license", *rt.REPO_DETAIL), SEARCH_TEXT, now=now(), at="last_seen", cut_first=True)
+    return out.select("id", F.col("pos"), F.round("rank", 6).alias("rank"), "duplicates")
+
+
+@query(f"""{BOTH}, {BM25}, {_JOINED}, {_MODE}, al AS (SELECT hit.* FROM hit, m WHERE CASE WHEN both_ THEN {_ALL} ELSE {_ANY} END), one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY content_hash
+    ORDER BY score DESC NULLS LAST, id) AS r_, count(*) OVER (PARTITION BY content_hash) - 1 AS duplicates FROM al WHERE content_hash <> '') WHERE r_ = 1 UNION ALL
+    SELECT *, 1, 0 FROM al WHERE coalesce(content_hash, '') = ''), q AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY bm25 DESC, id) > 3 AS late FROM one),
+  kw AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY late, bm25 DESC, id) AS pos FROM q) WHERE pos <= 100),
+  rr AS (SELECT *, 1.0::DOUBLE / (20 + pos) + 0.5::DOUBLE / (20 + row_number() OVER (ORDER BY score DESC NULLS LAST, id)) AS rank FROM kw),
+  dv AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY rank DESC, id) > 3 AS over_ FROM rr),
+  fin AS (SELECT *, row_number() OVER (ORDER BY over_, rank DESC, id) AS place FROM dv) SELECT id, place AS pos, round(rank, 6) AS rank, duplicates FROM fin WHERE place <= 20""")
+def search_whole(spark, d):
+    """The search over all matches: copies and repos are dealt with before anything is cut."""
     out = rt.search(table(spark, d, "skills"), repos(spark, d, "license", *rt.REPO_DETAIL), SEARCH_TEXT, now=now(), at="last_seen")
     return out.select("id", F.col("pos"), F.round("rank", 6).alias("rank"), "duplicates")
 

@@ -62,35 +62,53 @@ def details(skills: DataFrame, at: str | None) -> DataFrame:
     return latest(skills, "id", at, keep) if at else skills.select("id", *keep)
 
 
-def keyword(rows: DataFrame, k: int) -> DataFrame:
-    """The best ``k`` by BM25 of all-terms matches, or of any-term ones if these are too few, with ``pos``."""
-    chosen = rows.filter(sr.matches(sr.choose_mode(rows)))
-    return fusion.positions(sr.top_k(chosen, "bm25", k), [F.col("bm25").desc(), F.col("id")])
+def best_of(rows: DataFrame, score: str, k: int, max_per_repo: int | None, cut_first: bool) -> DataFrame:
+    """The best ``k`` rows by ``score`` with ``pos`` and the ``duplicates`` they stand for.
+
+    Copies among all rows are collapsed before the cut, and rows beyond
+    ``max_per_repo`` of their repo queue behind those of others.
+    cut_first: the best ``k`` are cut from all rows, copies included, as the reference does;
+        copies and a dominant repo can then fill the places. For parity only.
+    """
+    order = [F.col(score).desc(), F.col("id")]
+    if cut_first:
+        return fusion.positions(sr.top_k(rows, score, k), order)
+    once = fusion.collapse_duplicates(rows, "content_hash", "score", "id")
+    if max_per_repo:
+        return fusion.diversified_top(once, "repo", order, max_per_repo, k)
+    return fusion.positions(sr.top_k(once, score, k), order)
 
 
 def search(skills: DataFrame, repos: DataFrame, query: str, *, limit: int = 20, filters: Mapping[str, Any] | None = None, now: Column | None = None,
            vectors: tuple[DataFrame, Sequence[float]] | None = None, quality_weight: float = 0.5, max_per_repo: int | None = 3,
            authors: DataFrame | None = None, index: tuple[DataFrame, DataFrame] | None = None, snippets: bool = False,
-           at: str | None = None) -> DataFrame:
+           at: str | None = None, cut_first: bool = False) -> DataFrame:
     """The ``limit`` best documents for a text: (pos, id, rank, matched_by, duplicates, detail...).
 
     vectors: ((id, embedding) rows, query vector) adds a channel of neighbours.
-    Copies are collapsed before ranks are fused; quality reorders what was found.
+    Matches of all terms are ranked, or of any term if these are too few. Copies
+    are collapsed over all matches before each channel's best ``limit * 5`` are
+    fused; quality reorders what was found. cut_first: see :func:`best_of`.
     """
     rows, _ = candidates(skills, repos, query, filters, now, index, at)
     rows = materialise(rows, "candidates")
-    kw = keyword(rows, limit * 5)
+    chosen = rows.filter(sr.matches(sr.choose_mode(rows)))
+    kw = best_of(chosen, "bm25", limit * 5, max_per_repo, cut_first)
     channels = {"keyword": kw.select("id", "pos")}
-    found = kw.select("id", *[c for c in rows.columns if c in (*DETAIL, "stars")])
+    counted = [] if cut_first else ["duplicates"]
+    found = kw.select("id", *[c for c in rows.columns if c in (*DETAIL, "stars")], *counted)
     if vectors is not None:
         vec_rows, q = vectors
-        near = sr.vector_top_k(vec_rows, "id", "embedding", q, limit * 5)
+        near = sr.vector_top_k(vec_rows, "id", "embedding", q, limit * 5 if cut_first else None)
         known = joined(details(skills, at), repos)
         near = near.join(known.filter(fl.request_filter(filters or {}, known.columns, now)), "id")
-        near = fusion.positions(near, [F.col("similarity").desc(), F.col("id")])
+        near = best_of(near, "similarity", limit * 5, max_per_repo, cut_first)
         channels["vector"] = near.select("id", "pos")
         found = fusion.merge_channels(found, near.select(*found.columns), "id")
-    once = fusion.collapse_duplicates(found, "content_hash", "score", "id")
+    stood_for = found.select("id", F.col("duplicates").alias("_copies")) if counted else None
+    once = fusion.collapse_duplicates(found.drop("duplicates"), "content_hash", "score", "id")
+    if stood_for is not None:
+        once = once.join(stood_for, "id").withColumn("duplicates", F.greatest("duplicates", "_copies")).drop("_copies")
     ranked = fusion.fuse(channels, "id", {"quality": quality_weight}, quality=(once, "score")).join(once, "id")
     order = [F.col("rank").desc(), F.col("id").asc()]
     listed = fusion.diversify(ranked, "repo", order, max_per_repo) if max_per_repo else fusion.positions(ranked, order)
