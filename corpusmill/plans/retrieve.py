@@ -126,7 +126,7 @@ def browse(skills: DataFrame, repos: DataFrame, *, sort: str = "quality", limit:
            now: Column | None = None, max_per_repo: int = 3) -> DataFrame:
     """A page of documents without a query: by quality, stars, newest or name; copies collapsed, repositories diversified.
 
-    Copies are collapsed before anything is cut, so pages are exact.
+    Copies are collapsed and rows ranked within their repos before anything is cut, so pages are exact and fit together.
     """
     rows = joined(skills.select("id", "first_seen", *[c for c in (*DETAIL, "category", "subcategory") if c in skills.columns]), repos)
     rows = rows.filter(fl.request_filter(filters or {}, rows.columns, now))
@@ -134,8 +134,7 @@ def browse(skills: DataFrame, repos: DataFrame, *, sort: str = "quality", limit:
     order = {"quality": [F.col("score").desc_nulls_last(), F.col("stars").desc_nulls_last()], "stars": [F.col("stars").desc_nulls_last()],
              "newest": [F.col("first_seen").desc_nulls_last()], "name": [F.col("name").asc_nulls_last()]}[sort]
     order = [*order, F.col("id").asc()]
-    top = once.orderBy(*order).limit((limit + offset) * 4)
-    placed = fusion.diversify(top, "repo", order, max_per_repo)
+    placed = fusion.diversified_top(once, "repo", order, max_per_repo, limit + offset)
     return placed.filter(F.col("pos").between(offset + 1, offset + limit))
 
 

@@ -37,3 +37,21 @@ def test_a_dominant_repo_leaves_room_in_search(spark):
     skills, repos = corpus(spark, rows)
     got = rt.search(skills, repos, "storyboard", now=F.lit("2024-03-01").cast("timestamp"))
     assert got.filter("repo = 'hot/one'").count() == 3 and got.count() == 20
+
+
+def test_pages_of_browse_fit_together(spark):
+    rows = [(i, "hot/one", "n", 90.0, f"s{i}") for i in range(200)]
+    rows += [(1000 + i, f"o/r{i % 40}", "n", 40.0 - i / 10, f"h{i}") for i in range(70)]
+    skills, repos = corpus(spark, rows)
+    first = [0, 1, 2]
+    taken: dict[str, int] = {}
+    late = []
+    for i, repo, *_ in rows[200:]:
+        taken[repo] = taken.get(repo, 0) + 1
+        (first if taken[repo] <= 3 else late).append(i)
+    want = first + list(range(3, 200)) + late
+    got = []
+    for offset in (0, 20, 40, 60, 80):
+        got += page(rt.browse(skills, repos, limit=20, offset=offset, now=F.lit("2024-03-01").cast("timestamp")))
+    assert got == want[:100]
+    assert page(rt.browse(skills, repos, limit=1500, now=F.lit("2024-03-01").cast("timestamp"))) == want
