@@ -1,7 +1,7 @@
 """Ranked lists: fusing, collapsing copies, diversifying, paging.
 
-These work on candidate lists, whose size the caller bounds with a top-k; windows
-over a whole list are then windows over that bound.
+Lists may be of any size: places come from range-partitioned ranks. Where the caller
+has bounded a list with a top-k, ``bounded`` takes them from one window instead.
 """
 
 from __future__ import annotations
@@ -18,14 +18,17 @@ RRF_K = 20
 CHANNEL_WEIGHTS = {"keyword": 1.0, "vector": 0.9, "quality": 0.5}
 
 
-def positions(df: DataFrame, order: Sequence[Column], out: str = "pos", within: Sequence[str] = ()) -> DataFrame:
-    """1-based places in a candidate list (or in each list ``within``)."""
-    groups = [F.col(c) for c in within] or [F.lit(0)]
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
+def positions(df: DataFrame, order: Sequence[Column], out: str = "pos", within: Sequence[str] = (), bounded: bool = False) -> DataFrame:
+    """1-based places in a list (or in each list ``within``); ``order`` must be unique."""
+    if bounded:
+        groups = [F.col(c) for c in within] or [F.lit(0)]
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
+    ranked = global_rank(df, within, order, out)
+    return ranked.withColumn(out, (F.col(out) + 1).cast("int"))
 
 
 def fuse(channels: dict[str, DataFrame], key: str, weights: dict[str, float] | None = None, k: int = RRF_K,
-         quality: tuple[DataFrame, str] | None = None) -> DataFrame:
+         quality: tuple[DataFrame, str] | None = None, bounded: bool = False) -> DataFrame:
     """(key, rank, matched_by): reciprocal rank fusion of lists (key, pos).
 
     quality: (rows (key, ..., column), column): ranks the retrieved keys by a
@@ -41,7 +44,7 @@ def fuse(channels: dict[str, DataFrame], key: str, weights: dict[str, float] | N
     if quality is None:
         return found
     rows, column = quality
-    ranked = positions(found.join(rows.select(key, F.col(column).alias("_q")), key), [F.col("_q").desc_nulls_last(), F.col(key)], "_p")
+    ranked = positions(found.join(rows.select(key, F.col(column).alias("_q")), key), [F.col("_q").desc_nulls_last(), F.col(key)], "_p", bounded=bounded)
     return ranked.select(key, (F.col("rank") + F.lit(w["quality"]) / (F.lit(k) + F.col("_p"))).alias("rank"), "matched_by")
 
 
@@ -57,11 +60,11 @@ def collapse_duplicates(df: DataFrame, group: str, score: str, key: str) -> Data
     return single.unionByName(best.select("_r.*", "duplicates"))
 
 
-def diversify(df: DataFrame, group: str, order: Sequence[Column], most: int = 3, out: str = "pos") -> DataFrame:
+def diversify(df: DataFrame, group: str, order: Sequence[Column], most: int = 3, out: str = "pos", bounded: bool = False) -> DataFrame:
     """Places in the list after at most ``most`` rows of a group keep theirs; the rest queue behind."""
-    nth = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    marked = df.withColumn("_over", (nth > most).cast("int"))
-    return positions(marked, [F.col("_over"), *order], out).drop("_over")
+    ranked = positions(df, order, "_nth", [group], bounded)
+    marked = ranked.withColumn("_over", (F.col("_nth") > most).cast("int")).drop("_nth")
+    return positions(marked, [F.col("_over"), *order], out, bounded=bounded).drop("_over")
 
 
 def diversified_top(df: DataFrame, group: str, order: Sequence[Column], most: int, k: int, out: str = "pos") -> DataFrame:
@@ -77,7 +80,7 @@ def diversified_top(df: DataFrame, group: str, order: Sequence[Column], most: in
         ranked = global_rank(df, [group], order, "_nth").withColumn("_nth", F.col("_nth") + 1)
     marked = ranked.withColumn("_over", (F.col("_nth") > most).cast("int")).drop("_nth")
     first = marked.orderBy("_over", *order).limit(k)
-    return positions(first, [F.col("_over"), *order], out).drop("_over")
+    return positions(first, [F.col("_over"), *order], out, bounded=True).drop("_over")
 
 
 def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) -> DataFrame:

@@ -563,8 +563,18 @@ def search_hashing_embedder(spark, d):
   SELECT id, round(sum(s), 9) AS rank, string_agg(c, '+' ORDER BY c) AS matched_by FROM u GROUP BY 1""")
 def list_fusion(spark, d):
     s = skills(spark, d, "score", "body_len")
-    one = fu.positions(s.orderBy(F.col("score").desc_nulls_last(), "id").limit(200), [F.col("score").desc_nulls_last(), F.col("id")])
-    two = fu.positions(s.orderBy(F.col("body_len").desc_nulls_last(), "id").limit(200), [F.col("body_len").desc_nulls_last(), F.col("id")])
+    one = fu.positions(s.orderBy(F.col("score").desc_nulls_last(), "id").limit(200), [F.col("score").desc_nulls_last(), F.col("id")], bounded=True)
+    two = fu.positions(s.orderBy(F.col("body_len").desc_nulls_last(), "id").limit(200), [F.col("body_len").desc_nulls_last(), F.col("id")], bounded=True)
+    return fu.fuse({"keyword": one, "vector": two}, "id").withColumn("rank", F.round("rank", 9))
+
+
+@query(f"""{BOTH}, a AS (SELECT id, row_number() OVER (ORDER BY score DESC NULLS LAST, id) AS pos FROM cur), b AS (SELECT id, row_number() OVER (ORDER BY body_len DESC NULLS LAST, id) AS pos FROM cur)
+  SELECT id, round(1.0::DOUBLE / (20 + a.pos) + 0.9::DOUBLE / (20 + b.pos), 9) AS rank, 'keyword+vector' AS matched_by FROM a JOIN b USING (id)""")
+def list_fusion_all(spark, d):
+    """list_fusion without its SQL's cuts at place 200."""
+    s = skills(spark, d, "score", "body_len")
+    one = fu.positions(s.select("id", "score"), [F.col("score").desc_nulls_last(), F.col("id")])
+    two = fu.positions(s.select("id", "body_len"), [F.col("body_len").desc_nulls_last(), F.col("id")])
     return fu.fuse({"keyword": one, "vector": two}, "id").withColumn("rank", F.round("rank", 9))
 
 
@@ -580,7 +590,15 @@ def list_collapse(spark, d):
 def list_diversify(spark, d):
     order = [F.col("score").desc_nulls_last(), F.col("id")]
     top = skills(spark, d, "repo", "score").orderBy(*order).limit(500)
-    return fu.diversify(top, "repo", order).select("id", "pos")
+    return fu.diversify(top, "repo", order, bounded=True).select("id", "pos")
+
+
+@query(f"""{BOTH}, t AS (SELECT id, repo, row_number() OVER (ORDER BY score DESC NULLS LAST, id) AS o FROM cur),
+  v AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY o) > 3 AS over_ FROM t) SELECT id, row_number() OVER (ORDER BY over_, o) AS pos FROM v""")
+def list_diversify_all(spark, d):
+    """list_diversify without its SQL's LIMIT: every skill gets a place."""
+    order = [F.col("score").desc_nulls_last(), F.col("id")]
+    return fu.diversify(skills(spark, d, "repo", "score"), "repo", order).select("id", "pos")
 
 
 @query(f"""{BOTH} SELECT id FROM cur ORDER BY CASE risk_level WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, score DESC NULLS LAST, id LIMIT 100""")
@@ -588,6 +606,13 @@ def list_severity(spark, d):
     return skills(spark, d, "risk_level", "score").orderBy(rl.severity(F.col("risk_level")), F.col("score").desc_nulls_last(), "id").limit(100).select("id")
 
 
+@query(f"""{BOTH} SELECT id, row_number() OVER (ORDER BY CASE risk_level WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, score DESC NULLS LAST, id) AS pos FROM cur""")
+def list_severity_all(spark, d):
+    """list_severity without its SQL's LIMIT: the place of every skill."""
+    order = [rl.severity(F.col("risk_level")), F.col("score").desc_nulls_last(), F.col("id")]
+    return fu.positions(skills(spark, d, "risk_level", "score"), order).select("id", "pos")
+
+
 _QUEUE = """queue AS (SELECT full_name, max(priority) AS priority, arg_min(reason, (enqueued_at, reason)) AS reason, min(enqueued_at) AS enqueued_at FROM (SELECT DISTINCT id, detail AS full_name,
   CASE kind WHEN 'discover' THEN 80 WHEN 'retry' THEN 200 ELSE 100 END AS priority, kind AS reason, ts AS enqueued_at FROM crawl_log WHERE detail IS NOT NULL) GROUP BY 1)"""
 

@@ -72,11 +72,11 @@ def best_of(rows: DataFrame, score: str, k: int, max_per_repo: int | None, cut_f
     """
     order = [F.col(score).desc(), F.col("id")]
     if cut_first:
-        return fusion.positions(sr.top_k(rows, score, k), order)
+        return fusion.positions(sr.top_k(rows, score, k), order, bounded=True)
     once = fusion.collapse_duplicates(rows, "content_hash", "score", "id")
     if max_per_repo:
         return fusion.diversified_top(once, "repo", order, max_per_repo, k)
-    return fusion.positions(sr.top_k(once, score, k), order)
+    return fusion.positions(sr.top_k(once, score, k), order, bounded=True)
 
 
 def search(skills: DataFrame, repos: DataFrame, query: str, *, limit: int = 20, filters: Mapping[str, Any] | None = None, now: Column | None = None,
@@ -109,9 +109,9 @@ def search(skills: DataFrame, repos: DataFrame, query: str, *, limit: int = 20,
     once = fusion.collapse_duplicates(found.drop("duplicates"), "content_hash", "score", "id")
     if stood_for is not None:
         once = once.join(stood_for, "id").withColumn("duplicates", F.greatest("duplicates", "_copies")).drop("_copies")
-    ranked = fusion.fuse(channels, "id", {"quality": quality_weight}, quality=(once, "score")).join(once, "id")
+    ranked = fusion.fuse(channels, "id", {"quality": quality_weight}, quality=(once, "score"), bounded=True).join(once, "id")
     order = [F.col("rank").desc(), F.col("id").asc()]
-    listed = fusion.diversify(ranked, "repo", order, max_per_repo) if max_per_repo else fusion.positions(ranked, order)
+    listed = fusion.diversify(ranked, "repo", order, max_per_repo, bounded=True) if max_per_repo else fusion.positions(ranked, order, bounded=True)
     out = listed.filter(F.col("pos") <= limit)
     if snippets:
         bodies = skills.join(out.select("id"), "id", "left_semi")  # the texts of one page

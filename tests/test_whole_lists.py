@@ -1,7 +1,10 @@
 """A dominant content or repo must not push other documents off a page."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from corpusmill.operators import fusion as fu
+from corpusmill.plans import queries as core
 from corpusmill.plans import retrieve as rt
 
 DETAIL = "id int, repo string, path string, name string, description string, body string, source_kind string, license string, score double, content_hash string, risk_level string, valid int, first_seen timestamp"
@@ -55,3 +58,21 @@ def test_pages_of_browse_fit_together(spark):
         got += page(rt.browse(skills, repos, limit=20, offset=offset, now=F.lit("2024-03-01").cast("timestamp")))
     assert got == want[:100]
     assert page(rt.browse(skills, repos, limit=1500, now=F.lit("2024-03-01").cast("timestamp"))) == want
+
+
+def test_lists_are_ranked_without_a_window_over_all(spark):
+    df = spark.createDataFrame([(i, "hot" if i % 3 else f"r{i}", float(-i)) for i in range(900)], "id int, repo string, s double")
+    order = [F.col("s").desc(), F.col("id")]
+    hot, got = 0, fu.diversify(df, "repo", order)
+    first, late = [], []
+    for i in range(900):
+        hot += bool(i % 3)
+        (late if i % 3 and hot > 3 else first).append(i)
+    assert page(got) == first + late
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(repo" not in plan
+
+
+@pytest.mark.parametrize("name", ["list_diversify_all", "list_fusion_all", "list_severity_all"])
+def test_every_skill_has_a_place(spark, data, name):
+    assert core.queries()[name](spark, data).count() == core.skills(spark, data, "repo").count()
