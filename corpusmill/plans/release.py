@@ -22,7 +22,7 @@ def orphans(repos: DataFrame, skills: DataFrame) -> DataFrame:
 
 
 def build(skills: DataFrame, repos: DataFrame, path: str, keep: int | None = None, decisions: DataFrame | None = None, body_limit: int = 2000) -> None:
-    """Write a snapshot: documents (bodies cut after all hashes and verdicts were made), their repositories, the index."""
+    """Write a snapshot: documents (bodies cut after all hashes and verdicts were made), their repositories, the index of the whole texts."""
     chosen = trim(skills, keep) if keep else skills
     if decisions is not None:
         chosen = override(chosen.withColumn("action", F.lit(None).cast("string")), decisions)
@@ -30,7 +30,7 @@ def build(skills: DataFrame, repos: DataFrame, path: str, keep: int | None = Non
     short.write.mode("overwrite").parquet(f"{path}/skills")
     done = short.sparkSession.read.parquet(f"{path}/skills")
     repos.join(done.select(F.col("repo").alias("full_name")), "full_name", "left_semi").write.mode("overwrite").parquet(f"{path}/repos")
-    write_index(done, "id", f"{path}/index")
+    write_index(chosen, "id", f"{path}/index")
 
 
 def audit_sample(skills: DataFrame, k: int, seed: int = 7) -> DataFrame:

@@ -132,18 +132,21 @@ def compact(spark: SparkSession, source: str, target: str, rows_per_file: int =
     shaped.write.option("maxRecordsPerFile", rows_per_file).mode("overwrite").parquet(target)
 
 
-def archive_members(blob: bytes, wanted=lambda p: p.rsplit("/", 1)[-1].lower() == "skill.md", most: int = 5000, largest: int = 512 * 1024) -> Iterator[tuple[str, str]]:
-    """(path without the top folder, text) of the wanted members of a tar.gz; a broken archive ends early."""
+def archive_members(blob: bytes, wanted=lambda p: p.rsplit("/", 1)[-1].lower() == "skill.md", most: int | None = None, largest: int | None = None) -> Iterator[tuple[str, str]]:
+    """(path without the top folder, text) of the wanted members of a tar.gz; a broken archive ends early.
+
+    ``most`` members and ``largest`` bytes of one are limits for archives not to be trusted (the reference's: 5,000 and 512 KiB).
+    """
     n = 0
     try:
         with tarfile.open(fileobj=io.BytesIO(blob), mode="r|gz") as tar:
             for member in tar:
                 path = member.name.split("/", 1)[-1]
-                if not member.isfile() or not wanted(path) or member.size > largest:
+                if not member.isfile() or not wanted(path) or largest is not None and member.size > largest:
                     continue
                 yield path, tar.extractfile(member).read().decode("utf-8", "replace")
                 n += 1
-                if n >= most:
+                if n == most:
                     return
     except (tarfile.TarError, EOFError, OSError):
         return
