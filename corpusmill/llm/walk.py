@@ -14,7 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.operators.ranks import prefix_sums
+from corpusmill.operators.latest import salted_lookup
+from corpusmill.operators.ranks import global_rank, prefix_sums
 from corpusmill.runtime import cores, discard, materialise
 
 
@@ -25,22 +26,28 @@ def _long(df: DataFrame, key: str, scores: Sequence[str]) -> DataFrame:
     return rows.filter(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
-def placed(base: DataFrame) -> DataFrame:
-    """(key, c, v) with ``n``, ``stays`` and ``b``: what doesn't change from step to step.
+HOT = 20_000
+SALTS = 64
+
+
+def placed(base: DataFrame, key: str, hot_rows: int = HOT) -> DataFrame:
+    """(key, c, v) with ``n``, ``stays``, ``b``, ``vn`` and ``s``: what doesn't change from step to step.
 
     n: items in the chain; stays: share of an item's proposals not ranked higher,
-    equal ones counting half; b: the block of neighbouring values its value is in.
+    equal ones counting half; b: the block of neighbouring values its value is in;
+    vn: items of that value; s: the item's salt if its value is hot, else 0.
     """
     sizes = base.groupBy("c").agg(F.count("*").alias("n"))  # one row per score
     values = base.groupBy("c", "v").agg(F.count("*").alias("vn")).join(F.broadcast(sizes), "c")
     below = prefix_sums(values, ["c"], [F.col("v")], {"n_below": F.col("vn")})
     blocks = F.greatest(F.lit(cores(base.sparkSession)), F.ceil(F.col("n") / 50_000))
-    found = below.select("c", "v", "n", ((F.col("n_below") + F.col("vn") / 2) / F.col("n")).alias("stays"),
+    found = below.select("c", "v", "n", "vn", ((F.col("n_below") + F.col("vn") / 2) / F.col("n")).alias("stays"),
                          F.floor(F.col("n_below") * blocks / F.col("n")).alias("b"))
-    return materialise(base.join(found, ["c", "v"]), "placed")
+    rows = salted_lookup(base, materialise(found, "values"), ["c", "v"], F.col(key), "vn")
+    return materialise(rows.withColumn("s", F.when(F.col("vn") > hot_rows, F.pmod(F.xxhash64(key), F.lit(SALTS))).otherwise(0).cast("int")), "placed")
 
 
-def step(long: DataFrame) -> DataFrame:
+def step(long: DataFrame, hot_rows: int = HOT) -> DataFrame:
     """One step of every score's chain from mass ``m``: adds ``flow``.
 
     long: rows of :func:`placed` with m, the item's mass times the number n of items
@@ -49,35 +56,38 @@ def step(long: DataFrame) -> DataFrame:
     plus what arrives from items below:
     m * (1 - (higher + equal/2)/n) + (mass below + equal mass/2)/n.
     Items of equal value share one row per value before anything is summed; sums run
-    inside blocks of values, to which the totals of earlier blocks are added.
+    inside blocks of values, to which the totals of earlier blocks are added. The
+    row of a hot value (zero, say) is repeated once a salt before its items meet it.
     """
-    values = long.groupBy("c", "b", "v").agg(F.sum("m").alias("vm"), F.first("n").alias("n"))
+    values = long.groupBy("c", "b", "v").agg(F.sum("m").alias("vm"), F.first("n").alias("n"), F.first("vn").alias("vn"))
     earlier = Window.partitionBy("c").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     before = values.groupBy("c", "b").agg(F.sum("vm").alias("bm")).select("c", "b", F.coalesce(F.sum("bm").over(earlier), F.lit(0.0)).alias("m_before"))
     own = Window.partitionBy("c", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     summed = values.withColumn("m_own", F.coalesce(F.sum("vm").over(own), F.lit(0.0))).join(before, ["c", "b"])
-    inflow = summed.select("c", "b", "v", ((F.col("m_before") + F.col("m_own") + F.col("vm") / 2) / F.col("n")).alias("arrives"))
-    return long.join(inflow, ["c", "b", "v"]).withColumn("flow", F.col("m") * F.col("stays") + F.col("arrives"))
+    salts = F.when(F.col("vn") > hot_rows, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    inflow = summed.select("c", "b", "v", F.explode(salts).alias("s"),
+                           ((F.col("m_before") + F.col("m_own") + F.col("vm") / 2) / F.col("n")).alias("arrives"))
+    return long.join(inflow, ["c", "b", "v", "s"]).withColumn("flow", F.col("m") * F.col("stays") + F.col("arrives"))
 
 
 def rank_walk(df: DataFrame, key: str, scores: Sequence[str], steps: int | None = None, damping: float = 0.85,
-              at_least: int = 1, tolerance: float = 1e-9) -> DataFrame:
-    """Items by the mass the damped walk leaves on them: ``(key, mass, n_scores)``.
+              at_least: int = 1, tolerance: float = 1e-9, hot_rows: int = HOT) -> DataFrame:
+    """Items by the mass the damped walk leaves on them: ``(key, mass, n_scores, mid_rank)``.
 
     df: one row per key. An item takes part in the chain of each score it has;
     its mass is the mean over these chains, and items with fewer than
     ``at_least`` scores are left out of the result (they still stand in the
     chains, as their values are part of each score's distribution). Mass is
-    relative: 1 is an even share. Power iteration ends when no item's mass
-    changes by more than ``tolerance`` in a step, or after ``steps`` steps if
-    that is given. A step keeps the sum of mass times number of scores and shrinks
-    what is missing in it at least by ``damping``, so for damping below 1 it comes
-    to rest; without damping ``steps`` must be given.
+    relative: 1 is an even share. mid_rank is the mean of the item's mid-rank
+    positions, the share of its proposals that stay.
 
-    With ``steps=1`` and ``damping=1`` the mass is the first step from an even
-    start, which is exactly twice the item's mean mid-rank position: an item
-    keeps the share of proposals not ranked higher, and receives the share of
-    items ranked lower, equal ones counting half in both.
+    Power iteration ends when a step of the walk changes no item's mass by more
+    than ``tolerance``, so what is missing is at most tolerance / (1 - damping).
+    Between two steps the mass is carried on along the last two (Chebyshev's
+    weights for a walk whose shares lie in 0..damping), which needs a quarter of
+    the steps; should a step move more than the ones before, the plain iteration
+    goes on, whose missing part shrinks by ``damping`` a step. With ``steps``
+    exactly so many plain steps are taken; without damping they must be given.
 
     Null keys are left out, as are null and NaN scores. An item without scores
     has no mass and is dropped. An empty table gives an empty result.
@@ -85,28 +95,38 @@ def rank_walk(df: DataFrame, key: str, scores: Sequence[str], steps: int | None
     if steps is None and not 0 <= damping < 1:
         raise ValueError("without damping the number of steps must be given")
     base = _long(df.filter(F.col(key).isNotNull()), key, scores)
-    base = placed(materialise(base, "scores"))
-    items, mass, done = None, base.withColumn("m", F.lit(1.0)), 0
+    base = placed(materialise(base, "scores"), key, hot_rows)
+    plain, rho, least = steps is not None, 1.0, float("inf")
+    reach, pull = damping / (2 - damping), 2 / (2 - damping)
+    items, mass, done = None, base.withColumn("m", F.lit(1.0)).withColumn("last", F.lit(1.0)), 0
     while True:
-        new = step(mass).withColumn("m1", F.lit(damping) * F.col("flow") + F.lit(1 - damping))
-        after = new.groupBy(key).agg(F.avg("m1").alias("mass"), F.count("*").alias("n_scores"),
-                                     F.abs(F.avg("m1") - F.first("m")).alias("_moved"))  # m is the same in all chains
         done += 1
+        if done > 1:
+            rho = 1 / (1 - reach**2 / 2) if done == 2 else 1 / (1 - reach**2 * rho / 4)
+        m, walked = F.first("m"), F.lit(damping) * F.avg("flow") + F.lit(1 - damping)
+        onward = walked if plain else F.lit(rho) * (F.lit(pull) * walked + F.lit(1 - pull) * m) + F.lit(1 - rho) * F.first("last")
+        after = step(mass, hot_rows).groupBy(key).agg(  # m and last are the same in all chains
+            walked.alias("mass"), F.count("*").alias("n_scores"), F.avg("stays").alias("mid_rank"),
+            F.abs(walked - m).alias("_moved"), onward.alias("_next"), m.alias("_m"))
         if done == steps:
             break
         after = materialise(after, "walk")
         if items is not None:
             discard(items)
         items = after
-        if (items.agg(F.max("_moved")).first()[0] or 0) <= tolerance:
+        moved = items.agg(F.max("_moved")).first()[0] or 0
+        if moved <= tolerance:
             break
-        mass = base.join(items.select(key, F.col("mass").alias("m")), key)
-    return after.filter(F.col("n_scores") >= at_least).select(key, "mass", "n_scores")
+        plain, least = plain or moved > 2 * least, min(least, moved)
+        mass = base.join(items.select(key, F.col("mass" if plain else "_next").alias("m"), F.col("_m").alias("last")), key)
+    return after.filter(F.col("n_scores") >= at_least).select(key, "mass", "n_scores", "mid_rank")
 
 
 def first_share(ranked: DataFrame, key: str, value: str, k: int) -> DataFrame:
-    """The first ``k`` rows by ``value`` (highest first, then ``key``), as a distributed top-k.
+    """The first ``k`` rows by ``value`` (highest first, then ``key``), however large k is.
 
-    Values are compared to 12 decimals, so that sums added in another order tie.
+    Places come from range partitions, so no task ever holds k rows. Values are
+    compared to 12 decimals, so that sums added in another order tie.
     """
-    return ranked.orderBy(F.round(value, 12).desc(), F.col(key).asc()).limit(k)
+    order = [F.round(value, 12).desc(), F.col(key).asc()]
+    return global_rank(ranked, [], order, "_place").filter(F.col("_place") < k).drop("_place")

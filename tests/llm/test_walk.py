@@ -45,3 +45,18 @@ def test_query_is_at_rest(spark, data):
     got = {r["full_name"]: r["mass"] for r in entry.queries()["p5_rank_walk"](spark, data).collect()}
     assert got.keys() == want.keys()
     assert max(abs(got[k] - want[k]) for k in want) < 1e-5
+
+
+def test_hot_values_are_salted(spark):
+    rng = random.Random(5)
+    rows = [(i, 0.0 if i % 3 else rng.random(), float(rng.randrange(3))) for i in range(150)]
+    df = spark.createDataFrame(rows, "id int, a double, b double")
+    want = at_rest(rows, 0.85)
+    got = {r["id"]: r["mass"] for r in walk.rank_walk(df, "id", ["a", "b"], tolerance=1e-6, hot_rows=20).collect()}
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-5
+
+
+def test_first_share_takes_whole_order(spark):
+    df = spark.createDataFrame([(f"k{i:03d}", float(i % 7)) for i in range(100)], "k string, v double")
+    want = [r[0] for r in sorted(((f"k{i:03d}", i % 7) for i in range(100)), key=lambda r: (-r[1], r[0]))][:33]
+    assert sorted(r["k"] for r in walk.first_share(df, "k", "v", 33).collect()) == sorted(want)
