@@ -1,38 +1,38 @@
 """Problem 10: long exact spans shared between records.
 
-A count-min sketch, merged from the partitions' own, overestimates how many texts
-hold each window's anchor; only windows whose anchor is estimated to lie in two or
-more texts are ever shuffled, so none that is shared is lost, and these are
-grouped exactly. The anchor of a window is the least hash of its shorter inner
-windows, so neighbouring windows mostly share one and a text adds few entries to
-the sketch.
+The anchor of a window of ``run`` characters is the least hash of its shorter inner
+windows, so neighbouring windows mostly share one and a text has few. A count-min
+sketch, split by anchor range and merged from what the partitions counted, over-
+estimates in how many texts an anchor lies; only windows whose anchor is estimated
+in two or more are ever grouped, so none that is shared is lost, and these are
+grouped exactly.
 
 Not every position of a shared stretch has to be grouped: windows chosen by their
-own content (one in ``SAMPLE``) are grouped first and cover most of each stretch;
-what remains are its edges. Their windows go into a second sketch, every text
-sends the windows that strike it, and these are grouped exactly as well.
+own content (one in ``SAMPLE``) are grouped first and cover most of each stretch.
+What remains are its edges: anchors that still have windows outside of what is
+covered. Every text that has such an anchor sends all its windows of it, and these
+are grouped exactly as well.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm import kernel as k
 from corpusmill.operators.latest import salted_lookup
-from corpusmill.runtime import materialise, small_rows
+from corpusmill.runtime import cores, materialise
 
-BLOCK = 1 << 16
 DEPTH = 4
 SAMPLE = 32
-MOST_MARKS = 200_000
+OWNED = 8_000_000  # anchors a task owns, about
+COUNTED = 1 << 20  # anchors that share one sketch, about
+SMALL_LISTS, SMALL_ENTRIES = 200_000, 2_000_000
 
 
 @lru_cache(maxsize=1)
@@ -50,106 +50,61 @@ def inner_width(run: int) -> int:
     return max(1, run * 2 // 3)
 
 
-class Sketch:
-    """Rows of saturating counters (0, 1, 2 or more), as lists of struck cells."""
-
-    def __init__(self, log_cells: int):
-        self.log = log_cells
-        self.cells: list[list[np.ndarray]] = [[] for _ in range(DEPTH)]
-
-    def add(self, values: np.ndarray) -> None:
-        """Count each of ``values`` once."""
-        for row in range(DEPTH):
-            self.cells[row].append(cell(values, row, self.log))
-
-    def blocks(self) -> Iterator[tuple[int, bytes, bytes]]:
-        """(block number, cells struck once, cells struck more often) for every block in use."""
-        for row in range(DEPTH):
-            if not self.cells[row]:
-                continue
-            at, n = np.unique(np.concatenate(self.cells[row]), return_counts=True)
-            base = row << (self.log - 16) if self.log > 16 else row
-            number = at >> k.U(16)
-            for b in np.unique(number).tolist():
-                lo, hi = np.searchsorted(number, b), np.searchsorted(number, b, "right")
-                inside, many = (at[lo:hi] & k.U(BLOCK - 1)).astype(np.uint16), n[lo:hi] > 1
-                yield int(base + b), pack(inside[~many]), pack(inside[many])
-
-
 def cell(values: np.ndarray, row: int, log: int) -> np.ndarray:
-    """Cell of each value in a row of the sketch."""
-    return k.mix(values + k.U(row * 0x51ED270B)) >> k.U(64 - log)
-
-
-def pack(inside: np.ndarray) -> bytes:
-    """Cells of a block: their 16-bit numbers, or a bitmap once that is shorter."""
-    if len(inside) * 2 < BLOCK // 8:
-        return inside.tobytes()
-    bits = np.zeros(BLOCK, bool)
-    bits[inside] = True
-    return np.packbits(bits).tobytes()
+    """Cell of each value in a row of a sketch."""
+    return (k.mix(values + k.U(row * 0x51ED270B)) >> k.U(64 - log)).astype(np.int64)
 
 
-def unpack(data: bytes) -> np.ndarray:
-    """The cells that :func:`pack` wrote."""
-    if len(data) == BLOCK // 8:
-        return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8))).astype(np.uint16)
-    return np.frombuffer(data, np.uint16)
+def repeated(anchors: np.ndarray, texts: np.ndarray, log: int) -> np.ndarray:
+    """Whether a count-min sketch of (anchor, texts) rows estimates two texts or more for each row's anchor."""
+    out = np.ones(len(anchors), bool)
+    for row in range(DEPTH):
+        at = cell(anchors, row, log)
+        counts = np.bincount(at, minlength=1 << log) + np.bincount(at[texts > 1], minlength=1 << log)  # more than two count as two
+        out &= counts[at] > 1
+    return out
 
 
-def merge(frame: pd.DataFrame) -> pd.DataFrame:
-    """One block of several sketches: counters add up and saturate at 2."""
-    n = np.zeros(BLOCK, np.uint8)
-    for one, two in zip(frame["one"], frame["two"]):
-        np.minimum(n, 2, out=n)
-        n[unpack(one)] += 1
-        n[unpack(two)] = 2
-    return pd.DataFrame({"block": [int(frame["block"].iloc[0])], "one": [pack(np.flatnonzero(n == 1).astype(np.uint16))],
-                         "two": [pack(np.flatnonzero(n >= 2).astype(np.uint16))]})
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, n): anchors of a task, pieces of it added up, so that a hot one arrives once a piece at its owner."""
+    held: list[np.ndarray] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch.column(0).to_numpy(zero_copy_only=False))
+        rows += len(held[-1])
+        if rows >= 2 * COUNTED:
+            yield _added(held)
+            held, rows = [], 0
+    if rows:
+        yield _added(held)
 
 
-SKETCH_SCHEMA = "block bigint, one binary, two binary"
+def _added(held: list[np.ndarray]) -> pa.RecordBatch:
+    a, n = np.unique(np.concatenate(held), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(n.astype(np.int32))], names=["a", "n"])
 
 
-def merged(parts: DataFrame, log: int, least: int, tasks: int) -> np.ndarray:
-    """Bits (row after row) of all cells counted ``least`` (1 or 2) times or more.
+def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, n): an owner's anchors that its sketches estimate in two or more texts, and in how many rows they came.
 
-    Blocks are merged by the executors, in two levels if there are many tasks.
-    What reaches the driver is at most one bit a cell and row.
+    What one task owns is cut into ranges of about ``COUNTED`` anchors, each with a
+    sketch of four to eight cells an anchor.
     """
-    if tasks > 1000:
-        level = parts.withColumn("s", F.spark_partition_id() % 64)
-        parts = level.groupBy("block", "s").applyInPandas(lambda key, f: merge(f), SKETCH_SCHEMA)
-    whole = parts.groupBy("block").applyInPandas(lambda key, f: merge(f), SKETCH_SCHEMA)
-    per_row = max(1, 1 << (log - 16)) if log > 16 else 1
-    bits = np.zeros((DEPTH * per_row, BLOCK // 8), np.uint8)
-    for row in small_rows(whole, DEPTH * per_row, "blocks of a sketch"):
-        on = np.zeros(BLOCK, bool)
-        on[unpack(row["two"])] = True
-        if least == 1:
-            on[unpack(row["one"])] = True
-        bits[row["block"]] = np.packbits(on)
-    return bits.reshape(-1)
-
-
-def packed(bits: np.ndarray) -> bytes:
-    """The bits as they are sent out; few are on, so they shrink well."""
-    return zlib.compress(bits.tobytes(), 1)
-
-
-@lru_cache(maxsize=2)
-def unpacked(data: bytes) -> np.ndarray:
-    """What :func:`packed` packed, once a worker."""
-    return np.frombuffer(zlib.decompress(data), np.uint8)
-
-
-def struck(bits: np.ndarray, values: np.ndarray, log: int) -> np.ndarray:
-    """Whether all rows of the sketch have the value's cell on."""
-    out = np.ones(len(values), bool)
-    for row in range(DEPTH):
-        at = cell(values, row, log) + k.U(row << max(log, 16))
-        out &= ((bits[(at >> k.U(3)).astype(np.int64)] >> (k.U(7) - (at & k.U(7))).astype(np.uint8)) & 1).astype(bool)
-    return out
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    a = np.concatenate([b.column(0).to_numpy(zero_copy_only=False) for b in parts]).view(k.U)
+    n = np.concatenate([b.column(1).to_numpy(zero_copy_only=False) for b in parts])
+    ranges = -(-len(a) // COUNTED)
+    which = k.mix(a ^ k.BASE_WORD_2) % k.U(ranges)
+    for r in range(ranges):
+        here = np.flatnonzero(which == r) if ranges > 1 else np.arange(len(a))
+        log = max(10, int(4 * len(here)).bit_length())
+        here = here[repeated(a[here], n[here], log)]
+        if len(here):
+            found, place = np.unique(a[here], return_inverse=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found.view(np.int64)), pa.array(np.bincount(place, n[here]).astype(np.int64))], names=["a", "n"])
 
 
 class Windows:
@@ -180,20 +135,16 @@ class Windows:
         self.anchors = anchor[self.heads]
         self.counts = np.diff(np.append(self.heads, len(first)))
 
-    def distinct(self) -> np.ndarray:
-        """Each text's anchors, once a text."""
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """(text, anchor) pairs, each once."""
         order = np.lexsort((self.anchors, self.text[self.heads]))
         a, t = self.anchors[order], self.text[self.heads][order]
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (t[1:] != t[:-1])
-        return a[new]
-
-    def candidates(self, bits: np.ndarray, log: int) -> np.ndarray:
-        """Indexes of the windows whose anchor is estimated in two or more texts."""
-        return np.flatnonzero(np.repeat(struck(bits, self.anchors, log), self.counts))
+        return t[new], a[new]
 
     def listed(self, lists: list[np.ndarray]) -> np.ndarray:
-        """Indexes of the windows whose anchor is in their own text's list."""
+        """Which of ``heads`` have an anchor that is in their own text's list."""
         on = np.zeros(len(self.heads), bool)
         owner = self.text[self.heads]
         bounds = np.searchsorted(owner, np.arange(len(lists) + 1))
@@ -201,6 +152,10 @@ class Windows:
             a, b = bounds[i], bounds[i + 1]
             if b > a and len(known):
                 on[a:b] = np.isin(self.anchors[a:b], known)
+        return on
+
+    def windows(self, on: np.ndarray) -> np.ndarray:
+        """Indexes of all windows under the heads marked in ``on``."""
         return np.flatnonzero(np.repeat(on, self.counts))
 
     def hashes(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -237,45 +192,35 @@ def _hits(ids: pa.Array, base: int, w: Windows, which: np.ndarray, one: np.ndarr
         names=HIT_SCHEMA)
 
 
+def _lists(column: pa.Array, base: int, n: int) -> list[np.ndarray]:
+    """The anchors of n rows of a list column."""
+    return [np.asarray(x, np.int64).view(k.U) for x in column.slice(base, n).to_pylist()]
+
+
 def _shared(hits: DataFrame) -> DataFrame:
     """Exact grouping: (d, pos) of windows that lie in at least two different texts."""
     groups = hits.groupBy("h1", "h2").agg(F.min("d").alias("_a"), F.max("d").alias("_b"), F.count("*").alias("_n"))
-    return salted_lookup(hits, groups.filter("_a <> _b").select("h1", "h2", "_n"), ["h1", "h2"], F.col("pos"), "_n").select("d", "pos")
-
-
-def _grouped_anchors(docs: DataFrame, d_type: str, run: int) -> DataFrame:
-    """(d, anchors): each text's anchors that another text has too, by exact grouping."""
+    groups = materialise(groups.filter("_a <> _b").select("h1", "h2", "_n"), "shared")
+    return salted_lookup(hits, groups, ["h1", "h2"], F.col("pos"), "_n").select("d", "pos")
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for base, w in _rows(batch.column(1), run):
-                text = w.text[w.heads]
-                pairs = np.unique(np.stack((text.astype(np.int64), w.anchors.view(np.int64))), axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs[0] + base)), pa.array(pairs[1])], names=["d", "a"])
 
-    rows = materialise(docs.mapInArrow(emit, f"d {d_type}, a bigint"), "anchors")
-    groups = rows.groupBy("a").agg(F.min("d").alias("_a"), F.max("d").alias("_b"), F.count("*").alias("_n")).filter("_a <> _b").select("a", "_n")
-    known = salted_lookup(rows, groups, ["a"], F.col("d"), "_n")
-    return known.groupBy("d").agg(F.collect_set("a").alias("anchors"))  # at most a text's own anchors
+def _holding(known: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Rows (d, a) of ``known`` whose anchor is in ``anchors`` (a, n)."""
+    if anchors.count() <= SMALL_ENTRIES:
+        return known.join(F.broadcast(anchors.select("a")), "a").select("d", "a")
+    return salted_lookup(known, anchors, ["a"], F.col("d"), "n").select("d", "a")
 
 
-def _all_windows(docs: DataFrame, d_type: str, run: int) -> DataFrame:
-    """(d, pos) of shared windows for a corpus no sketch can hold.
+def _meet(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(d, t, anchors): texts with their own anchors out of rows (d, a); texts without any are left out.
 
-    Anchors are grouped by a shuffle (about a sixth of the text's size), and every
-    window whose anchor lies in two or more texts is grouped exactly.
+    The lists go to the texts while they are few, which is counted; beyond that
+    those texts go to their lists.
     """
-    marked = docs.join(_grouped_anchors(docs, d_type, run), "d").select("d", "t", "anchors")
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [np.asarray(x, np.int64).view(k.U) for x in batch.column(2).to_pylist()]
-            for base, w in _rows(batch.column(1), run):
-                which = w.listed(lists[base : base + len(w.offsets) - 1])
-                if len(which):
-                    yield _hits(batch.column(0), base, w, which, *w.hashes(which))
-
-    return _shared(materialise(marked.mapInArrow(emit, f"d {d_type}, pos bigint, h1 bigint, h2 bigint"), "windows"))
+    lists = materialise(rows.groupBy("d").agg(F.collect_set("a").alias("anchors")), "lists")  # at most a text's own anchors
+    n, entries = lists.agg(F.count("*"), F.sum(F.size("anchors"))).first()
+    few = n <= SMALL_LISTS and (entries or 0) <= SMALL_ENTRIES
+    return docs.join(F.broadcast(lists) if few else lists, "d").select("d", "t", "anchors")
 
 
 def _stretches(windows: DataFrame, key: str, d_type: str, run: int) -> DataFrame:
@@ -298,7 +243,33 @@ def _stretches(windows: DataFrame, key: str, d_type: str, run: int) -> DataFrame
     return per_text.mapInArrow(join, f"`{key}` {d_type}, start_pos bigint, end_pos bigint")
 
 
-def shared_spans(df: DataFrame, key: str, text: str, run: int = 300, log_cells: int | None = None, most_log: int = 27) -> DataFrame:
+def _open_anchors(runs: DataFrame, covered: DataFrame, run: int) -> DataFrame:
+    """(a, n): anchors with windows outside of what is covered in some text, and in how many rows.
+
+    runs: (d, a, lo, hi), the windows at positions lo..hi-1 of a text have anchor a.
+    """
+
+    def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = []
+            for a, lo, hi, at in zip(*[c.to_pylist() for c in batch.columns]):
+                a, lo, hi = np.asarray(a, np.int64), np.asarray(lo, np.int64), np.asarray(hi, np.int64)
+                p = np.sort(np.asarray(at or [], np.int64))
+                s, e = k.merge_spans(p, p + run)
+                if len(s):
+                    place = np.searchsorted(s, lo, "right") - 1
+                    a = a[(place < 0) | (hi - 1 + run > e[np.maximum(place, 0)])]
+                held.append(np.unique(a))
+            if held:
+                yield _added(held)
+
+    per_text = runs.groupBy("d").agg(F.collect_list(F.struct("a", "lo", "hi")).alias("r")).join(
+        covered.groupBy("d").agg(F.collect_list("pos").alias("at")), "d", "left")  # both at most a text's length
+    found = per_text.select(F.col("r.a").alias("a"), F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"), "at").mapInArrow(outside, "a bigint, n int")
+    return found.groupBy("a").agg(F.sum("n").alias("n"))
+
+
+def shared_spans(df: DataFrame, key: str, text: str, run: int = 300) -> DataFrame:
     """(key, start_pos, end_pos): each maximal stretch of a text in which every
     character lies in some run of ``run`` characters that also occurs, exactly, in
     the text of another key.
@@ -306,109 +277,59 @@ def shared_spans(df: DataFrame, key: str, text: str, run: int = 300, log_cells:
     Positions count code points, the end is exclusive; stretches that overlap or
     touch are one. Null, empty and shorter texts have none; rows with a null key
     are dropped; rows repeating a key count as the same text's. Texts are read
-    whole.
-
-    log_cells: size of a sketch row, by default about eight cells a text anchor.
-        A fuller sketch overestimates more, which costs shuffled windows and never
-        a result.
-    most_log: the largest sketch row that may be broadcast. A corpus that needs
-        more is not squeezed into it: its anchors are grouped by a shuffle.
-    Windows are grouped by 128 bits of hash.
+    whole. Windows are grouped by 128 bits of hash.
+
+    All sizes take the same way. The sketch has about six cells an anchor, whatever
+    their number, and never leaves the task that owns its range; a fuller one would
+    overestimate more, which costs windows that are grouped and never a result.
     """
     spark = df.sparkSession
     docs = df.select(F.col(key).alias("d"), F.col(text).alias("t")).filter(F.col("d").isNotNull() & (F.length("t") >= run))
     d_type = df.schema[key].dataType.simpleString()
-    if log_cells is None:
-        chars = docs.agg(F.sum(F.length("t"))).first()[0] or 0
-        log_cells = int(max(16, np.ceil(np.log2(8 * chars / ((run - inner_width(run)) / 2 + 1) + 1))))
-        if log_cells > most_log:
-            return _stretches(_all_windows(docs, d_type, run), key, d_type, run)
-    log = log_cells
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Sketch(log)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, w in _rows(batch.column(1), run):
-                own.add(w.distinct())
-        rows = list(own.blocks())
-        if rows:
-            yield pa.RecordBatch.from_pydict({"block": [r[0] for r in rows], "one": [r[1] for r in rows], "two": [r[2] for r in rows]})
+            for base, w in _rows(batch.column(1), run):
+                t, a = w.distinct()
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(t + base)), pa.array(a.view(np.int64))], names=["d", "a"])
 
-    tasks = docs.rdd.getNumPartitions()
-    first = merged(docs.mapInArrow(sketch, SKETCH_SCHEMA), log, 2, tasks)
-    bits = spark.sparkContext.broadcast(packed(first))
+    anchors = materialise(docs.mapInArrow(emit, f"d {d_type}, a bigint"), "anchors")
+    owners = max(cores(spark), -(-anchors.count() // OWNED))
+    found = anchors.select("a").mapInArrow(counted, "a bigint, n int").repartition(owners, "a").mapInArrow(estimated, "a bigint, n bigint")
+    known = materialise(_holding(anchors, materialise(found, "repeated")), "known")
+    open_docs = materialise(_meet(docs, known), "open")
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for base, w in _rows(batch.column(1), run):
-                which = w.candidates(unpacked(bits.value), log)
+                on = w.listed(_lists(batch.column(2), base, len(w.offsets) - 1))
+                which = w.windows(on)
                 if not len(which):
                     continue
                 one, two = w.hashes(which)
                 chosen = one % k.U(SAMPLE) == 0
                 yield _hits(batch.column(0), base, w, which[chosen], one[chosen], two[chosen])
-                some = np.unique(w.text[which])  # a mark for every text with candidates
-                n = len(some)
+                head = w.heads[on]  # h1 and h2 of a head are where its windows begin and end; pos tells them from hits
+                owner = w.text[head]
+                lo = w.first[head] - w.offsets[owner]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(some + base)), pa.array(np.full(n, -1)), pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, np.int64))],
+                    [batch.column(0).take(pa.array(owner + base)), pa.array(-1 - lo), pa.array(w.anchors[on].view(np.int64)), pa.array(lo + w.counts[on])],
                     names=HIT_SCHEMA)
 
-    hits = materialise(docs.mapInArrow(sampled, f"d {d_type}, pos bigint, h1 bigint, h2 bigint"), "sampled")
+    hits = materialise(open_docs.mapInArrow(sampled, f"d {d_type}, pos bigint, h1 bigint, h2 bigint"), "sampled")
     covered = materialise(_shared(hits.filter("pos >= 0")), "covered")
-    marks = hits.filter("pos < 0").select("d").distinct()
-    covers = marks.join(covered.groupBy("d").agg(F.collect_list("pos").alias("at")), "d", "left")
-    # The list of texts with candidates is sent to the texts while it is small; else the texts are shuffled.
-    if marks.count() <= MOST_MARKS and covered.count() <= 10 * MOST_MARKS:
-        covers = F.broadcast(covers)
-    open_docs = docs.join(covers, "d").select("d", "t", "at")
-
-    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Sketch(log)
-        for batch in batches:
-            lists = batch.column(2)
-            for base, w in _rows(batch.column(1), run):
-                which = w.candidates(unpacked(bits.value), log)
-                if not len(which):
-                    continue
-                # Spans of this slice that the sampled windows cover, as places in the slice.
-                starts = [np.asarray(lists[base + i].as_py() or [], np.int64) + w.offsets[i] for i in range(len(w.offsets) - 1)]
-                s = np.sort(np.concatenate(starts)) if starts else np.zeros(0, np.int64)
-                s, e = _merge_within(s, s + run, w.offsets)
-                at = w.first[which]
-                place = np.searchsorted(s, at, "right") - 1
-                inside = (place >= 0) & (at + run <= e[np.maximum(place, 0)]) if len(s) else np.zeros(len(at), bool)
-                if not inside.all():
-                    own.add(np.unique(w.hashes(which[~inside])[0]))
-        rows = list(own.blocks())
-        if rows:
-            yield pa.RecordBatch.from_pydict({"block": [r[0] for r in rows], "one": [r[1] for r in rows], "two": [r[2] for r in rows]})
-
-    second = spark.sparkContext.broadcast(packed(merged(open_docs.mapInArrow(edges, SKETCH_SCHEMA), log, 1, tasks)))
+    runs = hits.filter("pos < 0").select("d", F.col("h1").alias("a"), (-1 - F.col("pos")).alias("lo"), F.col("h2").alias("hi"))
+    edges = _holding(known, materialise(_open_anchors(runs, covered, run), "edges"))
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for base, w in _rows(batch.column(1), run):
-                which = w.candidates(unpacked(bits.value), log)
-                if not len(which):
-                    continue
-                one, two = w.hashes(which)
-                chosen = struck(unpacked(second.value), one, log)
-                yield _hits(batch.column(0), base, w, which[chosen], one[chosen], two[chosen])
-
-    rest = materialise(docs.mapInArrow(answers, f"d {d_type}, pos bigint, h1 bigint, h2 bigint"), "edges")
-    windows = covered.unionByName(_shared(rest))
-    return _stretches(windows, key, d_type, run)
-
+                which = w.windows(w.listed(_lists(batch.column(2), base, len(w.offsets) - 1)))
+                if len(which):
+                    yield _hits(batch.column(0), base, w, which, *w.hashes(which))
 
-def _merge_within(starts: np.ndarray, ends: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Merged spans that never join two texts, though those lie end to end."""
-    if not len(starts):
-        return starts, ends
-    text = np.searchsorted(offsets, starts, "right")
-    # Shifting each text's spans by its number keeps a gap between texts.
-    s, e = k.merge_spans(starts + text, ends + text)
-    back = np.searchsorted(offsets + np.arange(1, len(offsets) + 1), s, "right")
-    return s - back, e - back
+    rest = materialise(_meet(open_docs.select("d", "t"), edges).mapInArrow(answers, f"d {d_type}, pos bigint, h1 bigint, h2 bigint"), "answers")
+    return _stretches(covered.unionByName(_shared(rest)), key, d_type, run)
 
 
 def shared_amount(df: DataFrame, key: str, text: str, run: int = 300) -> DataFrame:

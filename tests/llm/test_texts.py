@@ -42,14 +42,25 @@ def test_shared_spans_against_brute_force(spark, monkeypatch):
     df = spark.createDataFrame([*texts, (200, None), (201, ""), (None, notice)], "k int, t string").withColumn("d", F.lit(1)).withColumn("pos", F.lit(2))
     got = sorted(tuple(r) for r in spans.shared_spans(df, "k", "t", run=30).collect())
     assert got == brute_spans(texts, 30)
-    small = sorted(tuple(r) for r in spans.shared_spans(df, "k", "t", run=30, log_cells=16).collect())
-    assert small == got
-    assert sorted(tuple(r) for r in spans.shared_spans(df, "k", "t", run=30, most_log=1).collect()) == got
+    for name, bound in (("OWNED", 300), ("SMALL_LISTS", 0), ("SMALL_ENTRIES", 0)):  # many owners, nothing broadcast
+        monkeypatch.setattr(spans, name, bound)
+    assert sorted(tuple(r) for r in spans.shared_spans(df, "k", "t", run=30).collect()) == got
     amount = {r["k"]: (r["shared_chars"], r["share"]) for r in spans.shared_amount(df, "k", "t", run=30).collect()}
     assert amount[200] == (0, 0.0) and amount[103] == (0, 0.0) and amount[102] == (120, 1.0)
     assert spans.shared_spans(df.limit(0), "k", "t").count() == 0
 
 
+def test_sketch_never_underestimates(monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(spans, "COUNTED", 500)
+    values = rng.integers(0, 3000, 4000)
+    batches = [pa.RecordBatch.from_arrays([pa.array(v)], names=["a"]) for v in np.array_split(values, 7)]
+    rows = [b for part in (batches[:3], batches[3:]) for b in spans.counted(iter(part))]
+    got = {a: n for b in spans.estimated(iter(rows)) for a, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    want = {int(v): int(n) for v, n in zip(*np.unique(values, return_counts=True)) if n > 1}
+    assert all(got.get(v) == n for v, n in want.items()) and len(got) < len(want) * 1.05 + 20
+
+
 def test_spans_of_repeated_rows_and_one_text(spark):
     t = "x1y2z3" * 40
     df = spark.createDataFrame([(1, t), (1, t)], "k int, t string")
