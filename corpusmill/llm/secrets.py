@@ -1,10 +1,12 @@
 """Problem 4: credentials embedded in source code, configuration and prose.
 
-A keyword automaton reads each text once. Only where it strikes, the line (for
-private keys: the block) is looked at by the expressions of that keyword's
-family; values are then validated by structure (encoded parts decode, armour
-matches) and freed of placeholders, references and encrypted values. Redaction
-keeps length and alphabet, so that the code around still parses.
+A keyword automaton reads each text once. Only where it strikes, the expressions of
+that keyword's family look at what stands there; values are then validated by
+structure (encoded parts decode, armour matches) and freed of placeholders,
+references and encrypted values. Every expression is anchored at its strike and what
+a line's strikes ask again is remembered, so long lines (minified files) take time in
+proportion to their length. Redaction keeps length and alphabet, so that the code
+around still parses, and what it writes is no secret any more.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -56,29 +59,32 @@ DEFAULTS = {"password", "passwd", "pass", "secret", "token", "changeme", "change
             "password1", "password123", "admin123", "12345678", "123456789", "1234567890", "postgres", "mysql", "foobar", "mysecret",
             "mypassword", "my-secret", "my_secret", "required", "optional", "string", "value", "key", "api_key", "apikey"}
 
-ISSUED_RX = re.compile(r"(?<![A-Za-z0-9])(?:" + "|".join(ISSUED) + ")")
-ASSIGNED_RX = re.compile(
-    r"(?<![A-Za-z0-9])[A-Za-z0-9_.\-]*(?:" + "|".join(sorted(NAMES, key=len, reverse=True)) + r")"
-    r"(?:[\"'`\]]{0,2}\s{0,4}(?::=|=>|==?|:)\s{0,4}(?:[rbuf]{0,2}(?=[\"']))?|(?<=[A-Z])[ \t]+(?=\S+\s*$))"
-    r"(?:\"(?P<dq>[^\"\n]*)\"|'(?P<sq>[^'\n]*)'|`(?P<bq>[^`\n]*)`|(?P<raw>[^\s\"'`]+))",
-    re.IGNORECASE,
-)
+ISSUED_RX = re.compile("|".join(ISSUED))
+ASSIGN_RX = re.compile(r"[\"'`\]]{0,2}\s{0,4}(?::=|=>|==?|:)\s{0,4}(?:[rbuf]{0,2}(?=[\"']))?|(?<=[A-Za-z])[ \t]+(?=\S+\s*$)", re.IGNORECASE)
 ENV_RX = re.compile(r"^\s*(?:ENV|ARG|SET|setenv)\s+[A-Za-z0-9_]*(?:" + "|".join(NAMES) + r")\s+[\"']?(?P<raw>[^\s\"']+)", re.IGNORECASE)
 BEARER_RX = re.compile(r"\bBearer\s+(?P<raw>[^\s\"'`,;]+)", re.IGNORECASE)
 BASIC_RX = re.compile(r"\bBasic\s+(?P<raw>[A-Za-z0-9+/_-]{8,}={0,2})", re.IGNORECASE)
-URL_RX = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://(?P<user>[^\s:/@\"'`<>]*):(?P<raw>[^\s@/\"'`<>]+)@(?P<host>[^\s/\"'`<>:]*)")
+URL_RX = re.compile(r"(?P<user>[^\s:/@\"'`<>]*):(?P<raw>[^\s@/\"'`<>]+)@(?P<host>[^\s/\"'`<>:]*)")
 USER_RX = re.compile(r"(?:^|\s)(?:-u|--user|--proxy-user)[\s=]+[\"']?(?P<user>[^\s:\"']+):(?P<raw>[^\s\"']+)")
 PROSE_RX = re.compile(
     r"\b(?:password|passphrase|passcode|secret|token|api key|access key|secret key)\b[^.\n:=]{0,80}?\b(?:is|was|are|reads)\s+"
     r"(?:\"(?P<dq>[^\"\n]+)\"|'(?P<sq>[^'\n]+)'|`(?P<bq>[^`\n]+)`|(?P<raw>[^\s\"'`]+))", re.IGNORECASE)
-ARMOUR_RX = re.compile(r"-----BEGIN (?P<kind>[A-Z0-9 ]*)PRIVATE KEY(?P<block> BLOCK)?-----.*?-----END (?P=kind)PRIVATE KEY(?(block) BLOCK)-----", re.DOTALL)
+ARMOUR_RX = re.compile(r"-----BEGIN (?P<kind>[A-Z0-9 ]*)PRIVATE KEY(?P<block> BLOCK)?-----")
 REFERENCE_RX = re.compile(
     r"^(?:\$|%[A-Za-z_]+%$|\{\{|<|\[|\(|&|\*{2}|ENC\[|ENC\(|vault:|vault/|secret:|secrets?[./]|ref[:+]|arn:|op://|ssm:|sops:|env[.:(\[]|"
     r"\$ANSIBLE_VAULT|AQICAH|projects/|file:|@)|^[A-Za-z_][\w.]*[(\[]|^(?:process|os|config|settings|env|self|this|secrets|var|local|data|module)\.[A-Za-z_.]+$",
     re.IGNORECASE)
-FILLER_RX = re.compile(
-    r"^(.)\1*$|\*{4,}|x{6,}|X{6,}|\.{3}|\u2026|your[-_ ]|[-_]here$|example|placeholder|change[-_ ]?me|redacted|insert[-_ ]|replace[-_ ]|"
-    r"dummy|^my[-_](?:password|secret|token|key)$|^<.*>$|^\{.*\}$|^\[.*\]$", re.IGNORECASE)
+FILLER_INSIDE = (r"\*{4,}|x{6,}|\.{3}|\u2026|your[-_ ]|example|placeholder|change[-_ ]?me|redacted|insert[-_ ]|replace[-_ ]|dummy")
+FILLER_RX = re.compile(r"^(.)\1*$|" + FILLER_INSIDE + r"|[-_]here$|^my[-_](?:password|secret|token|key)$|^<.*>$|^\{.*\}$|^\[.*\]$", re.IGNORECASE)
+VERSION_RX = re.compile(r"v?\d+(?:\.\d+)*[a-z]?|\d+(?:px|em|ms|s|m|h|d|kb|mb|gb|k)", re.IGNORECASE)
+NAMED_RX = re.compile(r"[A-Za-z][a-z]+(?:[A-Z][a-z]+)*(?:[._-]\w+)*")
+LONG = 256
+# What is asked of a long bare value, by where it next occurs.
+ASKED = {
+    "stop": re.compile(r"[\s\"'`]"), "filler": re.compile(FILLER_INSIDE, re.IGNORECASE), "letter": re.compile(r"[^\W\d_]"), "digit": re.compile(r"\d"),
+    "upper": re.compile(r"[A-Z]"), "lower": re.compile(r"[a-z]"), "mark": re.compile(r"[^\w\-./:]"), "unsafe": re.compile(r"[^A-Za-z0-9_-]"),
+    "double": re.compile('"'), "single": re.compile("'"), "back": re.compile("`"),
+}
 EXAMPLE_HOST = re.compile(r"^(?:localhost|127\.0\.0\.1|0\.0\.0\.0|host|hostname|db|example\.(?:com|org|net))$", re.IGNORECASE)
 
 
@@ -105,7 +111,10 @@ def weak(value: str) -> bool:
 
 
 def literal(value: str, quoted: bool) -> bool:
-    """A value that a person or generator chose: not a word, a number or an identifier."""
+    """A value that a person or generator chose: not a word, a number or an identifier.
+
+    Shorter than six characters is none: such values are mostly units, flags and words.
+    """
     if len(value) < 6 or weak(value) or value.isdigit():
         return False
     if any(ch.isspace() for ch in value):
@@ -113,10 +122,10 @@ def literal(value: str, quoted: bool) -> bool:
     letters = any(ch.isalpha() for ch in value)
     digits = any(ch.isdigit() for ch in value)
     if letters and digits:
-        return not re.fullmatch(r"v?\d+(?:\.\d+)*[a-z]?|\d+(?:px|em|ms|s|m|h|d|kb|mb|gb|k)", value.lower())
+        return not VERSION_RX.fullmatch(value)
     mixed = any(ch.isupper() for ch in value[1:]) and any(ch.islower() for ch in value)
     marks = any(not ch.isalnum() and ch not in "_-./:" for ch in value)
-    return letters and (marks or (mixed and len(value) >= 12 and not re.fullmatch(r"[A-Za-z][a-z]+(?:[A-Z][a-z]+)*(?:[._-]\w+)*", value)))
+    return letters and (marks or (mixed and len(value) >= 12 and not NAMED_RX.fullmatch(value)))
 
 
 def decoded(value: str) -> str | None:
@@ -152,83 +161,193 @@ def _group(m: re.Match) -> tuple[int, int, bool]:
 
 def _trim(text: str, a: int, b: int, also: str = "") -> int:
     """End of a bare value without the punctuation that follows it in prose or code."""
+    opened: dict[str, int] = {}
     while b > a and text[b - 1] in ",;)]}" + also:
-        if text[b - 1] in ")]}" and {")": "(", "]": "[", "}": "{"}[text[b - 1]] in text[a:b]:
-            break
+        pair = {")": "(", "]": "[", "}": "{"}.get(text[b - 1])
+        if pair:
+            if pair not in opened:
+                opened[pair] = text.find(pair, a, b)
+            if 0 <= opened[pair] < b:
+                break
         b -= 1
     return b
 
 
-def _in_line(text: str, a: int, b: int, families: set[str]) -> Iterator[tuple[int, int]]:
-    """Spans of secrets in text[a:b], one line."""
-    line = text[a:b]
-    if "issued" in families:
-        for m in ISSUED_RX.finditer(line):
+class Line:
+    """A line and where things next occur in it; asked from left to right, every question reads the line once."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.known: dict[str, tuple[int, int]] = {}
+
+    def next(self, what: str, at: int) -> int:
+        """Place of the first ``what`` at or after ``at``; the line's end if there is none."""
+        lo, hi = self.known.get(what, (0, -1))
+        if not lo <= at <= hi:
+            m = ASKED[what].search(self.text, at)
+            lo, hi = at, m.start() if m else len(self.text)
+            self.known[what] = (lo, hi)
+        return hi
+
+    def literal(self, s: int, e: int, quoted: bool) -> bool:
+        """:func:`literal` of text[s:e]; a long bare value is judged without being copied."""
+        if e - s <= LONG or quoted:
+            return literal(self.text[s:e], quoted)
+        t = self.text
+        if REFERENCE_RX.match(t, s, e) or self.next("filler", s) < e or t[e - 5 : e].lower() in ("-here", "_here"):
+            return False
+        if (t[s], t[e - 1]) in (("<", ">"), ("{", "}"), ("[", "]")):
+            return False
+        letters, digits = self.next("letter", s) < e, self.next("digit", s) < e
+        if letters and digits:
+            return not VERSION_RX.fullmatch(t, s, e)
+        marks = self.next("mark", s) < e
+        mixed = self.next("upper", s + 1) < e and self.next("lower", s) < e
+        return letters and (marks or (mixed and not NAMED_RX.fullmatch(t, s, e)))
+
+    def value(self, s: int) -> tuple[int, int, bool] | None:
+        """(start, end, quoted) of the value that begins at ``s``: up to the closing quote, or bare up to white space or a quote."""
+        mark = self.text[s : s + 1]
+        if mark in ("\"", "'", "`") and mark:
+            e = self.next({"\"": "double", "'": "single", "`": "back"}[mark], s + 1)
+            return (s + 1, e, True) if e < len(self.text) else None
+        e = self.next("stop", s)
+        return (s, e, False) if e > s else None
+
+
+def _assigned(line: Line, ends: list[int]) -> Iterator[tuple[int, int]]:
+    """Values assigned to names of secrets that end at ``ends``."""
+    text = line.text
+    for end in ends:
+        m = ASSIGN_RX.match(text, end)
+        found = line.value(m.end()) if m else None
+        if not found:
+            continue
+        s, e, quoted = found
+        before = s - 1
+        while before >= 0 and text[before].isspace():
+            before -= 1
+        if not quoted and text[before] != ":":
+            e = _trim(text, s, e)
+        if e > s and not (e - s < 7 and text[s:e].lower() in ("bearer", "basic")) and line.literal(s, e, quoted):
+            yield s, e
+
+
+def _named(line: str) -> Iterator[tuple[int, int]]:
+    """Values that a build file's instruction or a sentence gives."""
+    for rx in (ENV_RX, PROSE_RX):
+        at = 0
+        while m := rx.search(line, at):
+            s, e, quoted = _group(m)
+            at = max(m.start() + 1, s)
+            if not quoted:
+                e = _trim(line, s, e, "." if rx is PROSE_RX else "")
+            value = line[s:e]
+            if rx is PROSE_RX and not (any(ch.isdigit() for ch in value) and len(value) >= 8):
+                continue
+            if literal(value, quoted):
+                yield s, e
+
+
+def _issued(line: Line, starts: list[int]) -> Iterator[tuple[int, int]]:
+    """Issuers' tokens that begin at ``starts``."""
+    text, after = line.text, 0
+    for s in starts:
+        if s < after or (s and text[s - 1].isascii() and text[s - 1].isalnum()):
+            continue
+        if text.startswith("eyJ", s) and text[line.next("unsafe", s) :][:1] != ".":
+            continue
+        if m := ISSUED_RX.match(text, s):
+            after = m.end()
             if issued_ok(m.group()):
-                yield a + m.start(), a + m.end()
-    if "url" in families:
-        for m in URL_RX.finditer(line):
+                yield m.span()
+
+
+def _in_line(text: str, a: int, b: int, strikes: dict[str, list[int]]) -> Iterator[tuple[int, int]]:
+    """Spans of secrets in text[a:b], one line; strikes: family -> places in the line (ends of names, starts of others)."""
+    line = text[a:b]
+    seen = Line(line)
+    spans: list[tuple[int, int]] = []
+    if "issued" in strikes:
+        spans += _issued(seen, sorted(set(strikes["issued"])))
+    for p in strikes.get("url", ()):
+        scheme = p
+        while scheme and (line[scheme - 1].isdigit() or line[scheme - 1] in "+.-"):
+            scheme -= 1
+        m = URL_RX.match(line, p + 3) if scheme and line[scheme - 1].isascii() and line[scheme - 1].isalpha() else None
+        if m:
             value = m.group("raw")
             if not weak(value) and not (EXAMPLE_HOST.match(m.group("host")) and not literal(value, True)):
-                yield a + m.start("raw"), a + m.end("raw")
-    if "user" in families:
-        for m in USER_RX.finditer(line):
-            if len(m.group("raw")) >= 6 and not weak(m.group("raw")):
-                yield a + m.start("raw"), a + m.end("raw")
-    if "bearer" in families:
+                spans.append(m.span("raw"))
+    if "user" in strikes:
+        spans += [m.span("raw") for m in USER_RX.finditer(line) if len(m.group("raw")) >= 6 and not weak(m.group("raw"))]
+    if "bearer" in strikes:
         for m in BEARER_RX.finditer(line):
             e = _trim(line, *m.span("raw"), ".")
             value = line[m.start("raw"):e]
             if len(value) >= 12 and literal(value, False):
-                yield a + m.start("raw"), a + e
-    if "basic" in families:
+                spans.append((m.start("raw"), e))
+    if "basic" in strikes:
         for m in BASIC_RX.finditer(line):
             plain = decoded(m.group("raw"))
             if plain and ":" in plain and plain.isprintable() and not weak(plain.split(":", 1)[1]):
-                yield a + m.start("raw"), a + m.end("raw")
-    if "name" in families:
-        for rx in (ASSIGNED_RX, ENV_RX, PROSE_RX):
-            at = 0
-            while m := rx.search(line, at):
-                s, e, quoted = _group(m)
-                at = max(m.start() + 1, s)
-                if not quoted:
-                    e = _trim(line, s, e, ".") if rx is PROSE_RX else _trim(line, s, e) if line[:s].rstrip()[-1:] not in ":" else e
-                value = line[s:e]
-                if re.match(r"(?:Bearer|Basic)$", value, re.IGNORECASE):
-                    continue
-                if rx is PROSE_RX and not (any(ch.isdigit() for ch in value) and len(value) >= 8):
-                    continue
-                if literal(value, quoted):
-                    yield a + s, a + e
+                spans.append(m.span("raw"))
+    if "name" in strikes:
+        spans += _assigned(seen, sorted(set(strikes["name"])))
+        spans += _named(line)
+    return ((a + s, a + e) for s, e in spans)
+
+
+def _keys(text: str) -> list[tuple[int, int]]:
+    """Private keys from the first to the last dash of their armour; encrypted and redacted ones are none."""
+    out, ends, at = [], {}, 0
+    while m := ARMOUR_RX.search(text, at):
+        at = m.end()
+        tail = f"-----END {m.group('kind')}PRIVATE KEY{m.group('block') or ''}-----"
+        if ends.get(tail, 0) < at:
+            ends[tail] = text.find(tail, at)
+            if ends[tail] < 0:
+                ends[tail] = len(text) + 1
+        end = ends[tail]
+        if end > len(text):
+            continue
+        body = text[at:end]
+        if "ENCRYPTED" not in m.group("kind") and "4,ENCRYPTED" not in body[:200] and len(set("".join(body.split()))) > 1:
+            out.append((m.start(), end + len(tail)))
+        at = end + len(tail)
+    return out
 
 
 def find(text: str | None) -> list[tuple[int, int]]:
     """All spans (start, end) of secrets in a text, in order, none inside another."""
     if not text:
         return []
-    lines: dict[int, tuple[int, set[str]]] = {}
-    spans: list[tuple[int, int]] = []
+    lines: list[tuple[int, int, dict[str, list[int]]]] = []
     armour = False
     low = text.lower()
     if len(low) != len(text):  # a few letters get longer; fold only ASCII then
         low = "".join(ch.lower() if ch < "\x80" else ch for ch in text)
-    for end, (family, _) in automaton().iter(low):
+    a, b = 0, -1
+    for end, (family, size) in automaton().iter(low):
         if family == "armour":
             armour = True
             continue
-        a = text.rfind("\n", 0, end + 1) + 1
-        if a in lines:
-            lines[a][1].add(family)
-        else:
-            b = text.find("\n", end)
-            lines[a] = (len(text) if b < 0 else b, {family})
-    if armour:
-        spans += [m.span() for m in ARMOUR_RX.finditer(text)]
-    blocks = list(spans)
-    for a, (b, families) in lines.items():
-        if not any(s <= a and b <= e for s, e in blocks):
-            spans += _in_line(text, a, b, families)
+        if end >= b:
+            a = text.rfind("\n", max(b, 0), end + 1) + 1 or a
+            b = text.find("\n", end + 1)
+            b = len(text) if b < 0 else b
+            lines.append((a, b, {}))
+        place = end + 1 - a
+        if family == "issued" and low[end - size + 1] == "_":  # the two letters before belong to it
+            size += 2
+        lines[-1][2].setdefault(family, []).append(place if family == "name" else max(0, place - size))
+    blocks = _keys(text) if armour else []
+    spans = list(blocks)
+    starts = [s for s, _ in blocks]
+    for a, b, strikes in lines:
+        i = bisect_right(starts, a) - 1
+        if i < 0 or b > blocks[i][1]:
+            spans += _in_line(text, a, b, strikes)
     out: list[tuple[int, int]] = []
     for s, e in sorted(set(spans), key=lambda x: (x[0], -x[1])):
         if out and s < out[-1][1]:
@@ -238,11 +357,20 @@ def find(text: str | None) -> list[tuple[int, int]]:
 
 
 def placeholder(value: str) -> str:
-    """Same length, same alphabet: every letter and digit replaced within its class."""
+    """Same length, an alphabet the value's own holds: zeros for digits and hex, else one letter.
+
+    Nothing that :func:`find` would report again. Of a private key's armour the
+    dashes, the labels and the line ends stay.
+    """
     if value.startswith("-----BEGIN"):
         head, tail = value.index("-----", 10) + 5, value.rindex("-----END")
-        return value[:head] + placeholder(value[head:tail]) + value[tail:]
-    return "".join("0" if ch.isdigit() else "X" if ch.isupper() else "x" if ch.isalpha() else ch for ch in value)
+        return value[:head] + re.sub(r"\S", "x", value[head:tail]) + value[tail:]
+    letters = [ch for ch in value if ch.isalpha()]
+    if all(ch in "0123456789abcdefABCDEF" for ch in value if ch.isalnum()):
+        mark = "0"
+    else:
+        mark = "X" if all(ch.isupper() for ch in letters) else "x"
+    return mark * len(value)
 
 
 def redact(text: str, spans: list[tuple[int, int]]) -> str:

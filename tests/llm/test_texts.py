@@ -1,5 +1,6 @@
 import base64
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -187,6 +188,30 @@ def test_secret_scan_table(spark):
     assert secrets.scan(df.limit(0), "id", "body").count() == 0
 
 
+def test_redacted_values_keep_their_alphabet_and_are_no_secrets():
+    for text, value in FOUND:
+        red = secrets.redact(text, secrets.find(text))
+        assert secrets.find(red) == [], red
+        assert set("".join(c for c in secrets.placeholder(value) if c.isalnum())) <= set("0xX") | set(value)
+    assert secrets.placeholder("0f9a3cde") == "0" * 8 and secrets.placeholder("AKIAEW22") == "X" * 8
+    red = secrets.redact(f"k: |\n  {KEY}\n", secrets.find(f"k: |\n  {KEY}\n"))
+    assert red.count("\n") == KEY.count("\n") + 2 and "-----BEGIN RSA PRIVATE KEY-----\nxxx" in red
+    assert secrets.find(KEY.replace("RSA", "ENCRYPTED")) == []
+    assert secrets.find(KEY.replace("KEY-----\nM", "KEY-----\nProc-Type: 4,ENCRYPTED\nM", 1)) == []
+    assert secrets.find("-----BEGIN PRIVATE KEY-----\nnever closed") == []
+
+
+def test_long_lines_take_linear_time():
+    lines = ["token " + "a." * 250_000, "token_" * 80_000, "token=" * 80_000, "eyJ-" * 120_000, "sk-" * 160_000, "9" * 500_000 + "://", 'token="' * 70_000,
+             "token=a" + ")" * 500_000, "-----BEGIN PRIVATE KEY-----" * 20_000, "token:b.example," * 30_000]
+    for line in lines:
+        began = time.process_time()
+        secrets.find(line)
+        assert time.process_time() - began < 3, line[:20]
+    deep = "x;" * 50_000 + f"password='{SECRET}';" + "y;" * 50_000
+    assert [deep[s:e] for s, e in secrets.find(deep)] == [SECRET]
+
+
 def test_residue_kinds():
     cases = {"<br/> x": ["html"], "a &amp; b": ["html"], "<!-- c -->": ["html"], "[[Page|label]]": ["wiki"], "{{Note|x}}": ["wiki"], "== Head ==": ["wiki"], "{| class=x\n|}": ["wiki"],
              "''it'' and '''b'''": ["wiki"], r"\textbf{x}": ["latex"], r"\begin{equation}": ["latex"], "cost $a_i$ is": ["latex"], r"\( x \)": ["latex"], "$$x$$": ["latex"]}
