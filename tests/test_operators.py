@@ -202,3 +202,14 @@ def test_snippet_and_hidden(spark):
     got = {r["id"]: r["s"] for r in df.select("id", tx.snippet_of(words)("body").alias("s")).collect()}
     assert "[needle]" in got[1] and len(got[1]) <= 280 and got[2] == ""
     assert tx.hidden_text("x\U000E0041\U000E0042") == "AB"
+
+
+def test_current_rows_are_the_latest(spark):
+    from corpusmill.operators.latest import current_rows, latest
+
+    rows = [(1, 1, "a"), (1, 2, "b"), (1, 2, "b"), (2, 1, "c"), (3, None, "d"), (3, 0, "e"), (None, 1, "f"), (None, 5, "g"), (4, None, None)]
+    df = spark.createDataFrame(rows, "k int, at int, body string").withColumn("at", F.timestamp_seconds("at"))
+    want = sorted(map(str, latest(df, "k", "at", ["body"]).collect()))
+    for few in (100, 0):
+        assert sorted(map(str, current_rows(df, "k", "at", ["body"], few).collect())) == want
+    assert current_rows(df.limit(0), "k", "at", ["body"]).count() == 0
