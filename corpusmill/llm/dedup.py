@@ -2,9 +2,10 @@
 
 Every record is folded to a 128-bit fingerprint on the map side: code points go
 through a skip-and-fold table, words and fields through rolling polynomial
-hashes; canonical strings never exist. Only (id, fingerprint) is shuffled.
-Records that share a fingerprint are then verified against the first record of
-their group by a two-pointer comparison that skips formatting on both sides.
+hashes; canonical strings never exist. To find groups only (id, fingerprint) is
+shuffled. The texts of records that share a fingerprint, and no others, then meet the
+first record of their group, where a two-pointer comparison that skips formatting on
+both sides verifies them; those that differ form a group of their own.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ from pyspark.sql.functions import pandas_udf
 
 from corpusmill.llm import kernel as k
 from corpusmill.operators.latest import latest, salted_lookup
-from corpusmill.runtime import materialise
+from corpusmill.runtime import broadcast_if_small, materialise
 
 WORD = re.compile(r"[^\W_]+")
+HOT_GROUP = 20_000
 
 
 def _pair_hash(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +135,8 @@ def same_object(a: str | None, b: str | None) -> bool:
     return len(left) == len(right) and all(x[0] == y[0] and same_words(x[1], y[1]) for x, y in zip(left, right))
 
 
-def hidden_duplicates(df: DataFrame, key: str, at: str | None, texts: Sequence[str], objects: Sequence[str] = ()) -> DataFrame:
+def hidden_duplicates(df: DataFrame, key: str, at: str | None, texts: Sequence[str], objects: Sequence[str] = (),
+                      few: int = 1_000_000) -> DataFrame:
     """Members of each group of records that differ in formatting only.
 
     df: one row per ``key``, or, with ``at``, several states of a key of which
@@ -146,9 +149,11 @@ def hidden_duplicates(df: DataFrame, key: str, at: str | None, texts: Sequence[s
     ignored, whatever their names.
 
     A group may hold any share of all rows: grouping is a map-side combined
-    ``min``, members meet their first record in a join that is salted where a
-    group is hot, and the texts of members that have a copy are read a second
-    time for verification.
+    ``min``, and members meet their first record in a join that is salted where a
+    group is hot. Texts are read a second time for that; the list of members goes
+    to the texts while it has at most ``few`` rows, so that no other text travels.
+    Should fingerprints collide, what differs from its group's first record is
+    grouped and verified anew until nothing differs.
     """
     stamp = [at] if at else []
     source = df.filter(F.col(key).isNotNull())
@@ -157,21 +162,10 @@ def hidden_duplicates(df: DataFrame, key: str, at: str | None, texts: Sequence[s
         marked = latest(marked, key, at, ["h1", "h2", at])
     marked = materialise(marked, "fingerprints")
     groups = marked.groupBy("h1", "h2").agg(F.min(key).alias("first_id"), F.count("*").alias("_n")).filter("_n > 1")
-    members = salted_lookup(marked, groups, ["h1", "h2"], F.col(key), "_n")
-    members = materialise(members.select(F.col(key).alias("copy_id"), "first_id", "_n", *stamp), "members")
+    members = salted_lookup(marked, materialise(groups, "groups"), ["h1", "h2"], F.col(key), "_n")
+    members = members.select(F.col(key).alias("copy_id"), "first_id", "_n", *[F.col(c).alias("_at") for c in stamp])
 
     fields = [*texts, *objects]
-    on = [F.col("s." + key) == F.col("m.copy_id")]
-    if at:
-        on.append(F.col("s." + at).eqNullSafe(F.col("m." + at)))
-    full = source.alias("s").join(members.alias("m"), on).select(
-        "m.copy_id", "m.first_id", "m._n", *[F.col("s." + f).alias(f"_{i}") for i, f in enumerate(fields)]
-    )
-    heads = full.filter("copy_id = first_id").dropDuplicates(["first_id"]).select(
-        "first_id", "_n", *[F.col(f"_{i}").alias(f"_h{i}") for i in range(len(fields))]
-    )
-    others = full.filter("copy_id <> first_id").drop("_n")
-    met = salted_lookup(others, heads, ["first_id"], F.col("copy_id"), "_n")
     n_texts = len(texts)
 
     @pandas_udf("boolean")
@@ -185,7 +179,30 @@ def hidden_duplicates(df: DataFrame, key: str, at: str | None, texts: Sequence[s
         return pd.Series(out, dtype=bool)
 
     names = [f"_{i}" for i in range(len(fields))] + [f"_h{i}" for i in range(len(fields))]
-    return met.filter(verified(*names)).select("first_id", "copy_id").distinct()
+    held = source.select(F.col(key).alias("_key"), *[F.col(c).alias("_was") for c in stamp], *[F.col(f).alias(f"_{i}") for i, f in enumerate(fields)])
+    out = None
+    while True:
+        members = materialise(members, "members")
+        on = [F.col("_key") == F.col("copy_id"), *([F.col("_was").eqNullSafe(F.col("_at"))] if at else [])]
+        full = held.join(broadcast_if_small(members, few), on).drop("_key", "_was")
+        heads = full.filter("copy_id = first_id").dropDuplicates(["first_id"]).select(
+            "first_id", "_n", *[F.col(f"_{i}").alias(f"_h{i}") for i in range(len(fields))]
+        )
+        others = full.filter("copy_id <> first_id").drop("_n")
+        largest = members.agg(F.max("_n")).first()[0] or 0
+        if largest > HOT_GROUP:
+            met = salted_lookup(others, materialise(heads, "heads"), ["first_id"], F.col("copy_id"), "_n")
+        else:
+            met = others.join(heads, "first_id")
+        checked = materialise(met.select("first_id", "copy_id", *(["_at"] if at else []), verified(*names).alias("same")).distinct(), "verified")
+        good = checked.filter("same").select("first_id", "copy_id")
+        out = good if out is None else out.unionByName(good)
+        rest = checked.filter("NOT same").drop("same")
+        if rest.isEmpty():
+            return out
+        groups = rest.groupBy(F.col("first_id").alias("_g")).agg(F.min("copy_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+        members = salted_lookup(rest.withColumnRenamed("first_id", "_g"), materialise(groups, "groups"), ["_g"], F.col("copy_id"), "_n")
+        members = members.drop("_g").withColumnRenamed("_first", "first_id")
 
 
 def collapse(df: DataFrame, key: str, at: str | None, texts: Sequence[str], objects: Sequence[str] = ()) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import capping, dedup, leakage, markup, packing, quantiles, secrets, spans, survivor, walk
-from corpusmill.operators.latest import latest
+from corpusmill.operators.latest import current_rows, latest
 from corpusmill.runtime import materialise, small_rows, table
 
 SKILL_TEXTS, SKILL_OBJECTS = ["name", "description", "body"], ["metadata"]
@@ -91,8 +91,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    current = materialise(latest(table(spark, sf_dir, "skills"), "id", "last_seen", ["body"]), "bodies")
-    return markup.clean_texts(current, "id", "body")
+    return markup.clean_texts(current_rows(table(spark, sf_dir, "skills"), "id", "last_seen", ["body"]), "id", "body")
 
 
 REPO_SCORES = ["stars", "forks", "open_issues", "size_kb"]

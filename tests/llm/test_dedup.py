@@ -41,6 +41,18 @@ def test_latest_state_counts(spark):
     assert dedup.hidden_duplicates(df, "id", "at", ["t"]).count() == 0
 
 
+def test_colliding_records_are_grouped_anew(spark, monkeypatch):
+    real = dedup.fingerprints
+    flat = lambda df, *args: real(df, *args).withColumn("h1", F.lit(0).cast("bigint")).withColumn("h2", F.lit(0).cast("bigint"))
+    monkeypatch.setattr(dedup, "fingerprints", flat)
+    rows = [(i, f"text {i % 4}" + "!" * (i % 3)) for i in range(20)] + [(99, "alone")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    want = sorted((i % 4, i) for i in range(4, 20))
+    for few, hot in ((100, 20_000), (0, 20_000), (0, 2)):
+        monkeypatch.setattr(dedup, "HOT_GROUP", hot)
+        assert sorted(tuple(r) for r in dedup.hidden_duplicates(df, "id", None, ["t"], few=few).collect()) == want
+
+
 def test_long_text(spark):
     long = "word " * 200_000
     df = spark.createDataFrame([(1, long), (2, long.upper() + "!"), (3, long + "x")], "id int, t string")
