@@ -24,7 +24,7 @@ from corpusmill.operators.latest import latest
 from corpusmill.runtime import materialise, small_rows
 
 KINDS = ("html", "wiki", "latex")
-DEPTH = 6
+DEPTH = 32  # a deeper element's path is that of its nearest ancestors
 
 # The elements of HTML.
 ELEMENTS = set("""a abbr acronym address applet area article aside audio b base basefont bdi bdo big blink blockquote body br button canvas
@@ -35,6 +35,9 @@ section select slot small source span strike strong style sub summary sup svg ta
 track tt u ul var video wbr""".split())
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = set("a abbr acronym b bdi bdo big cite code dfn del em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+# Elements that a start tag closes, if one is open and was never closed.
+CLOSED_BY = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
+             "option": ("option",)}
 # Elements whose text is never content, and LaTeX commands whose argument is a name, not text.
 SILENT = {"script", "style", "head", "template", "noscript"}
 NAMES = {"label", "ref", "cite", "citep", "citet", "eqref", "pageref", "usepackage", "documentclass", "includegraphics", "input", "include",
@@ -190,6 +193,8 @@ def residue(text: str, code: list[tuple[int, int, bool]]) -> list[Leaf]:
                 out.append(Leaf(*m.span(), ("html", *stack[-DEPTH + 2 :], name), "html"))
             else:
                 if not m.group("close"):
+                    if stack and stack[-1] in CLOSED_BY.get(name, ()):
+                        stack.pop()
                     stack.append(name)
                 inside = plain[m.end() : until] if stack else ""
                 out.append(Leaf(*m.span(), ("html", *stack[-DEPTH + 1 :]) if stack else ("html", name), "html", inside))
@@ -312,11 +317,20 @@ def _table(body: str) -> str:
     return "\n".join("| " + " | ".join(r) + " |" for r in rows if r)
 
 
+def _settled(rx: re.Pattern, by, x: str) -> str:
+    """Replace until nothing is left to replace; every replacement takes marks away, so that comes."""
+    n = 1
+    while n:
+        x, n = rx.subn(by, x)
+    return x
+
+
 def clean(text: str | None, furniture: frozenset[str] = frozenset()) -> str | None:
     """The text without residue, with headings, lists, code blocks and formulas.
 
     furniture: tag paths ("html/div/...") whose text is dropped. Code stays as it
-    is, formulas keep their dollar signs. Null stays null.
+    is, formulas keep their dollar signs. Nested constructs are unwrapped to any
+    depth. Null stays null.
     """
     if not text:
         return text
@@ -342,24 +356,15 @@ def clean(text: str | None, furniture: frozenset[str] = frozenset()) -> str | No
     x = DOLLAR.sub(lambda m: hold(m.group()) if _is_formula(m.group("body")) else m.group(), x)
     x = ENVIRONMENT.sub("", x)
     x = re.sub(r"^[ \t]*\\item\b[ \t]*(?:\[[^\]\n]*\])?[ \t]*", "- ", x, flags=re.MULTILINE)
-    for _ in range(8):  # commands inside commands, innermost first
-        new = COMMAND.sub(lambda m: "" if m.group("name") in NAMES else (
-            "#" * HEADINGS[m.group("name")] + " " + m.group("body") if m.group("name") in HEADINGS
-            else hold("`" + m.group("body") + "`") if m.group("name") in ("texttt", "verb", "lstinline") else m.group("body")), x)
-        if new == x:
-            break
-        x = new
+    x = _settled(COMMAND, lambda m: "" if m.group("name") in NAMES else (  # commands inside commands, innermost first
+        "#" * HEADINGS[m.group("name")] + " " + m.group("body") if m.group("name") in HEADINGS
+        else hold("`" + m.group("body") + "`") if m.group("name") in ("texttt", "verb", "lstinline") else m.group("body")), x)
     x = WIKI_TABLE.sub(lambda m: _table(m.group()), x)
-    for _ in range(8):
-        new = TEMPLATE.sub(lambda m: _template(m.group("body")), x)
-        if new == x:
-            break
-        x = new
+    x = _settled(TEMPLATE, lambda m: _template(m.group("body")), x)
     x = WIKI_LINK.sub(lambda m: m.group() if not re.search(r"[^\W\d_]", m.group("body")) or m.group("body")[:1] in " -!$" else (
         "" if re.match(r"(?i)(?:category|file|image|datei|bild|kategorie)\s*:", m.group("body")) else m.group("body").rsplit("|", 1)[-1]), x)
     x = WIKI_HEAD.sub(lambda m: "#" * len(m.group("eq")) + " " + m.group("body"), x)
-    for _ in range(3):
-        x = EMPHASIS.sub(lambda m: m.group("body"), x)
+    x = _settled(EMPHASIS, lambda m: m.group("body"), x)
     links: list[str] = []
 
     def keep_link(m: re.Match) -> str:
@@ -371,10 +376,7 @@ def clean(text: str | None, furniture: frozenset[str] = frozenset()) -> str | No
     x = _unwrap(re.sub(r"<[A-Za-z][A-Za-z0-9+.\-]+:[^\s<>]*>", keep_link, x), furniture, hold)
     x = ENTITY.sub(lambda m: html.unescape(m.group()), x)
     x = re.sub("\x03(\\d+)\x02", lambda m: links[int(m.group(1))], x)
-    for _ in range(4):
-        if "\x01" not in x:
-            break
-        x = re.sub("\x01(\\d+)\x02", lambda m: held[int(m.group(1))], x)
+    x = _settled(re.compile("\x01(\\d+)\x02"), lambda m: held[int(m.group(1))], x)  # what is held holds earlier pieces only
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", x)).strip("\n")
 
 
@@ -412,6 +414,8 @@ def _unwrap(x: str, furniture: frozenset[str], hold) -> str:
                 pre = None
                 continue
         else:
+            if stack and stack[-1] in CLOSED_BY.get(name, ()):
+                stack.pop()
             stack.append(name)
         if pre is not None:
             continue
@@ -433,8 +437,9 @@ def clean_texts(df: DataFrame, key: str, text: str, max_paths: int = 100_000) ->
     """(key, clean): every document's clean text, furniture judged over the whole corpus.
 
     df: one row per key. Two passes over the texts: path ratios, then rendering.
-    The furniture paths are broadcast; paths consist of known element names cut
-    to six levels, and more than ``max_paths`` of them are an error, not a loss.
+    The furniture paths are broadcast; paths consist of known element names, at
+    most ``DEPTH`` levels, and more than ``max_paths`` of them are an error, not a
+    loss.
     """
     furniture = score_paths(materialise(path_ratios(df, text), "paths")).filter("path LIKE 'html/%' AND NOT content").select("path")
     dropped = frozenset(r[0] for r in small_rows(furniture, max_paths, "furniture paths"))

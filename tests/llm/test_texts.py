@@ -240,3 +240,33 @@ def test_markup_tables(spark):
 
 def test_windows_of_an_empty_slice():
     assert not spans.Windows(pa.array(["", None, "ab"], pa.string()), 5).any
+
+
+def test_clean_gold():
+    """Texts and what is to stand after cleaning, written by hand."""
+    gold = {
+        "<h2>Set up</h2><p>Run <b>this</b> &amp; that.</p>": "## Set up\n\nRun this & that.",
+        "<ul><li>one<li>two</ul>": "- one\n- two",
+        "== Use ==\nSee [[Page|the page]] and {{note|be careful}}.": "## Use\nSee the page and be careful.",
+        r"\section{Intro} The \textbf{first} \emph{second}, \cite{x}.": "# Intro The first second, .",
+        "```html\n<b>code</b>\n```\n<i>x</i>": "```html\n<b>code</b>\n```\nx",
+        "area $a_i^2$ and \\(b\\)": "area $a_i^2$ and $b$",
+        r"\begin{equation}E=mc^2\end{equation}": "$$E=mc^2$$",
+        "a `<br>` b<br>c": "a `<br>` b\nc",
+        "<!-- gone -->kept <https://x.example/a>": "kept <https://x.example/a>",
+        "<pre>a &lt; b</pre>": "```\na < b\n```",
+        "price $5 and $6, List<String> stays": "price $5 and $6, List<String> stays",
+        "": "",
+    }
+    for text, want in gold.items():
+        assert markup.clean(text) == want, text
+    assert markup.clean(None) is None
+
+
+def test_nested_markup_is_unwrapped_to_any_depth():
+    assert markup.clean("\\textbf{" * 40 + "x" + "}" * 40) == "x"
+    assert markup.clean("{{a|" * 30 + "x" + "}}" * 30) == "x"
+    nested = "<div><section>" * 60 + "text" + "</section></div>" * 60
+    assert markup.clean(nested) == "text"
+    paths = {leaf.path for leaf in markup.leaves("<p>a<p>b<ul><li>c<li>d</ul>") if leaf.kind == "html"}
+    assert ("html", "p", "p") not in paths and ("html", "p", "ul", "li") in paths
