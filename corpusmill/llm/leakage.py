@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm import kernel as k
+from corpusmill.operators.ranks import prefix_sums
+from corpusmill.runtime import materialise
 
 
 def walk_bits(windows: np.ndarray, seed: int, length: int) -> np.ndarray:
@@ -50,21 +52,32 @@ def buckets(windows: np.ndarray, seed: int, length: int, bits: int) -> np.ndarra
     return out
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Edit distance of two word sequences, or most + 1 if larger."""
-    if np.array_equal(a, b):
-        return 0
-    if abs(len(a) - len(b)) > most or most == 0:
-        return most + 1
-    last = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            now.append(min(last[j] + 1, now[-1] + 1, last[j - 1] + (x != y)))
-        if min(now) > most:
-            return most + 1
+def within_edits(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Whether the rows of ``a`` and ``b``, word sequences of one width, are at most ``most`` edits apart.
+
+    One banded table for all rows at once: column c holds the edits between the
+    first i words of a and the first i + c - most of b.
+    """
+    n, width = a.shape
+    if most == 0:
+        return (a == b).all(axis=1)
+    far = most + 1
+    last = np.full((n, 2 * most + 1), far, np.int16)
+    last[:, most:] = np.arange(most + 1)
+    for i in range(1, width + 1):
+        now = np.full_like(last, far)
+        for c in range(2 * most + 1):
+            j = i + c - most
+            if not 0 <= j <= width:
+                continue
+            here = np.full(n, i, np.int16) if j == 0 else last[:, c] + (a[:, i - 1] != b[:, j - 1])
+            if c + 1 < last.shape[1]:
+                here = np.minimum(here, last[:, c + 1] + 1)
+            if c and j:
+                here = np.minimum(here, now[:, c - 1] + 1)
+            now[:, c] = here
         last = now
-    return last[-1]
+    return last[:, most] <= most
 
 
 @dataclass
@@ -98,9 +111,8 @@ def _pair_codes(words: np.ndarray) -> np.ndarray:
     return k.mix(words[:-1] * k.BASE_WORD + words[1:]) if len(words) > 1 else np.zeros(0, k.U)
 
 
-def build_index(ids: np.ndarray, texts: pa.Array, width: int, edits: int, repeats: int, length: int, bits: int) -> ItemIndex:
+def build_index(ids: np.ndarray, words: np.ndarray, bounds: np.ndarray, width: int, edits: int, repeats: int, length: int, bits: int) -> ItemIndex:
     """Index all windows of ``width`` words of the items; shorter items have none."""
-    words, bounds = k.words(texts)
     first, text = _starts(bounds, width)
     seeds = list(range(101, 101 + repeats))
     index = ItemIndex(width, edits, length, bits, seeds)
@@ -144,28 +156,48 @@ def match(index: ItemIndex, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     d, i = np.concatenate(doc_side), np.concatenate(item_side)
     if not len(d):
         return none, none
-    pairs = np.unique(np.stack((d, i)), axis=1)
-    d, i = pairs
-    if index.edits == 0:
-        good = (windows[d] == index.windows[i]).all(axis=1)
-    else:
-        good = np.array([edit_distance(windows[a], index.windows[b], index.edits) <= index.edits for a, b in zip(d, i)], bool)
+    pairs = np.unique(d * len(index.windows) + i)
+    d, i = pairs // len(index.windows), pairs % len(index.windows)
+    good = np.zeros(len(d), bool)
+    for at in range(0, len(d), 1 << 17):
+        part = slice(at, at + (1 << 17))
+        good[part] = within_edits(windows[d[part]], index.windows[i[part]], index.edits)
     hit = np.unique(np.stack((text[d[good]], index.owner[i[good]])), axis=1)
     return hit[0], hit[1]
 
 
+def item_pieces(items: DataFrame, width: int, most: int) -> DataFrame:
+    """(i, piece, n, words): the items' hashed words in pieces of at most ``most`` + width words.
+
+    Neighbouring pieces overlap by width - 1 words, so every window is in one.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, bounds = k.words(batch.column(1))
+            rows = [(i, p, words[at : min(at + most + width - 1, b)]) for i, (a, b) in enumerate(zip(bounds, bounds[1:]))
+                    for p, at in enumerate(range(a, b - width + 1, most))]
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array([r[0] for r in rows])), pa.array([r[1] for r in rows], pa.int64()), pa.array([len(r[2]) for r in rows], pa.int64()),
+                     pa.array([r[2].view(np.int64) for r in rows], pa.list_(pa.int64()))], names=["i", "piece", "n", "words"])
+
+    return items.mapInArrow(cut, f"i {items.schema['i'].dataType.simpleString()}, piece bigint, n bigint, words array<bigint>")
+
+
 def leaks(documents: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, width: int = 12,
           edits: int = 0, repeats: int | None = None, length: int | None = None, bits: int | None = None,
-          block_chars: int = 4_000_000) -> DataFrame:
+          block_words: int | None = None) -> DataFrame:
     """(doc_id, item_id): documents holding ``width`` neighbouring words of an item.
 
     edits: word edits allowed within the window; 0 means verbatim words.
     repeats, bits, length: repetitions, sampled places and length of the walk. By
         default one repetition over few places at 0 edits (equal windows always
         meet), and 24 repetitions of 6 places otherwise.
-    block_chars: size of an item block; every block is one broadcast index and
+    block_words: words of an item block, by default 500,000, or 50,000 with edits,
+        whose index holds every repetition. Every block is one broadcast index and
         one pass over the documents, so a larger query set means more passes,
-        never a larger broadcast. An item longer than that is a block by itself.
+        never a larger broadcast; a long item is spread over blocks.
 
     Words are maximal runs of letters and digits in lower case. Null and empty
     texts match nothing; rows with null ids are dropped; repeated rows give one
@@ -176,15 +208,17 @@ def leaks(documents: DataFrame, doc_id: str, doc_text: str, items: DataFrame, it
     length = length or (2 * width if edits else 8)
     spark = documents.sparkSession
     query = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).filter("i IS NOT NULL AND length(t) > 0")
-    total = query.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = max(1, -(-total // block_chars))
-    part = F.pmod(F.xxhash64("i"), F.lit(blocks))
+    block_words = block_words or (50_000 if edits else 500_000)
     id_type = documents.schema[doc_id].dataType.simpleString()
     item_type = items.schema[item_id].dataType.simpleString()
+    placed = materialise(prefix_sums(item_pieces(query, width, block_words), [], [F.col("i"), F.col("piece")], {"before": F.col("n")}), "items")
+    blocks = (placed.agg(F.max("before")).first()[0] or 0) // block_words + 1
     out = None
     for b in range(blocks):
-        rows = query.filter(part == b).toPandas()
-        index = build_index(rows["i"].to_numpy(np.int64), pa.array(rows["t"].tolist(), pa.string()), width, edits, repeats, length, bits)
+        rows = placed.filter(F.floor(F.col("before") / block_words) == b).select(F.col("i").cast("bigint"), "words").toPandas()
+        words = np.concatenate([np.asarray(w, np.int64) for w in rows["words"]]).view(k.U) if len(rows) else np.zeros(0, k.U)
+        bounds = np.concatenate(([0], np.cumsum([len(w) for w in rows["words"]]))).astype(np.int64)
+        index = build_index(rows["i"].to_numpy(np.int64), words, bounds, width, edits, repeats, length, bits)
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

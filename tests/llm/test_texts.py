@@ -1,5 +1,6 @@
 import base64
 import random
+import re
 import time
 
 import numpy as np
@@ -68,8 +69,24 @@ def test_spans_of_repeated_rows_and_one_text(spark):
     assert spans.shared_spans(df, "k", "t", run=30).count() == 0
 
 
+def edit_distance(a, b):
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i]
+        for j, y in enumerate(b, 1):
+            now.append(min(last[j] + 1, now[-1] + 1, last[j - 1] + (x != y)))
+        last = now
+    return last[-1]
+
+
+def test_edits_of_many_rows():
+    rng = np.random.default_rng(2)
+    for width, most in ((7, 2), (5, 1), (4, 3), (3, 3), (6, 0)):
+        a, b = rng.integers(0, 3, (400, width)), rng.integers(0, 3, (400, width))
+        assert leakage.within_edits(a, b, most).tolist() == [edit_distance(x, y) <= most for x, y in zip(a.tolist(), b.tolist())]
+
+
 def brute_leaks(docs, items, width, edits):
-    import re
 
     w = lambda t: [x.lower() for x in re.findall(r"[^\W_]+", t or "")]
     out = set()
@@ -79,7 +96,7 @@ def brute_leaks(docs, items, width, edits):
         for d, t in docs:
             y = w(t)
             for b in range(len(y) - width + 1):
-                if any(leakage.edit_distance(np.array(y[b : b + width]), np.array(v), edits) <= edits for v in ws):
+                if any(edit_distance(y[b : b + width], v) <= edits for v in ws):
                     out.add((d, i))
                     break
     return out
@@ -102,7 +119,7 @@ def test_leaks_and_recall_against_brute_force(spark):
     dd, ii = spark.createDataFrame(docs, "d int, t string").withColumn("i", F.lit(0)), spark.createDataFrame(items, "i int, t string")
     exact = {(r["d"], r["i"]) for r in leakage.leaks(dd.drop("i"), "d", "t", ii, "i", "t", width=8).collect()}
     assert exact == brute_leaks(docs, items[:40], 8, 0)
-    blocks = {(r["d"], r["i"]) for r in leakage.leaks(dd.drop("i"), "d", "t", ii, "i", "t", width=8, block_chars=600).collect()}
+    blocks = {(r["d"], r["i"]) for r in leakage.leaks(dd.drop("i"), "d", "t", ii, "i", "t", width=8, block_words=100).collect()}
     assert blocks == exact
     near = {(r["d"], r["i"]) for r in leakage.leaks(dd.drop("i"), "d", "t", ii, "i", "t", width=10, edits=2).collect()}
     want = brute_leaks(docs, items[:40], 10, 2)
@@ -270,3 +287,39 @@ def test_nested_markup_is_unwrapped_to_any_depth():
     assert markup.clean(nested) == "text"
     paths = {leaf.path for leaf in markup.leaves("<p>a<p>b<ul><li>c<li>d</ul>") if leaf.kind == "html"}
     assert ("html", "p", "p") not in paths and ("html", "p", "ul", "li") in paths
+
+
+def brute_near(docs, items, width, edits):
+    """Every pair of windows that shares a pair of neighbouring words, by edit distance; others are too far apart."""
+    w = lambda t: [x.lower() for x in re.findall(r"[^\W_]+", t or "")]
+    at, windows = {}, []
+    for i, t in items:
+        words = w(t)
+        for a in range(len(words) - width + 1):
+            windows.append((i, words[a : a + width]))
+            for pair in zip(words[a:], words[a + 1 : a + width]):
+                at.setdefault(pair, set()).add(len(windows) - 1)
+    ids = {}
+    number = lambda words: [ids.setdefault(x, len(ids)) for x in words]
+    table = np.array([number(x) for _, x in windows], np.int64)
+    owner = np.array([i for i, _ in windows])
+    out = set()
+    for d, t in docs:
+        words = w(t)
+        for a in range(len(words) - width + 1):
+            near = set().union(*[at.get(p, set()) for p in zip(words[a:], words[a + 1 : a + width])])
+            near = np.array(sorted(x for x in near if (d, owner[x]) not in out), np.int64)
+            if len(near):
+                here = np.tile(np.array(number(words[a : a + width])), (len(near), 1))
+                out |= {(d, int(i)) for i in owner[near[leakage.within_edits(here, table[near], edits)]]}
+    return out
+
+
+def test_near_leaks_recall_on_the_tables(spark, data):
+    from corpusmill.llm import queries
+
+    docs = [tuple(r) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
+    items = [tuple(r) for r in spark.read.parquet(f"{data}/eval_items.parquet").select("item_id", "text").collect()]
+    want = brute_near(docs, items, 16, 2)
+    got = {tuple(r) for r in queries.p9_near(spark, data).collect()}
+    assert want and got <= want and len(got) >= 0.9 * len(want)
