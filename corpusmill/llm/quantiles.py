@@ -7,7 +7,9 @@ weighted median of the proposals becomes the range's pivot, all partitions count
 below / equal / above, ranges that hold no wanted rank are discarded, and the
 rest goes on until every wanted rank is found (or known well enough). One Spark
 job a round: counting against the pivots and proposing medians for both sides
-are the same pass.
+are the same pass. A group of few values lies in one partition, whose medians are
+then the pivots: all its rounds take place inside that task, at once for all such
+groups, so that many small groups need one job and not rounds of their own.
 """
 
 from __future__ import annotations
@@ -41,6 +43,10 @@ def _median_of(column: str, weight: str) -> Column:
     )["p"]
 
 
+def _sorted(g: np.ndarray, v: np.ndarray) -> bool:
+    return bool(((g[1:] > g[:-1]) | ((g[1:] == g[:-1]) & (v[1:] >= v[:-1]))).all())
+
+
 def _pass(values: DataFrame, state) -> DataFrame:
     """Counts of every open range against its pivot, and local medians of both sides."""
 
@@ -50,8 +56,9 @@ def _pass(values: DataFrame, state) -> DataFrame:
             return
         t = pa.Table.from_batches(parts)
         g, v, c = (t.column(i).to_numpy() for i in range(3))
-        order = np.lexsort((v, g))
-        g, v, c = g[order], v[order], c[order]
+        if not _sorted(g, v):  # files are written in order, a task may read several
+            order = np.lexsort((v, g))
+            g, v, c = g[order], v[order], c[order]
         groups, first = np.unique(g, return_index=True)
         last = np.append(first[1:], len(g))
         sg, lo, hi, pivot = state.value
@@ -148,8 +155,44 @@ def _inside(values: DataFrame, open_: list) -> DataFrame:
     return values.join(ranges, "g").filter("v > a AND v < b").select("g", "v", "c")
 
 
+def select_whole(values: DataFrame, ranks_of) -> DataFrame:
+    """(g, at) for groups that each lie in one partition of ``values`` (g, v, c), sorted by g and v.
+
+    With a single proposer every pivot is the partition's own median, so the rounds
+    end at the values where the counts pass the wanted ranks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch] if tail is None else [tail, batch]).combine_chunks()
+            g = t.column("g").to_numpy()
+            if not len(g):
+                continue
+            cut = int(np.searchsorted(g, g[-1]))  # the last group may go on in the next batch
+            if cut:
+                yield done(t.slice(0, cut))
+            tail = t.slice(cut).to_batches()[0]
+        if tail is not None:
+            yield done(pa.Table.from_batches([tail]))
+
+    def done(t: pa.Table) -> pa.RecordBatch:
+        g, v, upto = t.column("g").to_numpy(), t.column("v").to_numpy(), np.cumsum(t.column("c").to_numpy())
+        groups, first = np.unique(g, return_index=True)
+        base = np.where(first > 0, upto[first - 1], 0)
+        n = np.append(upto[first[1:] - 1], upto[-1]) - base
+        ranks = ranks_of(n)
+        inside = (ranks >= 1) & (ranks <= n[:, None])
+        place = np.searchsorted(upto, np.where(inside, ranks, 1) + base[:, None])
+        at = pa.array(v[place].reshape(-1), mask=~inside.reshape(-1))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(groups), pa.ListArray.from_arrays(pa.array(np.arange(len(groups) + 1) * ranks.shape[1], pa.int32()), at)], names=["g", "at"])
+
+    return values.mapInArrow(run, "g int, at array<double>")
+
+
 def value_counts(df: DataFrame, group: Sequence[str], value: Column) -> tuple[DataFrame, DataFrame]:
-    """(numbered groups (g, group..., n), their values (g, v, c)), both materialised.
+    """(numbered groups (g, _k, n values, m different ones), their values (_k, v, c)), both materialised.
 
     Null and NaN values take no part; infinite ones count as the largest finite
     double of their sign. Groups with nulls in ``group`` are groups.
@@ -158,38 +201,43 @@ def value_counts(df: DataFrame, group: Sequence[str], value: Column) -> tuple[Da
     far = sys.float_info.max
     rows = rows.withColumn("v", F.least(F.greatest(F.col("v"), F.lit(-far)), F.lit(far)))
     merged = materialise(rows.groupBy("_k", "v").agg(F.count("*").alias("c")), "values")
-    groups = merged.groupBy("_k").agg(F.sum("c").alias("n"))
+    groups = merged.groupBy("_k").agg(F.sum("c").alias("n"), F.count("*").alias("m"))
     numbered = materialise(global_rank(groups, [], [F.col("_k")], "g").withColumn("g", F.col("g").cast("int")), "groups")
     return numbered, merged
 
 
 def percentiles(df: DataFrame, group: Sequence[str], value: Column, ranks_of, epsilon: float = 0.0,
-                block: int | None = None) -> DataFrame:
+                block: int | None = None, whole: int = 65_536) -> DataFrame:
     """Per group the values at the ranks that ``ranks_of(n)`` names.
 
     ranks_of: from an array of group sizes to an array of 1-based ranks (groups
         x ranks); ranks outside 1..n give null there.
     Returns (group..., n, at: array<double>) with one entry per rank.
 
-    Groups are taken in blocks of ``block`` (by default as many as have 400,000
-    ranks together), so neither the driver nor a broadcast ever holds more than
-    block x ranks ranges. A group that has no
-    value does not appear. An empty table gives an empty result.
+    whole: a group of at most so many different values lies in one partition and
+        is selected there; larger ones are spread by value, whatever their size,
+        and go through the rounds together.
+    Groups that need rounds are taken in blocks of ``block`` (by default as many as
+    have 400,000 ranks together), so neither the driver nor a broadcast ever holds
+    more than block x ranks ranges. A group that has no value does not appear. An
+    empty table gives an empty result.
     """
     spark = df.sparkSession
     block = block or max(1, 400_000 // ranks_of(np.array([1])).shape[1])
     numbered, merged = value_counts(df, group, value)
-    # Many partitions per group, whatever its size: rows are spread by value.
-    joined = merged.join(numbered.select("_k", "g"), "_k").select("g", "v", "c")
-    values = materialise(joined.repartition(cores(spark), "g", "v"), "spread")
-    n_groups = numbered.count()
-    out = None
+    joined = merged.join(numbered.select("_k", "g", "m"), "_k")
+    small = joined.filter(F.col("m") <= whole).select("g", "v", "c").repartition(cores(spark), "g").sortWithinPartitions("g", "v")
+    out = select_whole(small, ranks_of)
+    large = numbered.filter(F.col("m") > whole).select("g", "n")
+    large = materialise(global_rank(large, [], [F.col("g")], "_o"), "large")
+    spread = joined.filter(F.col("m") > whole).select("g", "v", "c").repartition(cores(spark), "g", "v").sortWithinPartitions("g", "v")
+    values, n_groups = materialise(spread, "spread"), large.count()
     for start in range(0, n_groups, block):
-        part = numbered.filter(F.col("g").between(start, start + block - 1)).select("g", "n").toPandas()
+        part = large.filter(F.col("_o").between(start, start + block - 1)).toPandas().sort_values("g")
         ranks = ranks_of(part["n"].to_numpy())
         inside = (ranks >= 1) & (ranks <= part["n"].to_numpy()[:, None])
         wanted = {int(g): np.unique(r[m]) for g, r, m in zip(part["g"], ranks, inside)}
-        here = values.filter(F.col("g").between(start, start + block - 1))
+        here = values.filter(F.col("g").between(int(part["g"].iloc[0]), int(part["g"].iloc[-1])))
         found = multi_select(here, wanted, epsilon)
         rows = []
         for g, r, m in zip(part["g"], ranks, inside):
@@ -197,10 +245,7 @@ def percentiles(df: DataFrame, group: Sequence[str], value: Column, ranks_of, ep
             at[m] = found[int(g)][np.searchsorted(wanted[int(g)], r[m])]
             rows.append((int(g), [None if not ok else float(x) for x, ok in zip(at, m)]))
         block_rows = spark.createDataFrame(rows, "g int, at array<double>")
-        block_rows = materialise(block_rows, "selected") if n_groups > block else block_rows
-        out = block_rows if out is None else out.unionByName(block_rows)
-    if out is None:
-        out = spark.createDataFrame([], "g int, at array<double>")
+        out = out.unionByName(materialise(block_rows, "selected") if n_groups > block else block_rows)
     return numbered.join(out, "g").select(*[F.col("_k")[c].alias(c) for c in group], "n", "at")
 
 
@@ -267,17 +312,19 @@ def margin_ranks(margin: int, parts: int = 100):
 
 
 def misstated(stats: DataFrame, data: DataFrame, group: Sequence[str], value: Column, stat_id: str, claimed: str,
-              margin: int = 7, parts: int = 100, block: int | None = None) -> DataFrame:
+              margin: int = 7, parts: int = 100, block: int | None = None, whole: int = 256) -> DataFrame:
     """Rows of ``stats`` with a claimed quantile misplaced by more than margin/parts.
 
     stats: (stat_id, group..., claimed: array of parts + 1 values for p = 0..parts).
     data: rows with the group columns and the value; only groups that ``stats``
         names are selected. A claim about a group without data, and null entries
         of a claim, misstate nothing; entries beyond the array are not checked.
+    whole: see :func:`percentiles`; claims name few groups, so all but the smallest
+        go through the rounds together.
     """
     on = list(group)
     named = stats.select(*on).distinct()
-    actual = percentiles(data.join(named, on, "left_semi"), on, value, margin_ranks(margin, parts), block=block)
+    actual = percentiles(data.join(named, on, "left_semi"), on, value, margin_ranks(margin, parts), block=block, whole=whole)
     joined = stats.join(actual, on)
     checks = F.exists(
         F.arrays_zip(F.col(claimed).alias("q"), F.slice("at", 1, parts + 1).alias("high"),

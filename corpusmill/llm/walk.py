@@ -58,16 +58,17 @@ def step(long: DataFrame, hot_rows: int = HOT) -> DataFrame:
     Items of equal value share one row per value before anything is summed; sums run
     inside blocks of values, to which the totals of earlier blocks are added. The
     row of a hot value (zero, say) is repeated once a salt before its items meet it.
+    Joins are merges: a broadcast a step would fill the driver over many steps.
     """
     values = long.groupBy("c", "b", "v").agg(F.sum("m").alias("vm"), F.first("n").alias("n"), F.first("vn").alias("vn"))
     earlier = Window.partitionBy("c").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     before = values.groupBy("c", "b").agg(F.sum("vm").alias("bm")).select("c", "b", F.coalesce(F.sum("bm").over(earlier), F.lit(0.0)).alias("m_before"))
     own = Window.partitionBy("c", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    summed = values.withColumn("m_own", F.coalesce(F.sum("vm").over(own), F.lit(0.0))).join(before, ["c", "b"])
+    summed = values.withColumn("m_own", F.coalesce(F.sum("vm").over(own), F.lit(0.0))).join(before.hint("merge"), ["c", "b"])
     salts = F.when(F.col("vn") > hot_rows, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     inflow = summed.select("c", "b", "v", F.explode(salts).alias("s"),
                            ((F.col("m_before") + F.col("m_own") + F.col("vm") / 2) / F.col("n")).alias("arrives"))
-    return long.join(inflow, ["c", "b", "v", "s"]).withColumn("flow", F.col("m") * F.col("stays") + F.col("arrives"))
+    return long.join(inflow.hint("merge"), ["c", "b", "v", "s"]).withColumn("flow", F.col("m") * F.col("stays") + F.col("arrives"))
 
 
 def rank_walk(df: DataFrame, key: str, scores: Sequence[str], steps: int | None = None, damping: float = 0.85,
@@ -83,9 +84,9 @@ def rank_walk(df: DataFrame, key: str, scores: Sequence[str], steps: int | None
 
     Power iteration ends when a step of the walk changes no item's mass by more
     than ``tolerance``, so what is missing is at most tolerance / (1 - damping).
-    Between two steps the mass is carried on along the last two (Chebyshev's
-    weights for a walk whose shares lie in 0..damping), which needs a quarter of
-    the steps; should a step move more than the ones before, the plain iteration
+    Between two steps the mass is carried on along the last two (the limit of
+    Chebyshev's weights for a walk whose shares lie in 0..damping), which needs a
+    quarter of the steps; should a step move more than the ones before, the plain iteration
     goes on, whose missing part shrinks by ``damping`` a step. With ``steps``
     exactly so many plain steps are taken; without damping they must be given.
 
@@ -96,13 +97,12 @@ def rank_walk(df: DataFrame, key: str, scores: Sequence[str], steps: int | None
         raise ValueError("without damping the number of steps must be given")
     base = _long(df.filter(F.col(key).isNotNull()), key, scores)
     base = placed(materialise(base, "scores"), key, hot_rows)
-    plain, rho, least = steps is not None, 1.0, float("inf")
-    reach, pull = damping / (2 - damping), 2 / (2 - damping)
+    plain, least = steps is not None, float("inf")
+    pull, reach = 2 / (2 - damping), damping / (2 - damping)
+    rho = 2 / (1 + (1 - reach**2) ** 0.5)  # the same in every step, and so is its compiled code
     items, mass, done = None, base.withColumn("m", F.lit(1.0)).withColumn("last", F.lit(1.0)), 0
     while True:
         done += 1
-        if done > 1:
-            rho = 1 / (1 - reach**2 / 2) if done == 2 else 1 / (1 - reach**2 * rho / 4)
         m, walked = F.first("m"), F.lit(damping) * F.avg("flow") + F.lit(1 - damping)
         onward = walked if plain else F.lit(rho) * (F.lit(pull) * walked + F.lit(1 - pull) * m) + F.lit(1 - rho) * F.first("last")
         after = step(mass, hot_rows).groupBy(key).agg(  # m and last are the same in all chains
@@ -118,7 +118,7 @@ def rank_walk(df: DataFrame, key: str, scores: Sequence[str], steps: int | None
         if moved <= tolerance:
             break
         plain, least = plain or moved > 2 * least, min(least, moved)
-        mass = base.join(items.select(key, F.col("mass" if plain else "_next").alias("m"), F.col("_m").alias("last")), key)
+        mass = base.join(items.select(key, F.col("mass" if plain else "_next").alias("m"), F.col("_m").alias("last")).hint("merge"), key)
     return after.filter(F.col("n_scores") >= at_least).select(key, "mass", "n_scores", "mid_rank")
 
 

@@ -24,8 +24,10 @@ def test_group_blocks_and_bounded_error(spark):
     rows = [(i % 7, float(i * 37 % 1009)) for i in range(1400)]
     df = spark.createDataFrame(rows, "g int, v double")
     exact = {r["g"]: r["at"] for r in quantiles.percentiles(df, ["g"], F.col("v"), quantiles.even_ranks(10)).collect()}
-    blocks = {r["g"]: r["at"] for r in quantiles.percentiles(df, ["g"], F.col("v"), quantiles.even_ranks(10), block=2).collect()}
+    blocks = {r["g"]: r["at"] for r in quantiles.percentiles(df, ["g"], F.col("v"), quantiles.even_ranks(10), block=2, whole=50).collect()}
     assert exact == blocks
+    for whole in (0, 200):  # all by rounds, all inside their task
+        assert exact == {r["g"]: r["at"] for r in quantiles.percentiles(df, ["g"], F.col("v"), quantiles.even_ranks(10), block=2, whole=whole).collect()}
     rough = {r["g"]: r["at"] for r in quantiles.percentiles(df, ["g"], F.col("v"), quantiles.even_ranks(10), epsilon=0.05).collect()}
     for g, at in rough.items():
         values = sorted(v for h, v in rows if h == g)
