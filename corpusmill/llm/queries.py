@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import capping, dedup, leakage, markup, packing, quantiles, secrets, spans, survivor, walk
@@ -48,6 +48,21 @@ def p3_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     One row per content hash; a field is null if no member knows it. As in p3_found an empty license or
     NOASSERTION, and the category ``uncategorised``, say nothing and don't vote.
     """
+    agreed = survivor.consensus(votes_by_hash(spark, sf_dir), ["content_hash", "field"], "value", vote_weight())
+    fields = [F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in CONSENSUS_FIELDS]
+    return agreed.groupBy("content_hash").agg(*fields)
+
+
+CONSENSUS_FIELDS = ["license", "category", "path", "repo"]
+
+
+def vote_weight() -> Column:
+    """What a member's voice weighs: more with the stars of its repo, nothing more where they are unknown."""
+    return F.log1p(F.coalesce("stars", F.lit(0))) + 1
+
+
+def votes_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(content_hash, stars, field, value): what each member says of each field that is decided by consensus."""
     members = members_by_hash(spark, sf_dir).filter("content_hash <> ''")
     known = {
         "license": F.when(~F.trim("license").isin("", "NOASSERTION"), F.col("license")),
@@ -56,10 +71,16 @@ def p3_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
         "repo": F.col("repo"),
     }
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in known.items()]))
-    votes = members.select("content_hash", "stars", each.alias("_f")).select("content_hash", "stars", "_f.*")
-    agreed = survivor.consensus(votes, ["content_hash", "field"], "value", F.log1p(F.coalesce("stars", F.lit(0))) + 1)
-    fields = [F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in known]
-    return agreed.groupBy("content_hash").agg(*fields)
+    return members.select("content_hash", "stars", each.alias("_f")).select("content_hash", "stars", "_f.*")
+
+
+def p3_consensus_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What consensus takes where at most two values, of different weight, stand against each other: the heavier, whatever their tokens."""
+    votes = materialise(votes_by_hash(spark, sf_dir).filter("value IS NOT NULL"), "votes")
+    agreed = survivor.consensus(votes, ["content_hash", "field"], "value", vote_weight())
+    weights = votes.groupBy("content_hash", "field", "value").agg(F.sum(vote_weight()).alias("w"))
+    few = weights.groupBy("content_hash", "field").agg(F.count("*").alias("n"), (F.max("w") - F.min("w")).alias("gap"))
+    return agreed.join(few.filter("n = 1 OR n = 2 AND gap > 1e-6"), ["content_hash", "field"], "left_semi")
 
 
 def capped_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,27 +201,92 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (1 - F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("unused"))
 
 
+def p1_merged_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per metric and scope the merged percentiles' count, and whether each is within the promised rank error.
+
+    That is a hundredth of the values and one value a piece, on top of a percentile's own place.
+    """
+    merged = p1_merged(spark, sf_dir)
+    values = stat_values(spark, sf_dir)
+    days = values.groupBy("metric", "scope").agg(F.countDistinct("stat_day").alias("days"))
+    claims = merged.select("metric", "scope", "n", F.posexplode("at").alias("p", "q"))
+    counted = values.groupBy("metric", "scope", "value").agg(F.count("*").alias("c"))
+    places = counted.join(claims, ["metric", "scope"]).groupBy("metric", "scope", "p").agg(
+        F.first("n").alias("n"), F.sum(F.when(F.col("value") < F.col("q"), F.col("c")).otherwise(0)).alias("smaller"),
+        F.sum(F.when(F.col("value") <= F.col("q"), F.col("c")).otherwise(0)).alias("upto")).join(days, ["metric", "scope"])
+    slack = F.col("n") / 100 + F.col("days") + 1
+    right = (F.col("smaller") <= F.col("p") * F.col("n") / 100 + slack) & (F.col("upto") >= F.col("p") * F.col("n") / 100 - slack)
+    return places.groupBy("metric", "scope").agg(F.first("n").alias("n"), (F.sum(F.when(right, 0).otherwise(1)) == 0).alias("within"))
+
+
+def p4_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Redacted records that have another length, changed outside of the secrets, or still hold one: none."""
+    skills = table(spark, sf_dir, "skills")
+    found = secrets.scan(skills, "id", "body", "last_seen", redacted=True)
+    bodies = current_rows(skills, "id", "last_seen", ["body"])
+    both = found.join(bodies, "id")
+    kept = F.aggregate("spans", F.col("body"), lambda t, x: F.overlay(t, F.repeat(F.lit("*"), (x["end_pos"] - x["start_pos"]).cast("int")), x["start_pos"].cast("int") + 1))
+    bare = F.aggregate("spans", F.col("redacted"), lambda t, x: F.overlay(t, F.repeat(F.lit("*"), (x["end_pos"] - x["start_pos"]).cast("int")), x["start_pos"].cast("int") + 1))
+    wrong = both.agg(F.count(F.when((F.length("body") != F.length("redacted")) | (kept != bare), 1)).alias("changed"))
+    return wrong.crossJoin(secrets.scan(found, "id", "redacted").agg(F.count("*").alias("left")))  # one row each
+
+
+def p5_walk_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The walk moves mass and makes none: mass times number of scores adds up to the number of scores."""
+    walked = p5_rank_walk(spark, sf_dir)
+    return walked.agg(F.count("*").alias("repos"), F.round(F.sum(F.col("mass") * F.col("n_scores"))).cast("bigint").alias("mass"))
+
+
+def p6_category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, left_out): how many skills the cap of 40 leaves out of each repo."""
+    return p6_by_category(spark, sf_dir).groupBy("repo").agg(F.count("*").alias("left_out"))
+
+
+def p8_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per target: documents placed, containers beyond capacity, and documents that fit a container but are split."""
+    targets = table(spark, sf_dir, "pack_targets").select("target_id", "capacity_tokens")
+    packed = materialise(p8_pack(spark, sf_dir), "packed").join(F.broadcast(targets), "target_id")
+    boxes = packed.groupBy("target_id", "container").agg(F.sum("n").alias("used"), F.first("capacity_tokens").alias("room"))
+    over = boxes.groupBy("target_id").agg(F.count(F.when(F.col("used") > F.col("room"), 1)).alias("overfull"))
+    docs = packed.groupBy("target_id", "doc_id").agg(F.count("*").alias("pieces"), F.sum("n").alias("size"), F.first("capacity_tokens").alias("room"))
+    split = F.count(F.when((F.col("pieces") > 1) & (F.col("size") <= F.col("room")), 1))
+    return docs.groupBy("target_id").agg(F.count("*").alias("documents"), split.alias("split_needlessly")).join(over, "target_id")
+
+
+def p9_near_verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id): near leaks that hold 16 words of the item verbatim."""
+    same = leakage.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text", width=16)
+    return p9_near(spark, sf_dir).join(same, ["doc_id", "item_id"], "left_semi")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_percentiles": p1_percentiles,
         "p1_merged": p1_merged,
+        "p1_merged_bound": p1_merged_bound,
         "p2_found": p2_found,
         "p2_collapsed": p2_collapsed,
         "p3_found": p3_found,
         "p3_consensus": p3_consensus,
+        "p3_consensus_two": p3_consensus_two,
         "p4_found": p4_found,
         "p4_redacted": p4_redacted,
+        "p4_redaction": p4_redaction,
         "p5_found": p5_found,
         "p5_rank_walk": p5_rank_walk,
+        "p5_walk_mass": p5_walk_mass,
         "p6_found": p6_found,
         "p6_by_category": p6_by_category,
+        "p6_category_counts": p6_category_counts,
         "p7_found": p7_found,
         "p7_clean": p7_clean,
         "p8_pack": p8_pack,
         "p8_fill": p8_fill,
+        "p8_whole": p8_whole,
         "p9_found": p9_found,
         "p9_near": p9_near,
+        "p9_near_verbatim": p9_near_verbatim,
         "p10_found": p10_found,
         "p10_amount": p10_amount,
     }
@@ -225,6 +311,18 @@ SHARED = """WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHE
   r AS (SELECT doc_id, min(i) AS start_pos, max(i) + 300 AS end_pos FROM g GROUP BY doc_id, k)"""
 
 
+def leaked(width: int) -> str:
+    """Documents with ``width`` neighbouring words of an item."""
+    words = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+    windows = "(SELECT {key}, w, unnest(range(1, len(w) - {width} + 2)) AS s FROM {t} WHERE len(w) >= {width})"
+    side = lambda key, t: f"SELECT DISTINCT {key}, array_to_string(w[s:s + {width - 1}], ' ') AS x FROM " + windows.format(key=key, t=t, width=width)
+    return f"""
+        WITH d AS (SELECT doc_id, {words} AS w FROM documents WHERE text IS NOT NULL),
+        i AS (SELECT item_id, {words} AS w FROM eval_items WHERE text IS NOT NULL),
+        dw AS ({side('doc_id', 'd')}), iw AS ({side('item_id', 'i')})
+        SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (x)"""
+
+
 def oracle_sql() -> dict[str, str]:
     words = lambda c: f"array_to_string(regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}]+'), ' ')"
     same = f"""
@@ -244,6 +342,27 @@ def oracle_sql() -> dict[str, str]:
         "p1_percentiles": f"""
         WITH {STAT_VALUES}, o AS (SELECT metric, scope, stat_day, count(*) AS n, list_sort(list(value::DOUBLE)) AS l FROM vals GROUP BY ALL)
         SELECT metric, scope, stat_day, n, list_transform(range(0, 101), lambda p: l[greatest(1, (p * n + 99) // 100)]) AS at FROM o""",
+        "p1_merged_bound": f"""
+        WITH {STAT_VALUES} SELECT metric, scope, count(*) AS n, true AS "within" FROM vals GROUP BY 1, 2""",
+        "p3_consensus_two": f"""
+        WITH {CURRENT_SKILLS}, {CURRENT_REPOS}, m AS (
+          SELECT regexp_replace(lower(trim(cur.content_hash)), '^sha256:', '') AS content_hash, ln(1 + coalesce(cr.stars, 0)) + 1 AS w,
+            CASE WHEN trim(cur.license) NOT IN ('', 'NOASSERTION') THEN cur.license END AS license,
+            CASE WHEN cur.category <> 'uncategorised' THEN cur.category END AS category, cur.path, cur.repo
+          FROM cur LEFT JOIN cr ON cur.repo = cr.full_name), v AS (
+          SELECT content_hash, field, value, sum(w) AS w FROM m UNPIVOT (value FOR field IN (license, category, path, repo))
+          WHERE content_hash <> '' GROUP BY ALL)
+        SELECT content_hash, field, arg_max(value, w) AS value FROM v GROUP BY 1, 2
+        HAVING count(*) = 1 OR count(*) = 2 AND max(w) - min(w) > 1e-6""",
+        "p4_redaction": "SELECT 0::BIGINT AS changed, 0::BIGINT AS \"left\"",
+        "p5_walk_mass": f"""
+        WITH {CURRENT_REPOS}, s AS (SELECT (stars IS NOT NULL)::INT + (forks IS NOT NULL)::INT + (open_issues IS NOT NULL)::INT + (size_kb IS NOT NULL)::INT AS k FROM cr)
+        SELECT count(*) AS repos, sum(k)::BIGINT AS mass FROM s WHERE k > 0""",
+        "p6_category_counts": f"""
+        WITH {CURRENT_SKILLS} SELECT repo, count(*) - 40 AS left_out FROM cur GROUP BY repo HAVING count(*) > 40""",
+        "p8_whole": """
+        SELECT target_id, (SELECT count(*) FROM documents WHERE length(text) > 0) AS documents, 0::BIGINT AS overfull, 0::BIGINT AS split_needlessly
+        FROM pack_targets""",
         "p2_found": same + "SELECT first_id, id AS copy_id FROM grouped WHERE id <> first_id",
         "p2_collapsed": same + "SELECT first_id, count(*) AS copies FROM grouped GROUP BY first_id",
         "p3_found": f"""
@@ -267,14 +386,8 @@ def oracle_sql() -> dict[str, str]:
             / (count(*) OVER (PARTITION BY c))::DOUBLE / 2 AS p FROM long)
         SELECT full_name FROM (SELECT full_name, row_number() OVER (ORDER BY round(avg(p), 12) DESC, full_name) AS r FROM pos
           GROUP BY full_name HAVING count(*) >= 3) WHERE r <= (SELECT ceil(count(*) / 100.0) FROM cr)""",
-        "p9_found": f"""
-        WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL),
-        i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM eval_items WHERE text IS NOT NULL),
-        dw AS (SELECT DISTINCT doc_id, array_to_string(w[s:s + 11], ' ') AS x FROM (
-          SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS s FROM d WHERE len(w) >= 12)),
-        iw AS (SELECT DISTINCT item_id, array_to_string(w[s:s + 11], ' ') AS x FROM (
-          SELECT item_id, w, unnest(range(1, len(w) - 10)) AS s FROM i WHERE len(w) >= 12))
-        SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (x)""",
+        "p9_found": leaked(12),
+        "p9_near_verbatim": leaked(16),
         "p10_found": SHARED + " SELECT doc_id, start_pos, end_pos FROM r",
         "p10_amount": SHARED + """, a AS (SELECT doc_id, sum(end_pos - start_pos)::BIGINT AS c FROM r GROUP BY 1)
           SELECT doc_id, coalesce(c, 0) AS shared_chars, CASE WHEN length(text) > 0 THEN coalesce(c, 0) / length(text)::DOUBLE ELSE 0.0 END AS share

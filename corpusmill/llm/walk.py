@@ -28,47 +28,53 @@ def _long(df: DataFrame, key: str, scores: Sequence[str]) -> DataFrame:
 
 HOT = 20_000
 SALTS = 64
+BLOCKS = 4096
 
 
 def placed(base: DataFrame, key: str, hot_rows: int = HOT) -> DataFrame:
-    """(key, c, v) with ``n``, ``stays``, ``b``, ``vn`` and ``s``: what doesn't change from step to step.
+    """(key, places): what doesn't change from step to step, one entry a score.
 
-    n: items in the chain; stays: share of an item's proposals not ranked higher,
-    equal ones counting half; b: the block of neighbouring values its value is in;
-    vn: items of that value; s: the item's salt if its value is hot, else 0.
+    An entry is (c, b, s, v, n, stays, hot). n: items in the chain of score c; stays:
+    share of an item's proposals not ranked higher, equal ones counting half; b: its
+    block of neighbouring values. A value that more than ``hot_rows`` items have, and
+    more than one in ``BLOCKS``, is hot: it is a block by itself, over which its
+    items are spread by the salt s. So a chain has at most 3 * ``BLOCKS`` blocks.
     """
+    spark = base.sparkSession
     sizes = base.groupBy("c").agg(F.count("*").alias("n"))  # one row per score
     values = base.groupBy("c", "v").agg(F.count("*").alias("vn")).join(F.broadcast(sizes), "c")
-    below = prefix_sums(values, ["c"], [F.col("v")], {"n_below": F.col("vn")})
-    blocks = F.greatest(F.lit(cores(base.sparkSession)), F.ceil(F.col("n") / 50_000))
-    found = below.select("c", "v", "n", "vn", ((F.col("n_below") + F.col("vn") / 2) / F.col("n")).alias("stays"),
-                         F.floor(F.col("n_below") * blocks / F.col("n")).alias("b"))
+    hot = F.col("vn") > F.greatest(F.lit(hot_rows), F.col("n") / BLOCKS)
+    below = prefix_sums(values, ["c"], [F.col("v")], {"n_below": F.col("vn"), "hot_below": hot.cast("bigint")})
+    blocks = F.greatest(F.lit(min(cores(spark), BLOCKS)), F.least(F.ceil(F.col("n") / 50_000), F.lit(BLOCKS)))
+    found = below.select("c", "v", "n", "vn", hot.alias("hot"), ((F.col("n_below") + F.col("vn") / 2) / F.col("n")).alias("stays"),
+                         (F.floor(F.col("n_below") * blocks / F.col("n")) + 2 * F.col("hot_below") + hot.cast("bigint")).alias("b"))
     rows = salted_lookup(base, materialise(found, "values"), ["c", "v"], F.col(key), "vn")
-    return materialise(rows.withColumn("s", F.when(F.col("vn") > hot_rows, F.pmod(F.xxhash64(key), F.lit(SALTS))).otherwise(0).cast("int")), "placed")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(key), F.lit(SALTS))).otherwise(0).cast("int").alias("s")
+    return rows.groupBy(key).agg(F.collect_list(F.struct("c", "b", salt, "v", "n", "stays", "hot")).alias("places"))
 
 
-def step(long: DataFrame, hot_rows: int = HOT) -> DataFrame:
-    """One step of every score's chain from mass ``m``: adds ``flow``.
+def step(items: DataFrame, key: str) -> DataFrame:
+    """One step of every score's chain: (key, m, last, p, flow) for each item and score.
 
-    long: rows of :func:`placed` with m, the item's mass times the number n of items
-    in the chain of score c, so that the uniform start has m = 1 and numbers stay
-    near 1 at every size. An item's new mass is what its proposals fail to move
-    plus what arrives from items below:
+    items: (key, places, m, last) with m, the item's mass times the number n of items
+    in the chain, so that the uniform start has m = 1 and numbers stay near 1 at
+    every size. An item's new mass is what its proposals fail to move plus what
+    arrives from items below:
     m * (1 - (higher + equal/2)/n) + (mass below + equal mass/2)/n.
-    Items of equal value share one row per value before anything is summed; sums run
-    inside blocks of values, to which the totals of earlier blocks are added. The
-    row of a hot value (zero, say) is repeated once a salt before its items meet it.
-    Joins are merges: a broadcast a step would fill the driver over many steps.
+    Mass below is summed inside blocks of values, to which the totals of earlier
+    blocks are added; those are few by construction and broadcast. All items of a
+    hot value's block are equal, so its total is all they need.
     """
-    values = long.groupBy("c", "b", "v").agg(F.sum("m").alias("vm"), F.first("n").alias("n"), F.first("vn").alias("vn"))
+    long = items.select(key, "m", "last", F.explode("places").alias("p"))
     earlier = Window.partitionBy("c").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    before = values.groupBy("c", "b").agg(F.sum("vm").alias("bm")).select("c", "b", F.coalesce(F.sum("bm").over(earlier), F.lit(0.0)).alias("m_before"))
-    own = Window.partitionBy("c", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    summed = values.withColumn("m_own", F.coalesce(F.sum("vm").over(own), F.lit(0.0))).join(before.hint("merge"), ["c", "b"])
-    salts = F.when(F.col("vn") > hot_rows, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    inflow = summed.select("c", "b", "v", F.explode(salts).alias("s"),
-                           ((F.col("m_before") + F.col("m_own") + F.col("vm") / 2) / F.col("n")).alias("arrives"))
-    return long.join(inflow.hint("merge"), ["c", "b", "v", "s"]).withColumn("flow", F.col("m") * F.col("stays") + F.col("arrives"))
+    totals = long.groupBy("p.c", "p.b").agg(F.sum("m").alias("bm"))
+    totals = totals.select(F.col("c").alias("tc"), F.col("b").alias("tb"), "bm", F.coalesce(F.sum("bm").over(earlier), F.lit(0.0)).alias("m_before"))
+    rows = long.join(F.broadcast(totals), (F.col("p.c") == F.col("tc")) & (F.col("p.b") == F.col("tb")))
+    block = [F.col("p.c"), F.col("p.b"), F.col("p.s")]
+    upto = F.sum("m").over(Window.partitionBy(*block).orderBy("p.v").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    equal = F.sum("m").over(Window.partitionBy(*block, F.col("p.v")))
+    inside = F.when(F.col("p.hot"), F.col("bm") / 2).otherwise(upto - equal / 2)
+    return rows.select(key, "m", "last", "p", (F.col("m") * F.col("p.stays") + (F.col("m_before") + inside) / F.col("p.n")).alias("flow"))
 
 
 def rank_walk(df: DataFrame, key: str, scores: Sequence[str], steps: int | None = None, damping: float = 0.85,
@@ -96,29 +102,30 @@ def rank_walk(df: DataFrame, key: str, scores: Sequence[str], steps: int | None
     if steps is None and not 0 <= damping < 1:
         raise ValueError("without damping the number of steps must be given")
     base = _long(df.filter(F.col(key).isNotNull()), key, scores)
-    base = placed(materialise(base, "scores"), key, hot_rows)
+    items = placed(materialise(base, "scores"), key, hot_rows)
+    items = materialise(items.select(key, "places", F.lit(1.0).alias("m"), F.lit(1.0).alias("last")), "walk")
     plain, least = steps is not None, float("inf")
     pull, reach = 2 / (2 - damping), damping / (2 - damping)
     rho = 2 / (1 + (1 - reach**2) ** 0.5)  # the same in every step, and so is its compiled code
-    items, mass, done = None, base.withColumn("m", F.lit(1.0)).withColumn("last", F.lit(1.0)), 0
+    done = 0
     while True:
         done += 1
-        m, walked = F.first("m"), F.lit(damping) * F.avg("flow") + F.lit(1 - damping)
+        m, walked = F.first("m"), F.lit(damping) * F.avg("flow") + F.lit(1 - damping)  # m and last are the same in all chains
         onward = walked if plain else F.lit(rho) * (F.lit(pull) * walked + F.lit(1 - pull) * m) + F.lit(1 - rho) * F.first("last")
-        after = step(mass, hot_rows).groupBy(key).agg(  # m and last are the same in all chains
-            walked.alias("mass"), F.count("*").alias("n_scores"), F.avg("stays").alias("mid_rank"),
-            F.abs(walked - m).alias("_moved"), onward.alias("_next"), m.alias("_m"))
+        after = step(items, key).groupBy(key).agg(
+            F.collect_list("p").alias("places"), onward.alias("m"), m.alias("last"), walked.alias("mass"), F.count("*").alias("n_scores"),
+            F.avg("p.stays").alias("mid_rank"), F.abs(walked - m).alias("_moved"))
         if done == steps:
             break
         after = materialise(after, "walk")
-        if items is not None:
-            discard(items)
+        discard(items)
         items = after
         moved = items.agg(F.max("_moved")).first()[0] or 0
         if moved <= tolerance:
             break
-        plain, least = plain or moved > 2 * least, min(least, moved)
-        mass = base.join(items.select(key, F.col("mass" if plain else "_next").alias("m"), F.col("_m").alias("last")).hint("merge"), key)
+        if not plain and moved > 2 * least:
+            plain, items = True, items.withColumn("m", F.col("mass"))
+        least = min(least, moved)
     return after.filter(F.col("n_scores") >= at_least).select(key, "mass", "n_scores", "mid_rank")
 
 
