@@ -40,6 +40,9 @@ BOTH = f"WITH {CUR}, {CR}"
 NOW_SQL = f"TIMESTAMPTZ '{NOW_TEXT}+00'"
 
 
+STRIP = "regexp_replace(coalesce({}, ''), '^\\s+|\\s+$', '', 'g')"
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query, and its SQL if there is one, under the function's name."""
 
@@ -716,13 +719,18 @@ def text_tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(tx.word_tokens(F.col("text"))).alias("n"))
 
 
-@query()
+@query(f"""
+    WITH {CUR}, t AS (SELECT id, {STRIP.format('name')} AS name, {STRIP.format('description')} AS description, {STRIP.format('body')} AS body FROM cur)
+    SELECT id, name, description, length(body) AS body_len, name <> '' AND description <> '' AND length(body) >= 40 AS valid,
+      array_to_string(list_sort(list_distinct(regexp_extract_all(body, '(\\]\\(|[`''"])(\\./)?((scripts|references|assets)/[^)`''"\\s]+)', 3))), ' ') AS resources
+    FROM t""")
 def text_parse(spark, d):
-    """Documents put together from the columns and parsed back; the tests compare them with the columns."""
+    """Documents put together from the columns and parsed back."""
     s = table(spark, d, "skills").select("id", "last_seen", "name", "description", "body")
     quoted = lambda c: F.regexp_extract(F.to_json(F.struct(F.coalesce(c, F.lit("")).alias("x"))), r'^\{"x":(.*)\}$', 1)
     text = F.concat(F.lit("---\nname: "), quoted("name"), F.lit("\ndescription: "), quoted("description"), F.lit("\n---\n"), F.coalesce("body", F.lit("")))
-    parsed = s.select("id", "last_seen", tx.parse_skill(text).alias("p")).select("id", "last_seen", "p.name", "p.description", "p.body_len", "p.valid", "p.resources")
+    parsed = tx.parse_skills(s.select("id", "last_seen", text.alias("text")), "text", "p")
+    parsed = parsed.select("id", "last_seen", "p.name", "p.description", "p.body_len", "p.valid", F.array_join("p.resources", " ").alias("resources"))
     return latest(parsed, "id", "last_seen", ["name", "description", "body_len", "valid", "resources"])
 
 

@@ -213,3 +213,22 @@ def test_current_rows_are_the_latest(spark):
     for few in (100, 0):
         assert sorted(map(str, current_rows(df, "k", "at", ["body"], few).collect())) == want
     assert current_rows(df.limit(0), "k", "at", ["body"]).count() == 0
+
+
+def test_parse_skills(spark):
+    body = "\n# Head line \n\nUse [it](scripts/run.sh) or `./assets/a.png`, not scripts/plain.py (references/x.md).\n"
+    texts = [
+        "---\nname: a-b\ndescription: Does it\nallowed_tools: Bash, Read\nmetadata: {k: 1}\nother: x\n---\n" + body,
+        "﻿--- \r\nname: 'Not Slug'\r\ndescription: d\r\n---\r\nshort", "no front", "---\nname: [x\n---\n" + body, "---\n- a\n---\n" + body, None, "", "---\nname: x\n",
+        "---\n---\nname: y\ndescription: z\n---\n" + body,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").withColumn("p", F.lit(1))
+    got = {r["i"]: r["parsed"] for r in tx.parse_skills(df, "text").collect()}
+    assert got[0]["valid"] and got[0]["name"] == "a-b" and got[0]["allowed_tools"] == ["Bash", "Read"] and got[0]["metadata"] == '{"k": 1}'
+    assert got[0]["extra"] == '{"other": "x"}' and got[0]["heading"] == "Head line" and got[0]["resources"] == ["assets/a.png", "scripts/run.sh"]
+    assert got[0]["body"] == body.strip() and got[0]["body_len"] == len(body.strip())
+    assert got[1]["name"] == "Not Slug" and got[1]["problems"] == ["body is essentially empty"] and got[1]["warnings"] == ["name is not a lowercase-hyphen slug"]
+    for i in (2, 5, 6, 7):
+        assert got[i]["problems"] == ["no YAML frontmatter"] and got[i]["resources"] == []
+    assert got[3]["problems"][0].startswith("invalid YAML") and got[4]["problems"] == ["frontmatter is not a mapping"]
+    assert got[8]["valid"] and got[8]["name"] == "y"
