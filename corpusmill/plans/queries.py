@@ -776,15 +776,15 @@ def classify_catalogue(spark, d):
 
 @query()
 def assess_bodies(spark, d):
-    s = table(spark, d, "skills").select("id", "last_seen", "body")
-    out = ax.assess(s, F.col("body"), F.sha2(F.coalesce("body", F.lit("")), 256), keep=["id", "last_seen"])
+    s = table(spark, d, "skills").select("id", "last_seen", "name", "description", "body", "path", "metadata")
+    out = ax.assess(s, {c: F.col(c) for c in ("name", "description", "body", "path", "metadata")}, keep=["id", "last_seen"])
     return latest(out.select("id", "last_seen", "verdict.level", "verdict.score", "verdict.capabilities"), "id", "last_seen", ["level", "score", "capabilities"])
 
 
 @query(f"""{BOTH}, j AS (SELECT id, coalesce(risk_level, 'none') AS level, CASE WHEN score < 30 THEN 'serious' WHEN score < 50 THEN 'minor' WHEN score IS NOT NULL THEN 'none' END AS harm, valid <> 1 AS mismatch FROM cur),
   k AS (SELECT *, coalesce(harm = 'serious', false) AS ser, coalesce(mismatch AND harm IN ('minor', 'serious'), false) AS odd, level IN ('medium', 'high') AS primed FROM j),
-  v AS (SELECT *, greatest(CASE WHEN level = 'critical' AND (ser OR odd) THEN 1.0 ELSE 0 END, CASE WHEN level = 'critical' THEN 0.95 ELSE 0 END, CASE WHEN ser AND (odd OR NOT primed) AND primed THEN 0.92 ELSE 0 END,
-    CASE WHEN ser AND (odd OR NOT primed) THEN 0.8 ELSE 0 END, CASE WHEN odd THEN 0.6 ELSE 0 END, CASE WHEN level = 'high' THEN 0.6 ELSE 0 END, CASE WHEN level = 'medium' THEN 0.35 ELSE 0 END, CASE WHEN level = 'low' THEN 0.1 ELSE 0 END)::DOUBLE AS confidence FROM k)
+  v AS (SELECT *, CASE WHEN level = 'critical' AND ser THEN 0.98 WHEN level = 'critical' AND odd THEN 0.96 WHEN ser AND (odd OR NOT primed) THEN 0.95
+    WHEN odd THEN 0.90 WHEN level = 'critical' THEN 0.86 WHEN level = 'high' THEN 0.55 WHEN level = 'medium' THEN 0.30 WHEN level = 'low' THEN 0.10 ELSE 0 END::DOUBLE AS confidence FROM k)
   SELECT id, confidence, CASE WHEN confidence >= 0.8 AND level IN ('none', 'low') THEN 'flag' WHEN confidence >= 0.8 THEN 'block' WHEN confidence >= 0.25 THEN 'flag' ELSE 'allow' END AS action FROM v""")
 def assess_decide(spark, d):
     s = skills(spark, d, "risk_level", "score", "valid")
