@@ -22,6 +22,7 @@ from pyspark.sql.functions import pandas_udf
 from corpusmill.operators import rules as r
 from corpusmill.operators.latest import latest
 from corpusmill.operators.rules import RULES, Rule
+from corpusmill.runtime import spread
 
 # Level thresholds, levels, findings that make a document critical, fields of a document.
 THRESHOLDS = ((9.0, "high"), (5.0, "medium"), (2.5, "low"))
@@ -31,10 +32,24 @@ DOCUMENT = ("name", "description", "body", "path", "metadata", "resources", "too
 VERDICT = ("level string, score double, findings array<struct<rule:string,weight:double,evidence:string>>, capabilities array<string>")
 
 
-def gate(rules: Sequence[Rule] = RULES) -> str:
-    """One regular expression that matches wherever some rule might."""
-    each = [x.pattern for x in rules] + [p for _, p in r.JAILBREAK] + [r.INLINE_SECRET, r.ENCODED_ADDRESS, r.SPLIT_PATH, r.BUNDLED_READ, r.OFFENSIVE, r.INVISIBLE]
-    return "(?iU)" + "|".join(f"(?:{p})" for p in each)
+def gate(text: Column, low: Column, rules: Sequence[Rule] = RULES, needs: Mapping[str, Sequence[str]] = r.NEEDS) -> Column:
+    """Whether some rule might strike ``text``: its expression is tried only where one of its strings stands.
+
+    Both are columns of an earlier projection, low being the text in lower case, as they are read many times.
+    """
+    each = [(x.name, x.pattern) for x in rules]
+    each += [("jailbreak", "|".join(p for _, p in r.JAILBREAK)), ("inline_credential", r.INLINE_SECRET), ("concealed_destination", r.ENCODED_ADDRESS), ("split_path_literal", r.SPLIT_PATH)]
+    out = text.rlike(r.INVISIBLE)
+    for name, pattern in each:
+        words = needs.get(name)
+        tried = text.rlike(f"(?iU){pattern}")
+        if words:
+            there = F.lit(False)
+            for w in words:
+                there = there | low.contains(w)
+            tried = there & tried
+        out = out | tried
+    return F.coalesce(out, F.lit(False))
 
 
 @lru_cache(maxsize=256)
@@ -59,9 +74,11 @@ def set_aside(text: str, m: re.Match, subject: bool) -> bool:
     return subject and (in_fence(text, m.start()) or line.lstrip().startswith(("|", "- ", "* ")))
 
 
-def _strike(text: str, rule: Rule, subject: bool) -> tuple[re.Match | None, bool]:
+def _strike(text: str, rule: Rule, subject: bool, low: str | None = None) -> tuple[re.Match | None, bool]:
     """The first match that its surroundings don't set aside, else the first; and whether it is set aside."""
     first = None
+    if low is not None and rule.name in r.NEEDS and not any(w in low for w in r.NEEDS[rule.name]):
+        return None, False
     for m in _rx(rule.pattern).finditer(text):
         if not rule.guards or not set_aside(text, m, subject):
             return m, False
@@ -129,8 +146,9 @@ def inspect_document(doc: Mapping[str, object], rules: Sequence[Rule] = RULES, c
             note("invisible_chars_present", 0.0)
 
     severe = {x.name for x in rules if x.kind == "severe"}
+    low = text.lower()
     for rule in rules:
-        m, aside = _strike(text, rule, subject)
+        m, aside = _strike(text, rule, subject, low)
         if not m:
             continue
         if aside:
@@ -167,7 +185,7 @@ def inspect_document(doc: Mapping[str, object], rules: Sequence[Rule] = RULES, c
         if m := _rx(r.SPLIT_PATH).search(files):
             note("split_path_literal", 4.0, _evidence(m), "concealment")
     if said := metadata_text(get("metadata")):
-        struck = sorted(x.name for x in rules if _rx(x.pattern).search(said))
+        struck = sorted(x.name for x in rules if _strike(said, Rule(x.name, x.kind, 0.0, x.pattern), False, said.lower())[0])
         if struck:
             note("frontmatter_instruction", 5.0, ", ".join(struck[:3]), "frontmatter_instruction")
 
@@ -204,30 +222,38 @@ def assess(df: DataFrame, fields: Column | Mapping[str, Column], rules: Sequence
     given = dict(fields) if isinstance(fields, Mapping) else {"body": fields}
     columns = list(keep) if keep is not None else df.columns
     texts = [k for k in DOCUMENT if k in given and k != "tools"]
+    passes = gate(F.col("_whole"), F.col("_low"), rules)
+    inputs = [*texts, *(["tools"] if "tools" in given else [])]
     whole = F.concat_ws("\n", *[given[k] for k in texts])
-    passes = F.coalesce(whole.rlike(gate(rules)), F.lit(False))
+    rows = spread(df.select(*columns, *[given[k].alias(f"_{k}") for k in inputs], whole.alias("_whole")))
+    rows = rows.withColumn("_low", F.lower("_whole"))
+    given = {k: F.col(f"_{k}") for k in inputs}
+    if "resources" in given:
+        passes = passes | F.coalesce(given["resources"].rlike(f"(?iU){r.BUNDLED_READ}"), F.lit(False))
+    head = [given[k] for k in ("name", "description") if k in given]
+    if head:
+        passes = passes | F.concat_ws("\n", *head).rlike(f"(?iU){r.OFFENSIVE}")
     if "tools" in given:
         passes = passes | F.coalesce(F.arrays_overlap(F.transform(given["tools"], F.lower), F.array(*[F.lit(t) for t in r.SHELL_TOOLS])), F.lit(False))
-    inputs = [*texts, *(["tools"] if "tools" in given else [])]
-    rows = df.select(*columns, passes.alias("_gated"), *[given[k].alias(f"_{k}") for k in inputs])
+    document = F.when(passes, F.struct(F.lit(True).alias("gated"), *[given[k].alias(k) for k in inputs]))  # one expression: the gate runs once
     empty = {"level": "none", "score": 0.0, "findings": [], "capabilities": []}
 
     @pandas_udf(VERDICT)
-    def run(gated: pd.Series, *given: pd.Series) -> pd.DataFrame:
+    def run(documents: pd.DataFrame) -> pd.DataFrame:
         known: dict[tuple, dict] = {}
         out = []
-        for on, *values in zip(gated, *given):
-            if not on:
+        for on, *values in documents.itertuples(index=False, name=None):
+            if on is not True:
                 out.append(empty)
                 continue
+            values = [None if v is None or v != v else v for v in values] if "tools" not in inputs else values
             key = tuple(v if v is None or isinstance(v, str) else tuple(v) for v in values)
             if key not in known:
                 known[key] = inspect_document(dict(zip(inputs, values)), rules, combinations)
             out.append(known[key])
         return pd.DataFrame(out, columns=["level", "score", "findings", "capabilities"])
 
-    shown = [F.when(F.col("_gated"), F.col(f"_{k}")).alias(f"_{k}") for k in inputs]
-    return rows.select(*columns, "_gated", *shown).select(*columns, run("_gated", *[F.col(f"_{k}") for k in inputs]).alias("verdict"))
+    return rows.select(*columns, run(document).alias("verdict"))
 
 
 def moved(old: DataFrame, new: DataFrame, key: str, level: str = "risk_level") -> DataFrame:

@@ -113,3 +113,25 @@ INVISIBLE = r"[\x{E0000}-\x{E007F}\x{E0100}-\x{E01EF}\x{202D}\x{202E}]"
 NEGATION = r"\b(?:never|not|don't|doesn't|avoid|refuse[sd]?|reject\w*|detect\w*|warns?|block\w*|prevent\w*|beware|instead\s+of|such\s+as|for\s+example|e\.g\.)\b[^.\n]*$"
 QUOTED = r"[\"“'`«]\s*$"
 REPORTED = r"\b(?:attackers?|adversar\w+|malicious|injection|untrusted|prompts?\s+like|phrases?\s+like|examples?\s+of|patterns?\s*:|looks?\s+for|scans?\s+for|flags?|signatures?|rules?\s+that)\b[^\n]{0,120}$"
+
+FILES = (".ssh", ".aws", ".netrc", ".npmrc", ".pypirc", ".kube", ".docker", ".git-credentials", ".gnupg", "login.keychain", "login data", "/etc/shadow")
+DROPS = ("webhook.site", "requestbin", "pipedream", "ngrok", "burpcollaborator", "interact.sh", "oast.", "transfer.sh", "discord", "api.telegram.org")
+# Of these strings, in lower case, every match of a rule holds at least one; rules that aren't named are always tried.
+NEEDS: dict[str, tuple[str, ...]] = {
+    "instruction_override": ("ignore", "disregard", "forget", "override", "bypass"), "instruction_override_intl": ("ignor", "игнорируй", "忽略", "無視"),
+    "refusal_suppression": ("refus", "decline", "reject", "restrictions", "limitations", "safety"), "instruction_secrecy": ("do not", "don't", "never"),
+    "concealment": ("without", "delete", "clear", "erase", "wipe", "history", "silently"), "remote_code_execution": ("curl", "wget", "iex", "invoke-expression"),
+    "root_deletion": ("rm", "mkfs", "dd"), "credential_egress": FILES, "environment_exfiltration": ("env",), "conversation_exfiltration": ("http",),
+    "untrusted_package_index": ("index-url", "registry", "trusted-host"), "covert_git_remote": ("git",), "encoded_execution": ("base64", "eval", "exec", "powershell"),
+    "prose_exfiltration": ("http", "@", "external", "remote"), "install_from_archive_url": ("install",), "whole_environment_capture": ("env",),
+    "dns_exfiltration": ("nslookup", "dig", "host"), "bind_shell": ("/dev/tcp", "nc", "cat", "socat"), "encoded_egress_pipeline": ("base64", "xxd", "gzip", "openssl"),
+    "credential_payload": DROPS, "encrypted_archive_delivery": ("unzip", "7z", "password"), "paste_script_into_shell": ("copy", "paste"),
+    "paste_site_payload": ("pastebin", "paste.ee", "hastebin", "rentry", "ghostbin", "dpaste", "gist.githubusercontent"),
+    "hidden_html_instruction": ("<!--", "display", "font-size"), "sensitive_read": (*FILES, "password", ".env"), "environment_read": ("os.environ", "process.env", "printenv"),
+    "network_egress": ("curl", "wget", "requests", "httpx", "fetch", "urllib", "invoke-"), "suspicious_host": (*DROPS, "http"),
+    "destructive": ("rm", "git", "drop", "kubectl", "terraform", "shred"), "persistence": ("crontab", "/etc/cron", "systemctl", "launchctl", ">>", "schtasks", "currentversion"),
+    "obfuscation": ("eval", "\\x", "fromcharcode", "exec"), "secret_encoding": ("base64",), "universal_trigger_claim": ("skill",),
+    "binary_download": ("curl", "wget", "iwr", "invoke-webrequest"), "sysprompt_extraction": ("prompt", "instructions"),
+    "jailbreak": ("bypass", "evad", "jailbreak", "refusal", "obfuscat", "prefill", "leetspeak", "homoglyph", "dan"),
+    "inline_credential": ("akia", "gh", "sk-", "xox", "aiza", "private key"), "concealed_destination": ("ahr0c",), "split_path_literal": (".s", ".a", "/etc/sha"),
+}

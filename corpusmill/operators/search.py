@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import compile_query, phrase_hits, tokens
+from corpusmill.runtime import spread
 
 # Weights of the fields in BM25, and its constants.
 FIELD_WEIGHTS = {"name": 10.0, "description": 6.0, "body": 1.0, "repo": 2.0, "path": 1.5}
@@ -95,6 +96,7 @@ def match_index(postings: DataFrame, query: str, weights: Mapping[str, float] =
 def match_scan(df: DataFrame, key: str, query: str, keep: Sequence[str] = (), weights: Mapping[str, float] = FIELD_WEIGHTS) -> tuple[DataFrame, int]:
     """((id, f, dl, keep...), number of query terms) of every document, from its texts, in one pass."""
     phrases, _ = compile_query(query)
+    df = spread(df.select(*dict.fromkeys([key, *keep, *weights])))
     words = df.select(F.col(key).alias("id"), *keep, *[tokens(F.col(f)).alias(f"_t_{f}") for f in weights])
     f = [sum((F.lit(float(w)) * phrase_hits(F.col(f"_t_{name}"), p, prefix) for name, w in weights.items()), F.lit(0.0)) for p, prefix in phrases]
     dl = sum((F.size(f"_t_{name}") for name in weights), F.lit(0)).cast("bigint")

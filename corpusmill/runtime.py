@@ -96,3 +96,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
 def cores(spark: SparkSession) -> int:
     """Partitions for work that is spread by hand; follows the session."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for steps that work long on a row.
+
+    Only an input of fewer partitions, a small one, is shuffled for that.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
