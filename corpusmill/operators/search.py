@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import compile_query, phrase_hits, tokens
+from corpusmill.functions.text import compile_query, folded, phrase_hits, tokens
 from corpusmill.runtime import spread
 
 # Weights of the fields in BM25, and its constants.
@@ -97,9 +97,9 @@ def match_scan(df: DataFrame, key: str, query: str, keep: Sequence[str] = (), we
     """((id, f, dl, keep...), number of query terms) of every document, from its texts, in one pass."""
     phrases, _ = compile_query(query)
     df = spread(df.select(*dict.fromkeys([key, *keep, *weights])))
-    words = df.select(F.col(key).alias("id"), *keep, *[tokens(F.col(f)).alias(f"_t_{f}") for f in weights])
+    words = df.select(F.col(key).alias("id"), *keep, *[folded(F.col(f)).alias(f"_t_{f}") for f in weights])
     f = [sum((F.lit(float(w)) * phrase_hits(F.col(f"_t_{name}"), p, prefix) for name, w in weights.items()), F.lit(0.0)) for p, prefix in phrases]
-    dl = sum((F.size(f"_t_{name}") for name in weights), F.lit(0)).cast("bigint")
+    dl = sum((F.regexp_count(F.col(f"_t_{name}"), F.lit(r"[\p{L}\p{N}]+")) for name in weights), F.lit(0)).cast("bigint")
     return words.select("id", *keep, (F.array(*f) if f else F.array().cast("array<double>")).alias("f"), dl.alias("dl")), len(phrases)
 
 
@@ -109,17 +109,20 @@ def matches(conjunctive: bool) -> Column:
     return (F.size("f") > 0) & (F.forall("f", hit) if conjunctive else F.exists("f", hit))
 
 
-def bm25(matched: DataFrame, n_terms: int, everything: DataFrame | None = None) -> DataFrame:
+def bm25(matched: DataFrame, n_terms: int, corpus: tuple[int, float] | None = None) -> DataFrame:
     """Add ``bm25`` (higher is better) to rows (id, f, dl, ...).
 
-    everything: the rows N, average length and document frequencies are taken
-        from, by default ``matched`` itself. They are one row, which is broadcast.
+    corpus: number of documents and their average length, by default those of
+        ``matched``, which then holds all documents; with it only those that match
+        any term need be there. Document frequencies are counted over ``matched``.
+    What is counted is one row, which is broadcast.
     Term frequencies are the weighted hits of all fields, lengths the words of all
     fields; the weight of a term in nearly every document is floored at 1e-6.
     """
-    base = everything if everything is not None else matched
     df_i = [F.count_if(F.get("f", F.lit(i)) > 0).alias(f"_n{i}") for i in range(n_terms)]
-    totals = base.agg(F.count("*").alias("_N"), F.avg("dl").alias("_avg"), *df_i)
+    totals = matched.agg(F.count("*").alias("_N"), F.avg("dl").alias("_avg"), *df_i)
+    if corpus is not None:
+        totals = totals.withColumn("_N", F.lit(corpus[0])).withColumn("_avg", F.lit(corpus[1]))
     rows = matched.crossJoin(F.broadcast(totals))
     score = F.lit(0.0)
     for i in range(n_terms):
@@ -131,9 +134,10 @@ def bm25(matched: DataFrame, n_terms: int, everything: DataFrame | None = None)
     return rows.withColumn("bm25", score).drop("_N", "_avg", *[f"_n{i}" for i in range(n_terms)])
 
 
-def choose_mode(rows: DataFrame, floor: int = CONJUNCTIVE_FLOOR) -> bool:
-    """True if enough rows match all terms; else any term has to do."""
-    return rows.filter(matches(True)).limit(floor).count() >= floor
+def choose(rows: DataFrame, floor: int = CONJUNCTIVE_FLOOR) -> DataFrame:
+    """The rows that match all terms if these are at least ``floor``, else those that match any."""
+    mode = rows.agg((F.count_if(matches(True)) >= floor).alias("_both"))  # one row
+    return rows.crossJoin(F.broadcast(mode)).filter(F.when(F.col("_both"), matches(True)).otherwise(matches(False))).drop("_both")
 
 
 def top_k(rows: DataFrame, score: str, k: int, tie: str = "id") -> DataFrame:

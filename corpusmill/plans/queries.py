@@ -523,6 +523,27 @@ def search_whole(spark, d):
     return out.select("id", F.col("pos"), F.round("rank", 6).alias("rank"), "duplicates")
 
 
+_SERVED: dict[tuple[str, str], str] = {}
+
+
+def serving(spark, d) -> rt.Serving:
+    """The search tables of a data directory, written by the application's first search of it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _SERVED:
+        path = f"{own_dir(spark)}/serving-{len(_SERVED)}"
+        rt.build_serving(table(spark, d, "skills"), repos(spark, d, "license", *rt.REPO_DETAIL), "last_seen", path)
+        _SERVED[key] = path
+    return rt.open_serving(spark, _SERVED[key])
+
+
+@query(_SQL["search_whole"])
+def search_served(spark, d):
+    """``search_whole`` from prebuilt tables: postings of the query's terms and the documents they name."""
+    s, r = table(spark, d, "skills"), repos(spark, d, "license", *rt.REPO_DETAIL)
+    out = rt.search(s, r, SEARCH_TEXT, now=now(), at="last_seen", serving=serving(spark, d))
+    return out.select("id", F.col("pos"), F.round("rank", 6).alias("rank"), "duplicates")
+
+
 @query(f"""{BOTH}, j AS (SELECT cur.*, cr.stars FROM cur JOIN cr ON repo = full_name WHERE {SERVED}), one AS (SELECT * FROM (SELECT *, row_number() OVER (
     PARTITION BY content_hash ORDER BY score DESC NULLS LAST, id) AS r_ FROM j WHERE content_hash <> '') WHERE r_ = 1 UNION ALL SELECT *, 1 FROM j WHERE coalesce(content_hash, '') = ''),
   top AS (SELECT *, row_number() OVER (ORDER BY score DESC NULLS LAST, stars DESC NULLS LAST, id) AS o FROM one ORDER BY o LIMIT 160),

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import compile_query, owner_of, snippet_of
 from corpusmill.operators import filters as fl
 from corpusmill.operators import fusion
 from corpusmill.operators import search as sr
-from corpusmill.operators.latest import latest
+from corpusmill.operators.latest import current_rows, latest
 from corpusmill.runtime import materialise
 
 DETAIL = ("repo", "path", "name", "description", "source_kind", "license", "score", "content_hash", "risk_level", "valid")
@@ -56,6 +57,39 @@ def candidates(skills: DataFrame, repos: DataFrame, query: str, filters: Mapping
     return rows.filter(fl.request_filter(filters or {}, rows.columns, now)), n
 
 
+@dataclass(frozen=True)
+class Serving:
+    """What a search reads: postings sorted by term, documents without texts, and the corpus's size and average length."""
+
+    postings: DataFrame
+    documents: DataFrame
+    corpus: tuple[int, float]
+
+    def candidates(self, query: str, filters: Mapping[str, Any] | None = None, now: Column | None = None) -> tuple[DataFrame, int]:
+        """Like :func:`candidates`, from the documents that match; others aren't read beyond their ids."""
+        hits, n = sr.match_index(self.postings, query)
+        rows = sr.bm25(hits.join(self.documents, "id"), n, self.corpus).filter(sr.matches(False) & F.col("_repo"))
+        return rows.filter(fl.request_filter(filters or {}, rows.columns, now)), n
+
+
+def build_serving(skills: DataFrame, repos: DataFrame, at: str | None, path: str) -> None:
+    """Write the tables of :class:`Serving` below ``path``: once per state of the corpus, read by every search."""
+    keep = [c for c in DETAIL if c in skills.columns]
+    current = current_rows(skills, "id", at, [*dict.fromkeys([*keep, *sr.FIELD_WEIGHTS])]) if at else skills
+    sr.write_index(current, "id", path)
+    stats = current.sparkSession.read.parquet(f"{path}/stats")
+    r = repos.select(F.col("full_name").alias("repo"), F.col("license").alias("repo_license"), *REPO_DETAIL, F.lit(True).alias("_known"))
+    rows = current.select("id", *keep).join(stats, "id").join(r, "repo", "left").withColumn("_repo", F.coalesce("_known", F.lit(False))).drop("_known")
+    rows.write.mode("overwrite").parquet(f"{path}/documents")
+    stats.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avg")).write.mode("overwrite").parquet(f"{path}/corpus")
+
+
+def open_serving(spark: SparkSession, path: str) -> Serving:
+    """The tables that :func:`build_serving` wrote."""
+    size = spark.read.parquet(f"{path}/corpus").first()
+    return Serving(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/documents"), (size["n"], size["avg"]))
+
+
 def details(skills: DataFrame, at: str | None) -> DataFrame:
     """Current documents without their texts."""
     keep = [c for c in DETAIL if c in skills.columns]
@@ -82,18 +116,18 @@ def best_of(rows: DataFrame, score: str, k: int, max_per_repo: int | None, cut_f
 def search(skills: DataFrame, repos: DataFrame, query: str, *, limit: int = 20, filters: Mapping[str, Any] | None = None, now: Column | None = None,
            vectors: tuple[DataFrame, Sequence[float]] | None = None, quality_weight: float = 0.5, max_per_repo: int | None = 3,
            authors: DataFrame | None = None, index: tuple[DataFrame, DataFrame] | None = None, snippets: bool = False,
-           at: str | None = None, cut_first: bool = False) -> DataFrame:
+           at: str | None = None, cut_first: bool = False, serving: Serving | None = None) -> DataFrame:
     """The ``limit`` best documents for a text: (pos, id, rank, matched_by, duplicates, detail...).
 
     vectors: ((id, embedding) rows, query vector) adds a channel of neighbours.
     Matches of all terms are ranked, or of any term if these are too few. Copies
     are collapsed over all matches before each channel's best ``limit * 5`` are
     fused; quality reorders what was found. cut_first: see :func:`best_of`.
+    serving: tables of :func:`build_serving`, of the same state of ``skills``; only
+        postings and documents of the query's terms are read then.
     """
-    rows, _ = candidates(skills, repos, query, filters, now, index, at)
-    rows = materialise(rows, "candidates")
-    chosen = rows.filter(sr.matches(sr.choose_mode(rows)))
-    kw = best_of(chosen, "bm25", limit * 5, max_per_repo, cut_first)
+    rows, _ = serving.candidates(query, filters, now) if serving else candidates(skills, repos, query, filters, now, index, at)
+    kw = materialise(best_of(sr.choose(rows), "bm25", limit * 5, max_per_repo, cut_first), "keyword").coalesce(1)  # a page's worth, which is ranked in one task
     channels = {"keyword": kw.select("id", "pos")}
     counted = [] if cut_first else ["duplicates"]
     found = kw.select("id", *[c for c in rows.columns if c in (*DETAIL, "stars")], *counted)
@@ -102,7 +136,7 @@ def search(skills: DataFrame, repos: DataFrame, query: str, *, limit: int = 20,
         near = sr.vector_top_k(vec_rows, "id", "embedding", q, limit * 5 if cut_first else None)
         known = joined(details(skills, at), repos)
         near = near.join(known.filter(fl.request_filter(filters or {}, known.columns, now)), "id")
-        near = best_of(near, "similarity", limit * 5, max_per_repo, cut_first)
+        near = materialise(best_of(near, "similarity", limit * 5, max_per_repo, cut_first), "near").coalesce(1)
         channels["vector"] = near.select("id", "pos")
         found = fusion.merge_channels(found, near.select(*found.columns), "id")
     stood_for = found.select("id", F.col("duplicates").alias("_copies")) if counted else None
