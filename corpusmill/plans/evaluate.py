@@ -49,7 +49,12 @@ def known_item_ranks(documents: DataFrame, queries: DataFrame, k: int = 10) -> D
     """
     postings, stats = build_index(documents, "id", FIELDS)
     postings = materialise(postings, "postings")
-    hits = batch_bm25(postings, stats, queries, k).join(documents.select("id", F.col("content_hash").alias("_h")), "id")
+    return ranks_of(batch_bm25(postings, stats, queries, k), documents, queries)
+
+
+def ranks_of(hits: DataFrame, documents: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, rank) of results (qid, id, pos): the first that is the query's own document or a copy of it."""
+    hits = hits.join(documents.select("id", F.col("content_hash").alias("_h")), "id")
     truth = queries.select("qid", F.col("id").alias("_id"), F.col("content_hash").alias("_t"))
     same = (F.col("id") == F.col("_id")) | F.coalesce((F.col("_h") == F.col("_t")) & (F.col("_t") != ""), F.lit(False))
     return truth.join(hits, "qid", "left").groupBy("qid").agg(F.min(F.when(same, F.col("pos"))).alias("rank"))
@@ -82,6 +87,50 @@ def variants(query: str) -> dict[str, str]:
     return {"reordered": " ".join(reversed(words)), "filler": f"{FILLER[0]} {FILLER[1]} {query}", "shortened": " ".join(words[:-1]) or query}
 
 
+def batch_variants(words: Column) -> Column:
+    """Array of (variant, words) of a query given as words: as it is, and as :func:`variants` says it."""
+    filler = F.array(*[F.lit(w) for w in " ".join(FILLER).split()])
+    shorter = F.when(F.size(words) > 1, F.slice(words, 1, F.size(words) - 1)).otherwise(words)
+    said = {"base": words, "reordered": F.reverse(words), "filler": F.concat(filler, words), "shortened": shorter}
+    return F.array(*[F.struct(F.lit(k).alias("variant"), v.alias("words")) for k, v in said.items()])
+
+
+def robustness(index: tuple[DataFrame, DataFrame], queries: DataFrame, k: int = 10) -> DataFrame:
+    """(variant, n, overlap): how much of each query's first ``k`` results its variants find as well, on average.
+
+    queries: (qid, words). All variants of all queries run in one batch.
+    """
+    asked = queries.select("qid", F.explode(batch_variants(F.col("words"))).alias("_v"))
+    asked = asked.select(F.struct(F.col("qid").alias("q"), F.col("_v.variant").alias("variant")).alias("qid"), "_v.words")
+    hits = batch_bm25(*index, asked, k).groupBy("qid").agg(F.collect_set("id").alias("ids")).select("qid.q", "qid.variant", "ids")
+    base = hits.filter("variant = 'base'").select("q", F.col("ids").alias("_base"))
+    both = base.join(asked.select("qid.q", "qid.variant").filter("variant <> 'base'"), "q").join(hits, ["q", "variant"], "left")
+    share = overlap(F.col("_base"), F.coalesce("ids", F.array().cast(hits.schema["ids"].dataType)))
+    return both.groupBy("variant").agg(F.count("*").alias("n"), F.avg(share).alias("overlap"))
+
+
+def suite(documents: DataFrame, queries: DataFrame, k: int = 10, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(measure, value): the whole evaluation of keyword retrieval, one row a measure.
+
+    documents: (id, content_hash, category, name, description). queries: (qid, words,
+    id, content_hash, category). Known items (recall and reciprocal rank), coverage
+    (share of queries that find nothing), coherence (share of hits of the query's
+    own category) and robustness (overlap of each variant).
+    """
+    postings, stats = index or build_index(documents, "id", FIELDS)
+    postings, stats = materialise(postings, "postings"), materialise(stats, "stats")
+    hits = materialise(batch_bm25(postings, stats, queries, k), "hits")
+    ranks = rank_metrics(ranks_of(hits, documents, queries), "rank")
+    known = ranks.select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value"))
+                                             for c in ("n", "recall_1", "recall_3", "recall_5", "recall_10", "mrr")])).alias("_m")).select("_m.*")
+    found = queries.select("qid").join(hits.groupBy("qid").agg(F.count("*").alias("n")), "qid", "left")
+    empty = coverage(found.withColumn("n", F.coalesce("n", F.lit(0))), "n").select(F.lit("empty").alias("measure"), F.col("empty").alias("value"))
+    kinds = hits.join(documents.select("id", F.col("category").alias("_c")), "id").join(queries.select("qid", "category").filter("category <> ''"), "qid")
+    own = coherence(kinds, "category", "_c").agg(F.lit("coherence").alias("measure"), F.avg("coherence").alias("value"))
+    held = robustness((postings, stats), queries, k).select(F.concat(F.lit("robust_"), "variant").alias("measure"), F.col("overlap").alias("value"))
+    return known.unionByName(empty).unionByName(own).unionByName(held)
+
+
 def mean_overlap(base: Column, other: Column) -> Column:
     """Share of the base list that the other list has."""
     return overlap(base, other)

@@ -859,6 +859,56 @@ def eval_known_item_ranks(spark, d):
     return ev.known_item_ranks(s, asked)
 
 
+_ASKED = "list_distinct(td[1:8])"
+_BATCH = f"""{BOTH}, tk AS (SELECT id, content_hash, category, {_KW('name')} AS tn, {_KW('description')} AS td FROM cur), st AS (SELECT id, len(tn) + len(td) AS dl FROM tk),
+  po AS (SELECT id, term, sum(w) AS f FROM (SELECT id, unnest(tn) AS term, 10.0::DOUBLE AS w FROM tk UNION ALL SELECT id, unnest(td), 6.0 FROM tk) GROUP BY 1, 2),
+  dn AS (SELECT term, count(*) AS n FROM po GROUP BY 1), tot AS (SELECT count(*) AS big, avg(dl) AS a FROM st), q0 AS (SELECT id AS q, td[1:8] AS ws FROM tk WHERE id % 50 = 0),
+  qv AS (SELECT q, 'base' AS variant, ws FROM q0 UNION ALL SELECT q, 'reordered', list_reverse(ws) FROM q0 UNION ALL SELECT q, 'filler', list_concat(['please', 'help', 'me', 'with'], ws) FROM q0
+    UNION ALL SELECT q, 'shortened', CASE WHEN len(ws) > 1 THEN ws[1:len(ws) - 1] ELSE ws END FROM q0), qs AS (SELECT q, variant, unnest(list_distinct(ws)) AS term FROM qv),
+  sc AS (SELECT q, variant, po.id, round(sum((CASE WHEN ln((big - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((big - n + 0.5) / (n + 0.5)) END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / a))), 9) AS s
+    FROM qs JOIN po USING (term) JOIN dn USING (term) JOIN st ON st.id = po.id, tot GROUP BY 1, 2, 3),
+  top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q, variant ORDER BY s DESC, id) AS pos FROM sc) WHERE pos <= 10),
+  sets AS (SELECT q, variant, list(id) AS ids FROM top GROUP BY 1, 2),
+  rob AS (SELECT v.variant, count(*) AS n, avg(len(list_intersect(b.ids, coalesce(s.ids, []))) / len(b.ids)::DOUBLE) AS overlap FROM sets b JOIN qv v ON v.q = b.q AND v.variant <> 'base'
+    LEFT JOIN sets s ON s.q = v.q AND s.variant = v.variant WHERE b.variant = 'base' GROUP BY 1)"""
+
+
+def _asked(spark, d):
+    """Documents, and every fiftieth of them as a query of its description's first words."""
+    s = materialise(skills(spark, d, "content_hash", "category", "name", "description"), "documents")
+    words = F.slice(tx.tokens(F.col("description")), 1, 8)
+    return s, s.filter(F.col("id") % 50 == 0).select(F.col("id").alias("qid"), words.alias("words"), "id", "content_hash", "category")
+
+
+@query(f"{_BATCH} SELECT q AS qid, id, pos FROM top WHERE variant = 'base'")
+def search_batch(spark, d):
+    """The first ten results of every fiftieth document's description, all queries in one batch."""
+    s, asked = _asked(spark, d)
+    postings, stats = sr.build_index(s, "id", ev.FIELDS)
+    return sr.batch_bm25(materialise(postings, "postings"), stats, asked, 10).select("qid", "id", "pos")
+
+
+@query(f"{_BATCH} SELECT variant, n, round(overlap, 9) AS overlap FROM rob")
+def eval_robustness(spark, d):
+    s, asked = _asked(spark, d)
+    postings, stats = sr.build_index(s, "id", ev.FIELDS)
+    return ev.robustness((materialise(postings, "postings"), stats), asked).withColumn("overlap", F.round("overlap", 9))
+
+
+@query(f"""{_BATCH}, rk AS (SELECT t.id, min(CASE WHEN top.id = t.id OR coalesce(c.content_hash = t.content_hash AND t.content_hash <> '', false) THEN pos END) AS r
+    FROM tk t LEFT JOIN top ON top.q = t.id AND variant = 'base' LEFT JOIN tk c ON c.id = top.id WHERE t.id % 50 = 0 GROUP BY 1),
+  em AS (SELECT avg((coalesce(n, 0) = 0)::INT) AS e FROM q0 LEFT JOIN (SELECT q, count(*) AS n FROM top WHERE variant = 'base' GROUP BY 1) USING (q)),
+  ch AS (SELECT avg(c) AS v FROM (SELECT o.category, avg(coalesce(h.category = o.category, false)::INT) AS c FROM top JOIN tk o ON o.id = top.q JOIN tk h ON h.id = top.id WHERE variant = 'base' AND o.category <> '' GROUP BY 1))
+  SELECT measure, round(value, 9) AS value FROM (SELECT 'n' AS measure, count(*)::DOUBLE AS value FROM rk UNION ALL SELECT 'recall_1', avg(coalesce(r <= 1, false)::INT) FROM rk
+    UNION ALL SELECT 'recall_3', avg(coalesce(r <= 3, false)::INT) FROM rk UNION ALL SELECT 'recall_5', avg(coalesce(r <= 5, false)::INT) FROM rk
+    UNION ALL SELECT 'recall_10', avg(coalesce(r <= 10, false)::INT) FROM rk UNION ALL SELECT 'mrr', avg(coalesce(1.0::DOUBLE / r, 0)) FROM rk
+    UNION ALL SELECT 'empty', e FROM em UNION ALL SELECT 'coherence', v FROM ch UNION ALL SELECT 'robust_' || variant, overlap FROM rob)""")
+def eval_suite(spark, d):
+    """Known items, coverage, coherence and robustness through real searches."""
+    s, asked = _asked(spark, d)
+    return ev.suite(s, asked).withColumn("value", F.round("value", 9))
+
+
 @query(f"""{BOTH} SELECT count(*) FILTER (v AND s) AS tp, count(*) FILTER (NOT v AND s) AS fp, count(*) FILTER (v AND NOT s) AS fn, count(*) FILTER (NOT v AND NOT s) AS tn,
   round(count(*) FILTER (v AND s) / nullif(count(*) FILTER (s), 0)::DOUBLE, 6) AS precision, round(count(*) FILTER (v AND s) / nullif(count(*) FILTER (v), 0)::DOUBLE, 6) AS recall
   FROM (SELECT coalesce(risk_level, 'none') IN ('high', 'critical') AS v, coalesce(score < 45, false) AS s FROM cur)""")
