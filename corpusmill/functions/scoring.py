@@ -96,8 +96,12 @@ def mid_rank(quantiles: Column, value: Column) -> Column:
     return F.when(quantiles.isNotNull() & v.isNotNull(), place)
 
 
-def repo_parts(now: Column, q, w: Weights = Weights()) -> dict[str, list[Part]]:
-    """Components of a repository's score. ``q(metric)`` gives the boundary array of a metric."""
+def repo_parts(now: Column, q, w: Weights = Weights(), released: Column | None = None) -> dict[str, list[Part]]:
+    """Components of a repository's score. ``q(metric)`` gives the boundary array of a metric.
+
+    released: time of the last release; where it is unknown its weight goes to the others.
+    """
+    since_release = days_since(released, now) if released is not None else F.lit(None).cast("double")
     c = F.col
     pct = lambda metric, col: mid_rank(q(metric), col)
     age, pushed = days_since(c("created_at"), now), days_since(c("pushed_at"), now)
@@ -111,6 +115,7 @@ def repo_parts(now: Column, q, w: Weights = Weights()) -> dict[str, list[Part]]:
                        ("subscribers", pct("subscribers", c("subscribers")), 0.15)],
         "momentum": [("stars_per_day", pct("stars_per_day", per_day), 0.65), ("push_recency", recency(pushed, w.push_halflife), 0.35)],
         "maintenance": [("push_recency", recency(pushed, w.push_halflife), 0.50),
+                        ("release_recency", recency(since_release, w.release_halflife), 0.20),
                         ("release_count", pct("releases", c("releases")), 0.10),
                         ("issues_enabled", flag(F.coalesce(c("has_issues"), F.lit(False))), 0.10),
                         ("issue_load", 1.0 - F.when(load.isNull() | (load == 0.0), F.lit(0.5)).otherwise(load), 0.10)],

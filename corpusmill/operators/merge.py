@@ -7,6 +7,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.operators.ranks import global_rank
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], rules: Mapping[str, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
     """Full outer merge of two snapshots with unique keys, column by column.
@@ -103,6 +105,23 @@ def take(queue: DataFrame, repos: DataFrame, k: int, by_score: bool = True, most
     return open_.orderBy(*order, F.col("full_name")).limit(k)
 
 
+def swept(queue: DataFrame, repos: DataFrame) -> DataFrame:
+    """The queue with ``place`` (from 0), how a sweep goes through it: by priority, then by score, then by name."""
+    rows = queue.join(repos.select("full_name", "repo_score"), "full_name", "left")
+    return global_rank(rows, [], [F.col("priority").desc(), F.coalesce("repo_score", F.lit(0.0)).desc(), F.col("full_name")], "place")
+
+
+def mark_repos(repos: DataFrame, done: DataFrame) -> DataFrame:
+    """Repositories with the crawl that ``done`` (full_name, crawled_at, error, tree_sha) reports; a failed one keeps its tree."""
+    d = done.select("full_name", "crawled_at", "error", F.col("tree_sha").alias("_tree"))
+    joined = repos.join(d, "full_name", "left")
+    said = F.col("crawled_at").isNotNull()
+    return (joined.withColumn("last_crawled", F.coalesce("crawled_at", "last_crawled"))
+            .withColumn("last_error", F.when(said, F.col("error")).otherwise(F.col("last_error")))
+            .withColumn("tree_sha", F.when(said & F.col("error").isNull(), F.coalesce("_tree", "tree_sha")).otherwise(F.col("tree_sha")))
+            .select(*repos.columns))
+
+
 def touch(queue: DataFrame, taken: DataFrame) -> DataFrame:
     """The queue with one attempt more for the requests taken."""
     marks = taken.select("full_name").distinct().withColumn("_t", F.lit(1))
@@ -130,6 +149,12 @@ def spread_to_copies(rows: DataFrame, decisions: DataFrame, key: str, columns: S
     return joined.select(*[c for c in rows.columns if c not in columns], *out)
 
 
+def get(kv: DataFrame, key: str, default: str | None = None) -> str | None:
+    """The value of one entry of a key-value table."""
+    row = kv.filter(F.col("key") == key).select("value").first()
+    return row[0] if row else default
+
+
 def put(kv: DataFrame, key: str, value: str, at: Column) -> DataFrame:
     """A key-value table with one entry set."""
     new = kv.sparkSession.range(1).select(F.lit(key).alias("key"), F.lit(value).alias("value"), at.alias("computed_at"))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.runtime import cores, materialise
+from corpusmill.runtime import materialise, tasks_for
 
 
 def prefix_sums(df: DataFrame, within: Sequence[str], order: Sequence[Column], weights: Mapping[str, Column],
@@ -22,8 +22,7 @@ def prefix_sums(df: DataFrame, within: Sequence[str], order: Sequence[Column], w
     where that matters. Weights must not be null. Columns named like an output
     are replaced.
     """
-    spark = df.sparkSession
-    n = partitions or cores(spark)
+    n = partitions or tasks_for(df)
     kept = [c for c in df.columns if c not in weights]
     w = {out: f"_w{i}" for i, out in enumerate(weights)}
     keyed = df.select(*kept, *[weights[out].alias(w[out]) for out in weights])

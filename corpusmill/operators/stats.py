@@ -77,7 +77,10 @@ def top_groups(df: DataFrame, group: str, value: str, k: int, out: str = "total"
 
 
 def upper_bound(k: int, n: int, confidence: float = 0.95) -> float:
-    """Exact (Clopper-Pearson) upper bound of a rate after k cases in n draws; 1 for no draws."""
+    """Exact (Clopper-Pearson) upper bound of a rate after k cases in n draws; 1 for no draws.
+
+    Two-sided, but after no case at all one-sided, as there is nothing below.
+    """
     if n <= 0:
         return 1.0
     if k >= n:

@@ -40,7 +40,7 @@ def q(metric: str) -> Column:
 def score_repos(repos: DataFrame, bounds: DataFrame, now: Column, w: s.Weights = s.Weights()) -> DataFrame:
     """Repositories with ``repo_base``, ``repo_trust`` and ``new_score`` (0..100)."""
     rows = repos.crossJoin(F.broadcast(bounds))
-    rows = rows.withColumn("repo_base", s.repo_base(s.repo_parts(now, q, w), w)).withColumn("repo_trust", s.trust(w))
+    rows = rows.withColumn("repo_base", s.repo_base(s.repo_parts(now, q, w, F.col("released_at") if "released_at" in rows.columns else None), w)).withColumn("repo_trust", s.trust(w))
     return rows.withColumn("new_score", F.round(100.0 * F.col("repo_base") * F.col("repo_trust"), 2)).drop("_q")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -22,12 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is missing (tests, a laptop) a temporary folder of
-    this machine takes its place; it is removed when Python ends.
+    Only where the setting is missing and the master is local (tests, a laptop) a
+    temporary folder of this machine takes its place; it is removed when Python
+    ends. On a cluster its executors would write to disks of their own, so there
+    the missing setting is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = tempfile.mkdtemp(prefix="corpusmill-")
@@ -93,6 +98,18 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def tasks_for(df: DataFrame, bytes_each: int = 128 << 20) -> int:
+    """Partitions for a sort by hand of ``df``: as many as the session has, or more if its sources hold more.
+
+    Sources are taken at the size Spark knows before it reads them; those of unknown
+    size (rows made in the driver) don't count.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(x for x in sizes if x < 1 << 60)
+    return max(cores(df.sparkSession), -(-known // bytes_each))
+
+
 def cores(spark: SparkSession) -> int:
     """Partitions for work that is spread by hand; follows the session."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

@@ -15,13 +15,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import repo_links
+from corpusmill.functions.text import next_link, repo_links
+from corpusmill.operators.latest import latest
 from corpusmill.schema import EVENTS
 
 # Event types that tell of changed repositories.
 EVENT_TYPES = ("PushEvent", "CreateEvent", "ReleaseEvent")
 WIDE_EVENT_TYPES = (*EVENT_TYPES, "PublicEvent", "ForkEvent", "PullRequestEvent")
-NOT_OWNERS = ("topics", "features", "sponsors", "about", "apps", "orgs", "marketplace", "settings", "search", "login", "explore", "site")
+NOT_OWNERS = ("topics", "features", "sponsors", "about", "apps", "orgs", "marketplace", "settings", "search", "login", "explore", "site", "collections", "pricing")
 API_ROW = ("full_name string, name string, owner struct<login:string,type:string>, default_branch string, description string, homepage string, "
            "language string, stargazers_count bigint, forks_count bigint, subscribers_count bigint, open_issues_count bigint, size bigint, "
            "license struct<spdx_id:string>, topics array<string>, created_at timestamp, updated_at timestamp, pushed_at timestamp, fork boolean, "
@@ -167,9 +168,17 @@ def archives(spark: SparkSession, path: str, pattern: str = "*.tar.gz") -> DataF
 
 
 def owned_files(documents: DataFrame, files: DataFrame) -> DataFrame:
-    """(repo, path, file): each bundled file with the document whose folder is its longest prefix, inside one repository."""
-    folders = documents.select("repo", F.col("path"), F.regexp_replace("path", "[^/]*$", "").alias("_dir"))
-    joined = files.select("repo", F.col("path").alias("file")).join(folders, "repo").filter(F.col("file").startswith(F.col("_dir")) & (F.col("file") != F.col("path")))
+    """(repo, path, file): each bundled file with the document whose folder is its longest prefix, inside one repository.
+
+    A file asks each of its own folders, of which a path has few, for a document; folders and
+    documents meet by equality, so no file meets all documents of a large repository.
+    """
+    folder = F.regexp_replace("path", "[^/]*$", "")
+    homes = documents.select("repo", "path", folder.alias("_dir"))
+    parts = F.split(folder, "/")  # ends with an empty one
+    ups = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    asked = files.select("repo", F.col("path").alias("file"), F.explode(ups).alias("_up")).withColumn("_dir", F.when(F.col("_up") == "", "").otherwise(F.concat("_up", F.lit("/"))))
+    joined = asked.drop("_up").join(homes, ["repo", "_dir"]).filter(F.col("file") != F.col("path"))
     return joined.groupBy("repo", "file").agg(F.max_by("path", F.length("_dir")).alias("path")).select("repo", "path", "file")
 
 
@@ -178,6 +187,39 @@ def hour_names(now: datetime, hours: int, lag: int = 1) -> list[str]:
     return [f"{t:%Y-%m-%d}-{t.hour}" for t in (now - timedelta(hours=lag + i) for i in range(hours))]
 
 
+def next_page(header: Column) -> Column:
+    """Number of the next page that a Link header names, null if there is none."""
+    return F.regexp_extract(next_link(header), r"[?&]page=([0-9]+)", 1).try_cast("int")
+
+
+def last_page(header: Column) -> Column:
+    """Number of the last page that a Link header names, null if there is none."""
+    return F.regexp_extract(next_link(header, "last"), r"[?&]page=([0-9]+)", 1).try_cast("int")
+
+
+def unless_changed(answers: DataFrame, known: DataFrame, key: str = "url") -> tuple[DataFrame, DataFrame]:
+    """(answers with news, known entity tags afterwards) of conditional requests.
+
+    answers: (key, status, etag, body, at). A 304 repeats what is known; of several
+    answers for a key the latest counts.
+    """
+    latest_ = latest(answers, key, "at", [c for c in answers.columns if c not in (key, "at")] + ["at"])
+    fresh = latest_.filter((F.col("status") == 200) & F.col("body").isNotNull())
+    joined = fresh.join(known.select(key, F.col("etag").alias("_etag")), key, "left")
+    news = joined.filter(F.col("etag").isNull() | ~F.col("etag").eqNullSafe(F.col("_etag"))).drop("_etag")
+    tags = known.join(fresh.select(key), key, "left_anti").select(key, "etag").unionByName(fresh.filter("etag IS NOT NULL").select(key, "etag"))
+    return news, tags
+
+
+# How files that run end.
+RUNNABLE = (".py", ".sh", ".bash", ".zsh", ".js", ".mjs", ".ts", ".rb", ".pl", ".ps1", ".bat", ".cmd", ".php", ".lua")
+
+
+def runnable(path: str) -> bool:
+    """Whether a bundled file is one that runs."""
+    return path.lower().endswith(RUNNABLE)
+
+
 def date_shards(first: date, last: date, count, most: int = 1000) -> list[tuple[date, date]]:
     """Date ranges whose count is at most ``most`` (or that are one day), by halving: partitions of a limited search."""
     out, stack = [], [(first, last)]

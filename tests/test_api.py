@@ -42,3 +42,29 @@ def test_no_filter_shows_a_critical_row(api):
     for f in ({}, {"include_forks": True}, {"include_archived": True, "valid_only": False}, {"min_score": 1.0}):
         got = {r["id"] for r in browse(api.skills, api.repos, limit=1000, filters=f, now=F.current_timestamp()).select("id").collect()}
         assert not got & critical
+
+
+def test_more_routes_tools_and_server(api):
+    import json
+    import threading
+    import urllib.request
+
+    some = api.skills.filter("category IS NOT NULL").select("id", "repo", "path", "category").first()
+    assert ap.handle(api, f"/api/skill/{some['id']}/raw", {})[0] == 200
+    assert ap.handle(api, f"/api/skill-at/{some['repo']}/{some['path']}", {})[1]["path"] == some["path"]
+    assert any(x["id"] == some["id"] for x in ap.handle(api, f"/api/repo/{some['repo']}", {})[1]["documents"])
+    assert ap.handle(api, f"/api/category/{some['category']}", {"limit": "3"})[0] == 200
+    assert len(ap.handle(api, "/api/authors", {"limit": "4"})[1]) == 4
+    assert {t["name"] for t in ap.call(api, {"id": 1, "method": "tools/list"})["result"]["tools"]} == set(ap.TOOLS)
+    told = ap.call(api, {"id": 2, "method": "tools/call", "params": {"name": "get_skill", "arguments": {"id": some["id"]}}})
+    assert json.loads(told["result"]["content"][0]["text"])["id"] == some["id"]
+    assert ap.call(api, {"id": 3, "method": "tools/call", "params": {"name": "get_skill"}})["error"]["code"] == -32602
+    assert ap.call(api, {"id": 4, "method": "nothing"})["error"]["code"] == -32601
+    server = ap.serve(api, 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    where = f"http://127.0.0.1:{server.server_address[1]}"
+    assert json.load(urllib.request.urlopen(where + "/api/stats"))["skills"] == api.skills.count()
+    ask = urllib.request.Request(where + "/tools", data=b'{"id": 1, "method": "initialize"}')
+    assert json.load(urllib.request.urlopen(ask))["result"]["serverInfo"]["name"] == "corpusmill"
+    server.shutdown()
+    server.server_close()

@@ -4,6 +4,7 @@ import json
 import tarfile
 from datetime import date, datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import stats as st
@@ -130,3 +131,49 @@ def test_release(spark, tmp_path):
     assert [r[0] for r in spark.read.parquet(f"{tmp_path}/repos").collect()] == ["a/b"]
     assert spark.read.parquet(f"{tmp_path}/index/postings").count() > 0
     assert st.tally(skills, "risk_level").count() == 2
+
+
+def test_pages_tags_and_owned_files(spark):
+    from corpusmill.sources import files as fs
+
+    df = spark.createDataFrame([('<https://x/a?page=3&n=1>; rel="next", <https://x/a?n=1&page=9>; rel="last"',), (None,)], "h string")
+    assert [tuple(r) for r in df.select(fs.next_page(F.col("h")), fs.last_page(F.col("h"))).collect()] == [(3, 9), (None, None)]
+    at = F.timestamp_seconds("at")
+    answers = spark.createDataFrame([("u", 200, "e2", "new", 2), ("u", 200, "e1", "old", 1), ("v", 304, "f1", None, 2), ("w", 200, "g1", "same", 1)],
+                                    "url string, status int, etag string, body string, at int").withColumn("at", at)
+    known = spark.createDataFrame([("u", "e1"), ("v", "f1"), ("w", "g1")], "url string, etag string")
+    news, tags = fs.unless_changed(answers, known)
+    assert [r["body"] for r in news.collect()] == ["new"]
+    assert {r["url"]: r["etag"] for r in tags.collect()} == {"u": "e2", "v": "f1", "w": "g1"}
+    docs = spark.createDataFrame([("r", "SKILL.md"), ("r", "a/b/SKILL.md"), ("r", "a/SKILL.md"), ("q", "a/SKILL.md")], "repo string, path string")
+    files = spark.createDataFrame([("r", "a/b/scripts/x.py"), ("r", "a/c/y.py"), ("r", "z.py"), ("q", "b/z.py"), ("r", "a/SKILL.md")], "repo string, path string")
+    got = {(r["repo"], r["file"]): r["path"] for r in fs.owned_files(docs, files).collect()}
+    assert got == {("r", "a/b/scripts/x.py"): "a/b/SKILL.md", ("r", "a/c/y.py"): "a/SKILL.md", ("r", "z.py"): "SKILL.md", ("r", "a/SKILL.md"): "SKILL.md"}
+    assert fs.runnable("a/B.SH") and not fs.runnable("a/b.md")
+
+
+def test_sweeps_marks_and_values(spark):
+    from corpusmill.operators import merge as mg
+
+    queue = spark.createDataFrame([("a", 1), ("b", 5), ("c", 5), ("d", 5)], "full_name string, priority int")
+    repos = spark.createDataFrame([("a", 9.0, None, None, "t0"), ("b", 1.0, None, None, "t1"), ("c", 3.0, None, "x", None)],
+                                  "full_name string, repo_score double, last_crawled timestamp, last_error string, tree_sha string")
+    assert [r["full_name"] for r in mg.swept(queue, repos).orderBy("place").collect()] == ["c", "b", "d", "a"]
+    done = spark.createDataFrame([("a", 1, "boom", "t9"), ("c", 1, None, "t5")], "full_name string, crawled_at int, error string, tree_sha string")
+    got = {r["full_name"]: r for r in mg.mark_repos(repos, done.withColumn("crawled_at", F.timestamp_seconds("crawled_at"))).collect()}
+    assert (got["a"]["last_error"], got["a"]["tree_sha"]) == ("boom", "t0") and (got["c"]["last_error"], got["c"]["tree_sha"]) == (None, "t5")
+    assert got["b"]["last_crawled"] is None
+    kv = spark.createDataFrame([("k", "v")], "key string, value string")
+    assert mg.get(kv, "k") == "v" and mg.get(kv, "x", "d") == "d"
+
+
+def test_shared_folder_is_demanded_on_a_cluster(spark, monkeypatch):
+    from corpusmill import runtime
+
+    class Other:
+        sparkContext = type("C", (), {"master": "spark://host:7077", "applicationId": "x"})()
+        conf = type("K", (), {"get": staticmethod(lambda *_: None)})()
+
+    with pytest.raises(ValueError):
+        runtime.shared_dir(Other())
+    assert runtime.tasks_for(spark.range(10)) == runtime.cores(spark)
