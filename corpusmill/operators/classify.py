@@ -2,7 +2,8 @@
 
 The taxonomy is data: rows (category, subcategory, pattern); a null subcategory
 makes a pattern the category's own. Everything stays in the JVM: one ``rlike`` per
-pattern and field inside one projection, no join and no UDF.
+field and group of patterns inside one projection, and one per pattern only where that
+matches; no join and no UDF.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.runtime import spread
+
 # What a match in each field counts, how many a description may contribute.
 FIELD_WEIGHTS = {"name": 3.0, "description": 1.0, "path": 1.5, "topics": 2.0}
 MAX_DESCRIPTION = 2
@@ -41,6 +44,7 @@ def anchored(pattern: str) -> str:
 
 def _total(patterns: Sequence[str], fields: Mapping[str, Column], idf: Mapping[str, float]) -> Column:
     total = F.lit(0.0)
+    any_of = "(?iu)" + "|".join(anchored(p).removeprefix("(?iu)") for p in patterns)
     for name, text in fields.items():
         w = FIELD_WEIGHTS.get(name, 1.0)
         hits = [F.when(text.rlike(anchored(p)), F.lit(idf.get(p, 1.0) * w)).otherwise(0.0) for p in patterns]
@@ -49,7 +53,8 @@ def _total(patterns: Sequence[str], fields: Mapping[str, Column], idf: Mapping[s
         values = F.array(*hits)
         if name == "description":
             values = F.slice(F.sort_array(values, asc=False), 1, MAX_DESCRIPTION)
-        total = total + F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+        counted = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+        total = total + F.when(text.rlike(any_of), counted).otherwise(0.0)  # most texts match none, by one expression
     return total
 
 
@@ -65,7 +70,7 @@ def classify(df: DataFrame, fields: Mapping[str, Column], taxonomy: Sequence[tup
     order = list(dict.fromkeys(c for c, _, _ in taxonomy))
     texts = {n: F.coalesce(c, F.lit("")) for n, c in fields.items()}
     own = {c: [p for k, _, p in taxonomy if k == c] for c in order}
-    scored = df.withColumn("_scores", F.array(*[
+    scored = spread(df).withColumn("_scores", F.array(*[
         F.struct(_total(own[c], texts, idf).alias("s"), F.lit(-i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(order)]))
     best = F.array_max("_scores")
     scored = scored.withColumn("_best", best).withColumn("category", F.when(F.col("_best.s") > 0, F.col("_best.c")).otherwise(UNKNOWN))

@@ -764,13 +764,6 @@ def text_hidden(spark, d):
 # --- classification and assessment -----------------------------------------
 
 
-@query()
-def classify_skills(spark, d):
-    s = skills(spark, d, "name", "description", "path")
-    out = cx.classify(s, {"name": F.col("name"), "description": F.col("description"), "path": F.col("path")})
-    return out.select("id", "category", "subcategory", "secondary")
-
-
 def _class_score(patterns: list[str], field: str, w: float) -> list[str]:
     rx = lambda p: cx.anchored(p).replace("(?iu)", "(?i)").replace("\\-", "-")
     return [f"CASE WHEN regexp_matches(coalesce({field}, ''), '{rx(p)}') THEN {w}::DOUBLE ELSE 0 END" for p in patterns]
@@ -781,6 +774,35 @@ _OWNP = {c: [p for k, _, p in cx.DEFAULT if k == c] for c in _TOPS}
 _CSCORE = {c: "(" + " + ".join(_class_score(ps, "name", 3.0) + _class_score(ps, "path", 1.5)) + " + list_sum(list_reverse_sort([" + ", ".join(_class_score(ps, "description", 1.0)) + "])[1:2]))" for c, ps in _OWNP.items()}
 
 
+def _score_sql(patterns: list[str]) -> str:
+    """What patterns score over name, path and description."""
+    return ("(" + " + ".join(_class_score(patterns, "name", 3.0) + _class_score(patterns, "path", 1.5))
+            + " + list_sum(list_reverse_sort([" + ", ".join(_class_score(patterns, "description", 1.0)) + "])[1:2]))")
+
+
+def _sub_sql() -> str:
+    """The best subcategory of the row's category, the first named among equals; null if none scores."""
+    out = []
+    for c in _TOPS:
+        names = list(dict.fromkeys(n for k, n, _ in cx.DEFAULT if k == c and n))
+        each = [(n, _score_sql([p for k, m, p in cx.DEFAULT if k == c and m == n])) for n in names]
+        if each:
+            listed = ", ".join(f"{{'s': -{e}, 'i': {i}, 'c': '{n}'}}" for i, (n, e) in enumerate(each))
+            out.append(f"WHEN category = '{c}' THEN (SELECT CASE WHEN x.s < 0 THEN x.c END FROM (SELECT list_sort([{listed}])[1] AS x))")
+    return "CASE " + " ".join(out) + " END"
+
+
+@query(f"WITH {CUR}, sc AS (SELECT id, name, path, description, " + ", ".join(f"{e} AS s{i}" for i, e in enumerate(_CSCORE.values())) + " FROM cur), b AS (SELECT *, greatest("
+       + ", ".join(f"s{i}" for i in range(len(_TOPS))) + ") AS best FROM sc), k AS (SELECT *, CASE WHEN best = 0 THEN 'uncategorised' "
+       + " ".join(f"WHEN s{i} = best THEN '{c}'" for i, c in enumerate(_TOPS)) + " END AS category FROM b) SELECT id, category, " + _sub_sql()
+       + " AS subcategory, list_transform(list_sort(list_filter([" + ", ".join(f"{{'s': -s{i}, 'i': {i}, 'c': '{c}'}}" for i, c in enumerate(_TOPS))
+       + "], lambda x: x.c <> category AND -x.s >= best * 0.55 AND best > 0))[1:2], lambda x: x.c) AS secondary FROM k")
+def classify_skills(spark, d):
+    s = skills(spark, d, "name", "description", "path")
+    out = cx.classify(s, {"name": F.col("name"), "description": F.col("description"), "path": F.col("path")})
+    return out.select("id", "category", "subcategory", "secondary")
+
+
 @query(f"WITH {CUR}, sc AS (SELECT id, " + ", ".join(f"{e} AS s{i}" for i, e in enumerate(_CSCORE.values())) + " FROM cur), b AS (SELECT *, greatest(" + ", ".join(f"s{i}" for i in range(len(_TOPS)))
        + ") AS best FROM sc) SELECT CASE WHEN best = 0 THEN 'uncategorised' " + " ".join(f"WHEN s{i} = best THEN '{c}'" for i, c in enumerate(_TOPS)) + " END AS category, count(*) AS n FROM b GROUP BY 1")
 def classify_totals(spark, d):
