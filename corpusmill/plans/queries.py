@@ -17,13 +17,13 @@ from corpusmill.operators import fusion as fu
 from corpusmill.operators import merge as mg
 from corpusmill.operators import search as sr
 from corpusmill.operators import stats as st
-from corpusmill.operators.latest import latest
+from corpusmill.operators.latest import current_rows, latest
 from corpusmill.operators.ranks import global_rank
 from corpusmill.plans import evaluate as ev
 from corpusmill.plans import rank as rk
 from corpusmill.plans import release as rl
 from corpusmill.plans import retrieve as rt
-from corpusmill.runtime import materialise, own_dir, table
+from corpusmill.runtime import materialise, own_dir, spread, table
 from corpusmill.sources import files as sf
 from corpusmill.streaming import events as se
 
@@ -288,6 +288,12 @@ def agg_stratified_sample(spark, d):
     return st.stratified_sample(skills(spark, d, "risk_level"), "risk_level", "id", 20)
 
 
+@query(f"WITH {CUR} SELECT risk_level, least(20, count(*)) AS n FROM cur GROUP BY 1")
+def agg_stratified_counts(spark, d):
+    """How many rows the sample has of each stratum: all of a small one, else what was asked for."""
+    return agg_stratified_sample(spark, d).groupBy("risk_level").agg(F.count("*").alias("n"))
+
+
 @query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc,
   round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")
 def agg_pricing(spark, d):
@@ -579,6 +585,16 @@ def search_hashing_embedder(spark, d):
     return from_texts(spark, d, vector=v)
 
 
+@query(f"""WITH {CUR} SELECT count(*) AS n, count(*) FILTER (regexp_matches(lower(concat_ws(chr(10), coalesce(name, ''), coalesce(description, ''), 'repository: ' || repo, coalesce(body, ''))),
+  '[a-z0-9][a-z0-9_+-]')) AS of_length_one FROM cur""")
+def search_embedder_norms(spark, d):
+    """The hashing embedder's vectors have length 1 wherever a text has a word."""
+    s = skills(spark, d, "name", "description", "repo", "body")
+    v = vx.embedder("hashing", dim=512)(tx.embed_text(F.col("name"), F.col("description"), F.col("repo"), F.col("body")))
+    norm = vx.dot(F.col("v"), F.col("v"))
+    return s.select(v.alias("v")).select(norm.alias("n")).agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("n") - 1) < 1e-3).alias("of_length_one"))
+
+
 # --- ranked lists ----------------------------------------------------------
 
 
@@ -761,6 +777,14 @@ def text_hidden(spark, d):
     return t.select("doc_id", tx.hidden_counts(F.col("text")).alias("hidden"), tx.decode_hidden(F.col("text")).alias("says"))
 
 
+_HID = lambda rx: f"length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '{rx}', '', 'g'))"
+
+
+@query(f"""SELECT doc_id, {_HID(r'[\x{E0000}-\x{E007F}]')} AS tags, {_HID(r'[\x{E0100}-\x{E01EF}]')} AS selectors, {_HID(r'[\x{202A}-\x{202E}\x{2066}-\x{2069}]')} AS bidi FROM documents""")
+def text_hidden_counts(spark, d):
+    return table(spark, d, "documents").select("doc_id", tx.hidden_counts(F.col("text")).alias("h")).select("doc_id", "h.*")
+
+
 # --- classification and assessment -----------------------------------------
 
 
@@ -824,6 +848,20 @@ def assess_bodies(spark, d):
     return latest(out.select("id", "last_seen", "verdict.level", "verdict.score", "verdict.capabilities"), "id", "last_seen", ["level", "score", "capabilities"])
 
 
+# Rules that another engine's expressions can say: no look-around.
+_PLAIN_RULES = [x for x in ax.RULES if not any(t in x.pattern for t in ("(?!", "(?=", "(?<"))]
+
+
+@query(f"WITH {CUR} SELECT rule, n FROM (" + " UNION ALL ".join(
+    f"SELECT '{x.name}' AS rule, count(*) FILTER (regexp_matches(coalesce(body, ''), '(?i)' || '{x.pattern.replace(chr(39), chr(39) * 2)}')) AS n FROM cur" for x in _PLAIN_RULES) + ") WHERE n > 0")
+def assess_rule_hits(spark, d):
+    """In how many bodies each rule's expression stands, whatever surrounds it; rules without a look-around."""
+    s = spread(current_rows(table(spark, d, "skills"), "id", "last_seen", ["body"]))
+    counts = s.agg(*[F.count_if(F.coalesce(F.col("body").rlike(f"(?iU){x.pattern}"), F.lit(False))).alias(x.name) for x in _PLAIN_RULES])
+    each = F.explode(F.array(*[F.struct(F.lit(x.name).alias("rule"), F.col(x.name).alias("n")) for x in _PLAIN_RULES]))
+    return counts.select(each.alias("_r")).select("_r.*").filter("n > 0")
+
+
 @query(f"""{BOTH}, j AS (SELECT id, coalesce(risk_level, 'none') AS level, CASE WHEN score < 30 THEN 'serious' WHEN score < 50 THEN 'minor' WHEN score IS NOT NULL THEN 'none' END AS harm, valid <> 1 AS mismatch FROM cur),
   k AS (SELECT *, coalesce(harm = 'serious', false) AS ser, coalesce(mismatch AND harm IN ('minor', 'serious'), false) AS odd, level IN ('medium', 'high') AS primed FROM j),
   v AS (SELECT *, CASE WHEN level = 'critical' AND ser THEN 0.98 WHEN level = 'critical' AND odd THEN 0.96 WHEN ser AND (odd OR NOT primed) THEN 0.95
@@ -995,6 +1033,15 @@ def event_rate_limit(spark, d):
     return se.limited(t, "user_id", "ts", "price", rate=1 / 3600, burst=5.0)
 
 
+@query("""WITH e AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1) SELECT user_id, n AS requests, true AS "within" FROM e""")
+def event_rate_bound(spark, d):
+    """Per client its requests, and whether what was allowed costs no more than the bucket held and was refilled with."""
+    rows = event_rate_limit(spark, d)
+    spent = rows.groupBy("user_id").agg(F.count("*").alias("requests"), F.sum(F.when(F.col("allowed"), F.col("price")).otherwise(0.0)).alias("spent"),
+                                        (F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))).alias("seconds"))
+    return spent.select("user_id", "requests", (F.col("spent") <= 5.0 + (F.col("seconds") + 1) / 3600 + 1e-6).alias("within"))
+
+
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, count(*) AS n FROM events GROUP BY 1")
 def stream_hourly(spark, d):
     """The hourly counts of a stream that reads the table's file and stops."""
@@ -1015,6 +1062,13 @@ def event_candidates(spark, d):
     return sf.split_events(ev_rows, table(spark, d, "repos"), ["plan", "tag"])[1]
 
 
+@query("""SELECT DISTINCT detail AS full_name FROM crawl_log WHERE detail IS NOT NULL AND regexp_matches(lower(detail), 'plan|tag|ing|er') AND detail NOT IN (SELECT full_name FROM repos WHERE archived)""")
+def event_unarchived(spark, d):
+    """Repositories of the log with a hint in their name that aren't known to be archived."""
+    ev_rows = table(spark, d, "crawl_log").select(F.col("detail").alias("repo"))
+    return sf.split_events(ev_rows, table(spark, d, "repos").filter("archived"), ["plan", "tag", "ing", "er"])[1]
+
+
 def queries() -> dict[str, Query]:
     """All queries by name."""
     return dict(_QUERIES)
