@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.entities import html5
@@ -48,7 +49,7 @@ MATH = {"equation", "align", "gather", "multline", "eqnarray", "math", "displaym
 FENCE = re.compile(r"^[^\S\n]*(?:[-*+>][^\S\n]+|\d+[.)][^\S\n]+)*(`{3,}(?=[^`\n]*$)|~{3,})", re.MULTILINE)
 TICKS = re.compile(r"`+")
 TAG = re.compile(r"<(?P<close>/?)(?P<name>[A-Za-z][A-Za-z0-9]*)(?P<rest>(?:\s+(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)?\s*/?)>")
-COMMENT = re.compile(r"<!--.*?-->|<!--(?=[^\n]*$)|<!DOCTYPE[^>]*>", re.DOTALL | re.IGNORECASE)
+DOCTYPE = re.compile(r"<!DOCTYPE[^>]*>", re.IGNORECASE)
 AUTOLINK = re.compile(r"<[A-Za-z][A-Za-z0-9+.\-]+:[^\s<>]*>|<[^\s<>@]+@[^\s<>]+>|(?:https?|ftp)://[^\s<>)\]]+")
 ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 WIKI_LINK = re.compile(r"\[\[(?P<body>[^\[\]\n]+)\]\]")
@@ -61,8 +62,10 @@ COMMAND_OPEN = re.compile(r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{")
 ENVIRONMENT = re.compile(r"\\(?P<what>begin|end)\{(?P<name>[A-Za-z]+\*?)\}(?:\[[^\]\n]*\]|\{[^{}\n]*\})*")
 DISPLAY = re.compile(r"(?<![\\$])\$\$(?!\$)(?P<body>(?:[^$\n]|\n(?![ \t]*\n)|\\\$)+?)\$\$(?!\$)")
 DOLLAR = re.compile(r"(?<![\\$\w])\$(?P<body>[^\s$`](?:(?:[^$`\n\\]|\\.)*?[^\s$`\\])?)\$(?![\w$])")
-PAREN = re.compile(r"(?<!\\)\\\((?P<body>(?:[^\n]|\n(?![ \t]*\n))+?)(?<!\\)\\\)")
-BRACKET = re.compile(r"(?<!\\)\\\[(?P<body>(?:[^\n]|\n(?![ \t]*\n))+?)(?<!\\)\\\]")
+PAREN = (re.compile(r"(?<!\\)\\\("), re.compile(r"(?<!\\)\\\)"))
+BRACKET = (re.compile(r"(?<!\\)\\\["), re.compile(r"(?<!\\)\\\]"))
+BLANK_LINE = re.compile(r"\n(?=[ \t]*\n)")
+BRACES = re.compile(r"\\(?P<name>[A-Za-z]+)\*?(?:\[[^\]\n]*\])?\{|[{}]")
 BLOCKS = (
     ("h", re.compile(r"[ \t]{0,3}#{1,6}(?:\s|$)")), ("li", re.compile(r"\s*(?:[-*+]|\d{1,9}[.)])\s")),
     ("td", re.compile(r"\s*\|")), ("quote", re.compile(r"\s{0,3}>")),
@@ -80,6 +83,77 @@ class Leaf:
     text: str = ""
 
 
+def comments(text: str) -> list[tuple[int, int]]:
+    """Spans of HTML comments and document types; of a comment that is never closed in the last line, its opening."""
+    out, at = [], 0
+    last_close, last_line = text.rfind("-->"), text.rfind("\n", 0, max(0, len(text) - 1)) + 1
+    while (s := text.find("<!--", at)) >= 0:
+        at = s + 4
+        if last_close >= at:
+            at = text.find("-->", at) + 3
+            out.append((s, at))
+        elif s >= last_line:
+            out.append((s, at))
+    inside = [s for s, _ in out]
+    for m in DOCTYPE.finditer(text) if "<!" in text else ():
+        i = bisect_right(inside, m.start()) - 1
+        if i < 0 or m.start() >= out[i][1]:
+            out.append(m.span())
+    return sorted(out)
+
+
+def paired(text: str, marks: tuple[re.Pattern, re.Pattern]) -> list[tuple[int, int]]:
+    """Spans from an opening mark to the next closing one in the same paragraph, each mark looked at once."""
+    opens = [m.start() for m in marks[0].finditer(text)]
+    if not opens:
+        return []
+    closes, blanks = [m.start() for m in marks[1].finditer(text)], [m.start() for m in BLANK_LINE.finditer(text)]
+    out, end = [], 0
+    for s in opens:
+        if s < end:
+            continue
+        c, b = bisect_left(closes, s + 3), bisect_left(blanks, s)
+        if c < len(closes) and (b == len(blanks) or blanks[b] > closes[c]):
+            end = closes[c] + 2
+            out.append((s, end))
+    return out
+
+
+def _swap(text: str, spans: list[tuple[int, int]], by) -> str:
+    """The text with each span replaced by what ``by`` makes of it."""
+    out, at = [], 0
+    for s, e in spans:
+        out += [text[at:s], by(text[s:e])]
+        at = e
+    return "".join([*out, text[at:]])
+
+
+def unwrap_commands(text: str, by) -> str:
+    """Commands with a braced argument replaced by ``by(name, argument)``, inner ones first, in one pass.
+
+    An argument with braces of its own, and a brace that is never closed, leave their command as it is.
+    """
+    stack: list[tuple[str, str | None, list[str]]] = []
+    top: list[str] = []
+    at = 0
+    for m in BRACES.finditer(text):
+        top.append(text[at : m.start()])
+        at = m.end()
+        if m.group() != "}":
+            stack.append((m.group(), m.group("name"), top))
+            top = []
+        elif stack:
+            opening, name, outer = stack.pop()
+            body = "".join(top)
+            plain = name is not None and "{" not in body and "}" not in body
+            outer.append(by(name, body) if plain else opening + body + "}")
+            top = outer
+        else:
+            top.append("}")
+    top.append(text[at:])
+    return "".join([piece for opening, _, outer in stack for piece in (*outer, opening)] + top)
+
+
 def code_spans(text: str) -> list[tuple[int, int, bool]]:
     """(start, end, fenced) of fenced blocks (to the end if never closed) and inline code."""
     out: list[tuple[int, int, bool]] = []
@@ -146,7 +220,9 @@ def residue(text: str, code: list[tuple[int, int, bool]]) -> list[Leaf]:
     plain = blanked(text, [(s, e) for s, e, _ in code])
     out: list[Leaf] = []
     if "\\" in plain or "$" in plain:
-        for rx, name in ((DISPLAY, "display"), (BRACKET, "display"), (PAREN, "inline"), (DOLLAR, "inline")):
+        for marks, name in ((BRACKET, "display"), (PAREN, "inline")):
+            out += [Leaf(a, b, ("latex", name), "latex", plain[a + 2 : b - 2]) for a, b in paired(plain, marks) if plain[a + 2 : b - 2].strip("\0 \n")]
+        for rx, name in ((DISPLAY, "display"), (DOLLAR, "inline")):
             for m in rx.finditer(plain):
                 if m.group("body").strip("\0 \n") and (rx is not DOLLAR or _is_formula(m.group("body"))):
                     out.append(Leaf(*m.span(), ("latex", name), "latex", m.group("body")))
@@ -175,11 +251,11 @@ def residue(text: str, code: list[tuple[int, int, bool]]) -> list[Leaf]:
         else:
             marked = plain
         # A link inside an attribute must not hide its tag, so tags are read from the plain text.
-        taken: list[tuple[int, int]] = []
-        for m in COMMENT.finditer(plain):
-            out.append(Leaf(*m.span(), ("html", "comment"), "html"))
-            taken.append(m.span())
-        tags = [m for m in TAG.finditer(plain) if _is_tag(m, plain) and not any(s <= m.start() < e for s, e in taken)]
+        taken = comments(plain)
+        out += [Leaf(a, b, ("html", "comment"), "html") for a, b in taken]
+        starts = [a for a, _ in taken]
+        commented = lambda at: (i := bisect_right(starts, at) - 1) >= 0 and at < taken[i][1]
+        tags = [m for m in TAG.finditer(plain) if _is_tag(m, plain) and not commented(m.start())]
         stack: list[str] = []
         for i, m in enumerate(tags):
             name = m.group("name").lower()
@@ -348,17 +424,16 @@ def clean(text: str | None, furniture: frozenset[str] = frozenset()) -> str | No
         out += [text[at:s].replace("\x01", "").replace("\x02", ""), hold(text[s:e])]
         at = e
     x = "".join([*out, text[at:].replace("\x01", "").replace("\x02", "")])
-    x = COMMENT.sub("", x)
+    x = _swap(x, comments(x), lambda m: "")
     x = DISPLAY.sub(lambda m: hold(m.group()), x)
-    x = BRACKET.sub(lambda m: hold("$$" + m.group("body") + "$$"), x)
-    x = PAREN.sub(lambda m: hold("$" + m.group("body").strip() + "$"), x)
+    x = _swap(x, paired(x, BRACKET), lambda m: hold("$$" + m[2:-2] + "$$"))
+    x = _swap(x, paired(x, PAREN), lambda m: hold("$" + m[2:-2].strip() + "$"))
     x = re.sub(r"\\begin\{(" + "|".join(sorted(MATH)) + r")(\*?)\}(.*?)\\end\{\1\2\}", lambda m: hold("$$" + m.group(3).strip() + "$$"), x, flags=re.DOTALL)
     x = DOLLAR.sub(lambda m: hold(m.group()) if _is_formula(m.group("body")) else m.group(), x)
     x = ENVIRONMENT.sub("", x)
     x = re.sub(r"^[ \t]*\\item\b[ \t]*(?:\[[^\]\n]*\])?[ \t]*", "- ", x, flags=re.MULTILINE)
-    x = _settled(COMMAND, lambda m: "" if m.group("name") in NAMES else (  # commands inside commands, innermost first
-        "#" * HEADINGS[m.group("name")] + " " + m.group("body") if m.group("name") in HEADINGS
-        else hold("`" + m.group("body") + "`") if m.group("name") in ("texttt", "verb", "lstinline") else m.group("body")), x)
+    x = unwrap_commands(x, lambda name, body: "" if name in NAMES else "#" * HEADINGS[name] + " " + body if name in HEADINGS
+                        else hold("`" + body + "`") if name in ("texttt", "verb", "lstinline") else body)
     x = WIKI_TABLE.sub(lambda m: _table(m.group()), x)
     x = _settled(TEMPLATE, lambda m: _template(m.group("body")), x)
     x = WIKI_LINK.sub(lambda m: m.group() if not re.search(r"[^\W\d_]", m.group("body")) or m.group("body")[:1] in " -!$" else (
@@ -377,7 +452,7 @@ def clean(text: str | None, furniture: frozenset[str] = frozenset()) -> str | No
     x = ENTITY.sub(lambda m: html.unescape(m.group()), x)
     x = re.sub("\x03(\\d+)\x02", lambda m: links[int(m.group(1))], x)
     x = _settled(re.compile("\x01(\\d+)\x02"), lambda m: held[int(m.group(1))], x)  # what is held holds earlier pieces only
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", x)).strip("\n")
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"(?<![ \t])[ \t]+\n", "\n", x)).strip("\n")
 
 
 def _unwrap(x: str, furniture: frozenset[str], hold) -> str:

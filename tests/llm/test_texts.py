@@ -323,3 +323,21 @@ def test_near_leaks_recall_on_the_tables(spark, data):
     want = brute_near(docs, items, 16, 2)
     got = {tuple(r) for r in queries.p9_near(spark, data).collect()}
     assert want and got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_commands_are_unwrapped_like_a_fixed_point():
+    rng = random.Random(12)
+    say = lambda name, body: f"<{body}>" if name == "b" else body
+    for _ in range(3000):
+        text = "".join(rng.choice(["\\a{", "\\b{", "{", "}", "x", " ", "\\c", "\\b*[o]{"]) for _ in range(rng.randrange(14)))
+        want = markup._settled(markup.COMMAND, lambda m: say(m.group("name"), m.group("body")), text)
+        assert markup.unwrap_commands(text, say) == want, text
+
+
+def test_long_markup_takes_linear_time():
+    for piece in ("<!--", "{{", "[[", "''a ", "$a ", "\\c{", "\\(", "\\[", "<a ", '<a x="', "` ", "&amp", " ", "=", "<div>", "{|\n", "~~~\n"):
+        text = piece * (150_000 // len(piece))
+        began = time.process_time()
+        markup.kinds(text)
+        markup.clean(text)
+        assert time.process_time() - began < 5, piece
