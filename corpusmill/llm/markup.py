@@ -432,8 +432,11 @@ def clean(text: str | None, furniture: frozenset[str] = frozenset()) -> str | No
     x = DOLLAR.sub(lambda m: hold(m.group()) if _is_formula(m.group("body")) else m.group(), x)
     x = ENVIRONMENT.sub("", x)
     x = re.sub(r"^[ \t]*\\item\b[ \t]*(?:\[[^\]\n]*\])?[ \t]*", "- ", x, flags=re.MULTILINE)
-    x = unwrap_commands(x, lambda name, body: "" if name in NAMES else "#" * HEADINGS[name] + " " + body if name in HEADINGS
-                        else hold("`" + body + "`") if name in ("texttt", "verb", "lstinline") else body)
+    said = lambda name, body: "" if name in NAMES else "#" * HEADINGS[name] + " " + body if name in HEADINGS else (
+        hold("`" + body + "`") if name in ("texttt", "verb", "lstinline") else body)
+    last = None
+    while x != last:  # what is taken away can bring a command and a brace together
+        x, last = unwrap_commands(x, said), x
     x = WIKI_TABLE.sub(lambda m: _table(m.group()), x)
     x = _settled(TEMPLATE, lambda m: _template(m.group("body")), x)
     x = WIKI_LINK.sub(lambda m: m.group() if not re.search(r"[^\W\d_]", m.group("body")) or m.group("body")[:1] in " -!$" else (
