@@ -229,11 +229,11 @@ def percentiles(df: DataFrame, group: Sequence[str], value: Column, ranks_of, ep
     small = joined.filter(F.col("m") <= whole).select("g", "v", "c").repartition(cores(spark), "g").sortWithinPartitions("g", "v")
     out = select_whole(small, ranks_of)
     large = numbered.filter(F.col("m") > whole).select("g", "n")
-    large = materialise(global_rank(large, [], [F.col("g")], "_o"), "large")
     spread = joined.filter(F.col("m") > whole).select("g", "v", "c").repartition(cores(spark), "g", "v").sortWithinPartitions("g", "v")
-    values, n_groups = materialise(spread, "spread"), large.count()
-    for start in range(0, n_groups, block):
-        part = large.filter(F.col("_o").between(start, start + block - 1)).toPandas().sort_values("g")
+    values = materialise(spread, "spread")
+    blocks = sorted(r[0] for r in large.select(F.floor(F.col("g") / block)).distinct().collect())  # a number for every block of groups
+    for b in blocks:
+        part = large.filter(F.floor(F.col("g") / block) == b).toPandas().sort_values("g")
         ranks = ranks_of(part["n"].to_numpy())
         inside = (ranks >= 1) & (ranks <= part["n"].to_numpy()[:, None])
         wanted = {int(g): np.unique(r[m]) for g, r, m in zip(part["g"], ranks, inside)}
@@ -245,7 +245,7 @@ def percentiles(df: DataFrame, group: Sequence[str], value: Column, ranks_of, ep
             at[m] = found[int(g)][np.searchsorted(wanted[int(g)], r[m])]
             rows.append((int(g), [None if not ok else float(x) for x, ok in zip(at, m)]))
         block_rows = spark.createDataFrame(rows, "g int, at array<double>")
-        out = out.unionByName(materialise(block_rows, "selected") if n_groups > block else block_rows)
+        out = out.unionByName(materialise(block_rows, "selected") if len(blocks) > 1 else block_rows)
     return numbered.join(out, "g").select(*[F.col("_k")[c].alias(c) for c in group], "n", "at")
 
 
