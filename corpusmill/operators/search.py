@@ -199,12 +199,13 @@ def batch_bm25(postings: DataFrame, stats: DataFrame, queries: DataFrame, k: int
     return placed.filter(F.col("pos") <= k).select("qid", "id", "bm25", "pos")
 
 
-def vector_search(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
+def vector_search(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int, block: int = 1024, chunk: int = 2048) -> DataFrame:
     """(qid, key, similarity, pos): exact ``k`` nearest rows by cosine for each of many queries (qid, vector).
 
     The queries are taken in blocks of at most ``block`` rows, each block one
-    broadcast matrix and one pass over the rows: a matrix product per Arrow batch,
-    of which only the best k of a task go on. Null, empty and zero vectors are
+    broadcast matrix and one pass over the rows: a matrix product for every ``chunk``
+    rows, so a task holds block x chunk similarities at most, of which only the best
+    k a query and task go on. Null, empty and zero vectors are
     similar to nothing; vectors of another length than the block's are left out.
     Similarities are compared to 9 decimals, ties go to the smaller key.
     """
@@ -231,23 +232,29 @@ def vector_search(df: DataFrame, key: str, vector: str, queries: DataFrame, k: i
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, dim=dim) -> Iterator[pa.RecordBatch]:
             ids, m = shared.value
-            best_s, best_k = np.full((len(ids), 0), 0.0), np.zeros((len(ids), 0), np.int64)
+            best = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))  # query number, similarity, key
             for batch in batches:
-                column = batch.column(1)
-                size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                good = np.flatnonzero(size == dim)
-                if not len(good):
-                    continue
-                x = column.take(pa.array(good)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-                n = np.linalg.norm(x, axis=1)
-                good, x, n = good[n > 0], x[n > 0], n[n > 0]
-                keys = batch.column(0).take(pa.array(good)).to_numpy(zero_copy_only=False).astype(np.int64)
-                sims = np.round(m @ (x / n[:, None]).T, 9)
-                s, kk = np.concatenate((best_s, sims), axis=1), np.concatenate((best_k, np.broadcast_to(keys, sims.shape)), axis=1)
-                order = np.lexsort((kk, -s), axis=1)[:, :k]
-                best_s, best_k = np.take_along_axis(s, order, 1), np.take_along_axis(kk, order, 1)
-            if best_s.size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_s.shape[1])), pa.array(best_k.reshape(-1)), pa.array(best_s.reshape(-1))], names=["qid", "k", "s"])
+                for at in range(0, batch.num_rows, chunk):
+                    part = batch.slice(at, chunk)
+                    column = part.column(1)
+                    size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                    good = np.flatnonzero(size == dim)
+                    x = column.take(pa.array(good)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+                    n = np.linalg.norm(x, axis=1)
+                    good, x, n = good[n > 0], x[n > 0], n[n > 0]
+                    if not len(good) or not len(m):
+                        continue
+                    keys = part.column(0).take(pa.array(good)).to_numpy(zero_copy_only=False).astype(np.int64)
+                    sims = np.round(m @ (x / n[:, None]).T, 9)
+                    least = np.partition(sims, -k, axis=1)[:, -k] if sims.shape[1] > k else np.full(len(m), -np.inf)
+                    q, j = np.nonzero(sims >= least[:, None])  # the k-th best and all that equal it
+                    q, s, kk = np.concatenate((best[0], q)), np.concatenate((best[1], sims[q, j])), np.concatenate((best[2], keys[j]))
+                    order = np.lexsort((kk, -s, q))
+                    q, s, kk = q[order], s[order], kk[order]
+                    kept = np.arange(len(q)) - np.searchsorted(q, q) < k
+                    best = q[kept], s[kept], kk[kept]
+            if len(best[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[2]), pa.array(best[1])], names=["qid", "k", "s"])
 
         found = df.select(key, vector).filter(F.col(key).isNotNull() & (F.size(vector) > 0)).mapInArrow(run, "qid bigint, k bigint, s double")
         out = found if out is None else out.unionByName(found)
