@@ -153,14 +153,19 @@ def archive_members(blob: bytes, wanted=lambda p: p.rsplit("/", 1)[-1].lower() =
         return
 
 
-def archives(spark: SparkSession, path: str, pattern: str = "*.tar.gz") -> DataFrame:
-    """(archive, path, text) of the documents in all archives below a folder; members stream, archives are never unpacked to disk."""
+def archives(spark: SparkSession, path: str, pattern: str = "*.tar.gz", bundled: bool = False) -> DataFrame:
+    """(archive, path, text) of the documents in all archives below a folder; members stream, archives are never unpacked to disk.
+
+    bundled: with it the runnable files come as well.
+    """
+    document = lambda p: p.rsplit("/", 1)[-1].lower() == "skill.md"
+    wanted = (lambda p: document(p) or runnable(p)) if bundled else document
     blobs = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name, blob in zip(frame["path"], frame["content"]):
-                rows = [(name, p, t) for p, t in archive_members(bytes(blob))]
+                rows = [(name, p, t) for p, t in archive_members(bytes(blob), wanted)]
                 if rows:
                     yield pd.DataFrame(rows, columns=["archive", "path", "text"])
 
