@@ -44,27 +44,27 @@ def current_rows(df: DataFrame, key: str, at: str, columns: Sequence[str], few:
 
 
 def salted_lookup(rows: DataFrame, unique: DataFrame, keys: Sequence[str], row_id: Column,
-                  n_column: str, salts: int = 64, hot_rows: int = 20_000) -> DataFrame:
+                  n_column: str, salts: int | None = None, hot_rows: int = 20_000) -> DataFrame:
     """Inner join of many ``rows`` with one row per key in ``unique``.
 
     ``unique`` tells with ``n_column`` how many rows its key has. Keys with more
     than ``hot_rows`` rows and more than a ten-thousandth of all rows are hot, so
-    there are fewer than 10,000 of them whatever the data. These are repeated
-    ``salts`` times in ``unique``, and every row takes a salt from ``row_id``; cold
-    keys use salt 0 on both sides. The rows learn whether their key is hot from a
-    broadcast of the hot keys. ``unique`` is read twice: pass a table, not a plan.
+    there are fewer than 10,000 of them whatever the data. A hot key is repeated in
+    ``unique`` once for every so many of its rows (or ``salts`` times), which makes
+    fewer than 20,000 repetitions in all, and its rows take a salt from ``row_id``;
+    cold keys use salt 0 on both sides. The rows learn whether their key is hot, and
+    its salts, from a broadcast of the hot keys. ``unique`` is read twice: pass a table, not a plan.
     """
     total, most = unique.agg(F.sum(n_column), F.max(n_column)).first()
     limit = max(hot_rows, (total or 0) // 10_000)
     if (most or 0) <= limit:
         return rows.join(unique, list(keys), "inner")
-    hot = unique.filter(F.col(n_column) > limit).select(*keys)
-    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), list(keys), "left")
+    count = (F.lit(salts) if salts else F.ceil(F.col(n_column) / limit)).cast("int")
+    hot = unique.filter(F.col(n_column) > limit).select(*keys, count.alias("_hot"))
+    marked = rows.join(F.broadcast(hot), list(keys), "left")
     marked = marked.withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")).otherwise(0)
+        "_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(row_id), F.col("_hot")).cast("int")).otherwise(0)
     ).drop("_hot")
     spread = unique.withColumn(
-        "_salt",
-        F.explode(F.when(F.col(n_column) > limit, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
-    )
+        "_salt", F.explode(F.when(F.col(n_column) > limit, F.sequence(F.lit(0), count - 1)).otherwise(F.array(F.lit(0)))))
     return marked.join(spread, [*keys, "_salt"], "inner").drop("_salt")
