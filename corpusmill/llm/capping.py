@@ -51,7 +51,7 @@ def apportion(counts: DataFrame, contributor: Sequence[str], stratum: Sequence[s
 
 
 def beyond_cap(df: DataFrame, key: str, contributor: Sequence[str], quality: Column, cap: int,
-               stratum: Sequence[str] = (), split: str = "proportional", salts: int = 32) -> DataFrame:
+               stratum: Sequence[str] = (), split: str = "proportional", salts: int | None = None) -> DataFrame:
     """Rows that the cap leaves out, as (key, contributor..., stratum...).
 
     df: narrow rows, unique by ``key``. Rows are ranked by ``quality`` (null is
@@ -60,10 +60,11 @@ def beyond_cap(df: DataFrame, key: str, contributor: Sequence[str], quality: Col
     An empty table gives an empty result; cap 0 leaves out everything.
 
     Only strata of contributors above the cap are ranked at all, and these first
-    in ``salts`` slices of a stratum: the quota-th best row of a stratum is among
-    the first quota of its slice, so a second window over the slice leaders finds
-    the last kept row, and every row is compared with that row alone. No window
-    sees a whole hot group.
+    in slices of a stratum: the quota-th best row of a stratum is among the first
+    quota of its slice, so a second window over the slice leaders finds the last
+    kept row, and every row is compared with that row alone. A stratum of n rows has
+    sqrt(n / quota) slices (or ``salts``), so that a slice and all its leaders are
+    alike in size: no window sees more than sqrt(n * quota) rows, about.
     """
     parts = [*contributor, *stratum]
     n_owner = len(contributor)
@@ -75,7 +76,8 @@ def beyond_cap(df: DataFrame, key: str, contributor: Sequence[str], quality: Col
     quotas = apportion(counts, tags[:n_owner], tags[n_owner:], cap, split).filter("n > quota")
     quotas = materialise(quotas.select(F.struct(*tags).alias("_g"), "n", "quota"), "quotas")
     over = materialise(salted_lookup(rows, quotas, ["_g"], F.col(key), "n"), "over")
-    slice_ = F.pmod(F.xxhash64(key), F.lit(salts))
+    slices = F.lit(salts) if salts else F.ceil(F.sqrt(F.col("n") / F.greatest(F.col("quota"), F.lit(1))))
+    slice_ = F.pmod(F.xxhash64(key), slices)
     first = [F.col("_q").desc(), F.col(key).asc()]
     leaders = over.withColumn("_s", slice_).withColumn(
         "_r", F.row_number().over(Window.partitionBy("_g", "_s").orderBy(*first))).filter("_r <= quota")

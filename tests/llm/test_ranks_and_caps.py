@@ -93,6 +93,8 @@ def test_caps_against_brute_force(spark):
         for cap in (0, 7, 40, 1000):
             got = {r["id"] for r in capping.beyond_cap(df, "id", ["owner"], F.col("q"), cap, ["stratum"], split, salts=4).collect()}
             assert got == brute_cap(rows, cap, split), (split, cap)
+            sized = {r["id"] for r in capping.beyond_cap(df, "id", ["owner"], F.col("q"), cap, ["stratum"], split).collect()}
+            assert sized == got
     plain = {r["id"] for r in capping.beyond_cap(df, "id", ["owner", "stratum"], F.col("q"), 8).collect()}
     assert plain == brute_cap([(i, (o, s), "", q) for i, o, s, q in rows], 8, "proportional")
     assert capping.beyond_cap(df.limit(0), "id", ["owner"], F.col("q"), 8).count() == 0
