@@ -87,11 +87,16 @@ def detail(parts: Sequence[Part]) -> Column:
     return F.struct(*[F.round(at_most(at_least(v.cast("double"), 0.0), 1.0), 4).alias(n) for n, v, _ in parts])
 
 
+def places_before(quantiles: Column, holds) -> Column:
+    """How many entries of a sorted array ``holds`` is true for, if it is for a beginning of it: bisection over up to 1,023 entries."""
+    steps = F.array(*[F.lit(1 << i) for i in range(9, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, n: F.when(holds(F.get(quantiles, at + n - 1)), at + n).otherwise(at))
+
+
 def mid_rank(quantiles: Column, value: Column) -> Column:
-    """Place of a value in a sorted array of boundaries, counting equal ones half; null if either is null."""
+    """Place of a value in a sorted array of boundaries (at most 1,023), counting equal ones half; null if either is null."""
     v = value.cast("double")
-    below = F.size(F.filter(quantiles, lambda q: q < v))
-    upto = F.size(F.filter(quantiles, lambda q: q <= v))
+    below, upto = places_before(quantiles, lambda q: q < v), places_before(quantiles, lambda q: q <= v)
     place = (below + upto) / F.lit(2.0) / (F.size(quantiles) - 1)
     return F.when(quantiles.isNotNull() & v.isNotNull(), place)
 

@@ -30,7 +30,10 @@ def quantile_boundaries(long: DataFrame, parts: int = 100, least: int = 8) -> Da
     placed = prefix_sums(merged.withColumn("_cnt", F.col("_c")), ["metric"], [F.col("v")], {"_before": F.col("_cnt")})
     rows = placed.join(F.broadcast(totals), "metric")  # one row a metric
     rank = lambda p: F.bround(p.cast("double") / F.lit(float(parts)) * (F.col("n") - 1), 0)
-    hit = F.filter(F.sequence(F.lit(0), F.lit(parts)), lambda p: (rank(p) >= F.col("_before")) & (rank(p) < F.col("_before") + F.col("_c")))
+    step = F.lit(float(parts)) / (F.col("n") - 1)
+    low = F.greatest(F.lit(0), F.floor((F.col("_before") - 1) * step)).cast("int")  # boundaries that may fall on the value
+    high = F.least(F.lit(parts), F.ceil((F.col("_before") + F.col("_c")) * step)).cast("int")
+    hit = F.filter(F.sequence(low, high), lambda p: (rank(p) >= F.col("_before")) & (rank(p) < F.col("_before") + F.col("_c")))
     found = rows.select("metric", "n", "v", F.explode(hit).alias("p"))
     return found.groupBy("metric").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("p", "v"))).alias("_q")).select(
         "metric", F.col("_q.v").alias("quantiles"), "n")
