@@ -124,7 +124,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     The walk names four times as many as are wanted, so that neighbours it places otherwise are checked as well.
     """
     repos = latest(table(spark, sf_dir, "repos"), "full_name", "last_meta_at", REPO_SCORES)
-    ranked = materialise(walk.rank_walk(repos, "full_name", REPO_SCORES, at_least=3, tolerance=1e-6), "ranked")
+    ranked = materialise(walk.rank_walk(repos, "full_name", REPO_SCORES, at_least=3, tolerance=1e-4), "ranked")
     k = -(-repos.count() // 100)
     near = walk.first_share(ranked, "full_name", "mass", 4 * k)
     return walk.first_share(near, "full_name", "mid_rank", k).select("full_name")
