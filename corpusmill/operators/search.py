@@ -9,8 +9,11 @@ without a shuffle, for corpora that have no index.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,10 +36,30 @@ def build_index(df: DataFrame, key: str, fields: Sequence[str] = tuple(FIELD_WEI
     """
     words = df.select(F.col(key).alias("id"), *[tokens(F.col(f)).alias(f) for f in fields])
     stats = words.select("id", sum((F.size(f) for f in fields), F.lit(0)).cast("bigint").alias("dl"))
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("words")) for f in fields]))
-    flat = words.select("id", each.alias("_f")).select("id", "_f.field", F.posexplode("_f.words").alias("pos", "term"))
-    postings = flat.groupBy("term", "id", "field").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    return postings, stats
+    names = list(fields)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, name in enumerate(names):
+                lists = batch.column(i + 1)
+                size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                if not size.sum():
+                    continue
+                seen = lists.flatten().dictionary_encode()
+                code = seen.indices.to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(size)), size)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+                order = np.lexsort((place, code, row))
+                row, code, place = row[order], code[order], place[order]
+                first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (code[1:] != code[:-1])))
+                bounds = np.append(first, len(row))
+                yield pa.RecordBatch.from_arrays(
+                    [seen.dictionary.take(pa.array(code[first])), batch.column(0).take(pa.array(row[first])), pa.array([name] * len(first), pa.string()),
+                     pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(place, pa.int32()))],
+                    names=["term", "id", "field", "tf", "positions"])
+
+    id_type = df.schema[key].dataType.simpleString()
+    return words.mapInArrow(count, f"term string, id {id_type}, field string, tf bigint, positions array<int>"), stats
 
 
 def write_index(df: DataFrame, key: str, path: str, fields: Sequence[str] = tuple(FIELD_WEIGHTS)) -> None:
@@ -209,11 +232,6 @@ def vector_search(df: DataFrame, key: str, vector: str, queries: DataFrame, k: i
     similar to nothing; vectors of another length than the block's are left out.
     Similarities are compared to 9 decimals, ties go to the smaller key.
     """
-    from collections.abc import Iterator
-
-    import numpy as np
-    import pyarrow as pa
-
     spark = df.sparkSession
     asked = queries.select("qid", "vector").filter(F.size("vector") > 0)
     parts = max(1, -(-asked.count() // block))
