@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import compile_query, folded, phrase_hits, tokens
-from corpusmill.runtime import spread
+from corpusmill.runtime import spread, tasks_for
 
 # Weights of the fields in BM25, and its constants.
 FIELD_WEIGHTS = {"name": 10.0, "description": 6.0, "body": 1.0, "repo": 2.0, "path": 1.5}
@@ -63,9 +63,14 @@ def build_index(df: DataFrame, key: str, fields: Sequence[str] = tuple(FIELD_WEI
 
 
 def write_index(df: DataFrame, key: str, path: str, fields: Sequence[str] = tuple(FIELD_WEIGHTS)) -> None:
-    """Build the index and write it below ``path``, postings range-partitioned and sorted by term."""
+    """Build the index and write it below ``path``, postings partitioned by term and sorted by it in every file.
+
+    Partitions come from hashes, as ranges would be drawn by reading all texts once
+    more; a term that most documents have lies in up to 32 of them.
+    """
     postings, stats = build_index(df, key, fields)
-    postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    placed = postings.repartition(tasks_for(df, 32 << 20), F.col("term"), F.pmod(F.xxhash64("id"), F.lit(32)))
+    placed.sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
     stats.write.mode("overwrite").parquet(f"{path}/stats")
 
 
