@@ -83,3 +83,11 @@ def test_common_words_are_not_followed(monkeypatch):
         every[has[t]] += part[term == t]
     every = np.round(every, 9)
     assert set(ids[np.lexsort((ids, -s))[:10]]) == set(np.lexsort((np.arange(n), -every))[:10])
+
+
+def test_suite_from_an_index_and_from_texts(spark):
+    docs = spark.createDataFrame([(*x, f"h{x[0] % 30}", f"c{x[0] % 3}") for x in _documents(60)], f"{COLUMNS}, content_hash string, category string")
+    asked = docs.filter("id % 5 = 0").selectExpr("id AS qid", "split(coalesce(description, ''), ' ') AS words", "id", "content_hash", "category")
+    a = {r["measure"]: round(r["value"], 9) for r in ev.suite(docs, asked).collect()}
+    b = {r["measure"]: round(r["value"], 9) for r in ev.suite(docs, asked, index=sr.build_index(docs, "id", ev.FIELDS)).collect()}
+    assert a == b and a["n"] == 12 and a["robust_reordered"] == 1
