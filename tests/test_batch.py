@@ -91,3 +91,10 @@ def test_suite_from_an_index_and_from_texts(spark):
     a = {r["measure"]: round(r["value"], 9) for r in ev.suite(docs, asked).collect()}
     b = {r["measure"]: round(r["value"], 9) for r in ev.suite(docs, asked, index=sr.build_index(docs, "id", ev.FIELDS)).collect()}
     assert a == b and a["n"] == 12 and a["robust_reordered"] == 1
+
+
+def test_search_batch_needs_no_index(spark, data, monkeypatch):
+    from corpusmill.plans.queries import queries
+
+    monkeypatch.setattr(sr, "build_index", None)
+    assert queries()["search_batch"](spark, data).count() > 0
