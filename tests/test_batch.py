@@ -98,3 +98,15 @@ def test_search_batch_needs_no_index(spark, data, monkeypatch):
 
     monkeypatch.setattr(sr, "build_index", None)
     assert queries()["search_batch"](spark, data).count() > 0
+
+
+def test_same_words_are_asked_once(spark, monkeypatch):
+    """A reordered query has the words of its base, so three of four variants are searched."""
+    asked, whole = [], bt.materialise
+    monkeypatch.setattr(bt, "materialise", lambda df, label: asked.append(df.count()) or whole(df, label) if label == "sets" else whole(df, label))
+    docs = spark.createDataFrame([(1, "pdf", "please read"), (2, "read", "pdf tables"), (3, "", "help with tables")] + [(i, "none", "") for i in range(4, 12)], COLUMNS)
+    queries = spark.createDataFrame([(7, ["pdf", "read", "tables"])], "qid int, words array<string>")
+    hits = ev.variant_hits(docs, queries, 2)
+    assert asked == [3]
+    got = {r["variant"]: (r["n"], r["overlap"]) for r in ev.robustness(hits, queries).collect()}
+    assert got == {"reordered": (1, 1.0), "filler": (1, 0.5), "shortened": (1, 1.0)}
