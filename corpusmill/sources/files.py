@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from datetime import date, datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import next_link, repo_links
@@ -176,15 +176,19 @@ def owned_files(documents: DataFrame, files: DataFrame) -> DataFrame:
     """(repo, path, file): each bundled file with the document whose folder is its longest prefix, inside one repository.
 
     A file asks each of its own folders, of which a path has few, for a document; folders and
-    documents meet by equality, so no file meets all documents of a large repository.
+    documents meet by equality. Of the documents of a folder the first by path is meant, or the
+    second for the first itself, so a folder is one row however many documents lie in it.
     """
     folder = F.regexp_replace("path", "[^/]*$", "")
-    homes = documents.select("repo", "path", folder.alias("_dir"))
+    placed = documents.filter("repo IS NOT NULL AND path IS NOT NULL").select("repo", "path", folder.alias("_dir"))
+    place = F.dense_rank().over(Window.partitionBy("repo", "_dir").orderBy("path"))
+    two = placed.withColumn("_r", place).filter("_r <= 2")
+    homes = two.groupBy("repo", "_dir").agg(F.min("path").alias("_one"), F.min(F.when(F.col("_r") == 2, F.col("path"))).alias("_two"))
     parts = F.split(folder, "/")  # ends with an empty one
     ups = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
     asked = files.select("repo", F.col("path").alias("file"), F.explode(ups).alias("_up")).withColumn("_dir", F.when(F.col("_up") == "", "").otherwise(F.concat("_up", F.lit("/"))))
-    joined = asked.drop("_up").join(homes, ["repo", "_dir"]).filter(F.col("file") != F.col("path"))
-    return joined.groupBy("repo", "file").agg(F.max_by("path", F.length("_dir")).alias("path")).select("repo", "path", "file")
+    joined = asked.drop("_up").join(homes, ["repo", "_dir"]).withColumn("path", F.when(F.col("file") == F.col("_one"), F.col("_two")).otherwise(F.col("_one")))
+    return joined.filter("path IS NOT NULL").groupBy("repo", "file").agg(F.max_by("path", F.length("_dir")).alias("path")).select("repo", "path", "file")
 
 
 def hour_names(now: datetime, hours: int, lag: int = 1) -> list[str]:
